@@ -84,13 +84,13 @@ class _CommonSuffixes:
         return ((row + hits) | (row - hits)) & self._all
 
     def _row(self, r: int) -> int:
+        if r in self._kept:
+            return self._kept[r]
         if r not in self._block:
             base = r - r % self._step
-            row, block = self._kept[base], {base: self._kept[base]}
+            row, self._block = self._kept[base], {}
             for s in range(base + 1, min(base + self._step, self._n + 1)):
-                row = block[s] = self._next(row, s)
-            # Two neighbouring rows may lie on either side of a block border.
-            self._block = {**{k: v for k, v in self._block.items() if k >= base + self._step and k <= r + 1}, **block}
+                row = self._block[s] = self._next(row, s)
         return self._block[r]
 
     def length(self, i: int, j: int) -> int:

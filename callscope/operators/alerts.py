@@ -91,7 +91,7 @@ def fire_alerts(candidates: DataFrame, cooldown_ms: int) -> DataFrame:
     """
     picked = F.struct("timestamp", "id", "server_name", "value", "threshold")
     if cooldown_ms <= 0:
-        return _alert_rows(candidates)
+        return alert_rows(candidates)
     # Calls within one millisecond: only the first can fire.
     firsts = candidates.withColumn("t", epoch_ms("timestamp")).groupBy(*COOLDOWN_KEY, "t").agg(F.min(picked).alias("c"))
     firsts = cut_lineage(firsts)
@@ -105,7 +105,7 @@ def fire_alerts(candidates: DataFrame, cooldown_ms: int) -> DataFrame:
     for jump in reversed(jumps[:-1]):
         both = F.array_compact(F.array("t", "next"))
         fired = fired.join(jump, [*COOLDOWN_KEY, "t"], "left").select(*COOLDOWN_KEY, F.explode(both).alias("t"))
-    return _alert_rows(firsts.join(fired, [*COOLDOWN_KEY, "t"], "left_semi").select(*COOLDOWN_KEY, "c.*"))
+    return alert_rows(firsts.join(fired, [*COOLDOWN_KEY, "t"], "left_semi").select(*COOLDOWN_KEY, "c.*"))
 
 
 def _successors(points: DataFrame, cooldown_ms: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _doubled(jump: DataFrame, roots: DataFrame) -> DataFrame:
     return kept.join(onward, [*COOLDOWN_KEY, "next"]).select(*COOLDOWN_KEY, "t", F.col("_onward").alias("next"))
 
 
-def _alert_rows(fired: DataFrame) -> DataFrame:
+def alert_rows(fired: DataFrame) -> DataFrame:
     """Alert table rows. The id follows arrival order: two slots per call,
     latency before error rate."""
     slot = F.when(F.col("metric") == METRICS[0], 0).otherwise(1)

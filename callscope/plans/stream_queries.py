@@ -1 +1,125 @@
-"""Queries."""
+"""Queries: streaming jobs, run to the end of the given data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callscope.config import AlertSettings
+from callscope.functions.measures import epoch_ms  # noqa: F401
+from callscope.operators.enrich import enrich
+from callscope.operators.topk import live_tail
+from callscope.plans import testdata, wiredata
+from callscope.plans.alert_queries import _HOURLY, _HOURLY_SQL, _OUT
+from callscope.plans.catalog import query
+from callscope.plans.metric_queries import _BUCKETED, ranks_sql
+from callscope.plans.session_queries import _EVENT_SQL, _OK, _PAIRS, _event_lines
+from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
+from callscope.plans.wiredata import WITH_LOG
+from callscope.session import new_folder
+from callscope.sources.tables import read_tool_calls
+from callscope.streaming import ingest, series, sinks, stateful
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream."""
+    schema = testdata.events(spark, sf_dir).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _calls_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = testdata.raw_calls(_stream(spark, sf_dir))
+    return enrich(calls.withColumn("timestamp", F.col("timestamp").cast("timestamp")), PRICING)
+
+
+def _run(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream to the end and read what it stored."""
+    out = new_folder(spark, label)
+    sinks.to_parquet(stream, out, new_folder(spark, f"{label}-state"), available_now=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+# A bucket is closed once the newest call is ten minutes past its end.
+_CLOSED = "b + interval 15 minutes <= (select max(timestamp) from calls) - interval 10 minutes"
+
+
+@query("stream_timeseries", WITH_CALLS + f"""select {stamp('b')} as bucket, server_name, tool_name, count(*) as call_count,
+ round(sum(case when status = 'error' then 1 else 0 end) / cast(count(*) as double) * 100, 6) as error_rate_pct,
+ cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, round(sum(cost_usd), 6) as cost_usd,
+ count(*) filter (where status <> 'success' and error_class = 'hallucination') as hallucination,
+ count(*) filter (where status <> 'success' and error_class = 'tool_failure') as tool_failure,
+ count(*) filter (where status <> 'success' and error_class = 'timeout') as timeout
+ from {_BUCKETED} x where {_CLOSED} group by b, server_name, tool_name""")
+def _timeseries(spark, sf):
+    return _run(spark, series.stream_timeseries(_calls_stream(spark, sf)), "series")
+
+
+@query("stream_latency_percentiles", WITH_CALLS + f"""select {stamp('b')} as bucket, server_name, tool_name, call_count, p50_latency_ms, p95_latency_ms
+ from ({ranks_sql('server_name, tool_name, b', {'p50_latency_ms': 0.5, 'p95_latency_ms': 0.95}, _BUCKETED + ' x')}) r where {_CLOSED}""")
+def _percentiles(spark, sf):
+    return _run(spark, series.stream_latency_percentiles(_calls_stream(spark, sf)), "percentiles")
+
+
+@query("stream_sessions", WITH_CALLS + f""", points as (select server_name as conn, timestamp as t, 0 as kind from calls
+  union all select server_name, timestamp + latency_ms * interval 1 millisecond, 1 from calls),
+ flagged as (select *, case when t - lag(t) over (partition by conn order by t, kind) <= interval 5 minutes then 0 else 1 end as opened from points),
+ numbered as (select *, sum(opened) over (partition by conn order by t, kind rows unbounded preceding) as n from flagged)
+ select conn, {stamp('min(t)')} as started_at, {stamp('max(t)')} as last_activity, cast(sum(kind) as bigint) as call_count from numbered
+ group by conn, n having max(t) + interval 5 minutes <= (select max(t) from points) - interval 10 minutes""")
+def _sessions(spark, sf):
+    return _run(spark, series.stream_sessions(_calls_stream(spark, sf)), "sessions")
+
+
+@query("stream_alerts", _HOURLY_SQL + f"select {_OUT} from fired")
+def _alerts(spark, sf):
+    return _run(spark, stateful.stream_alerts(_calls_stream(spark, sf), _HOURLY), "alerts")
+
+
+@query("stream_pair_rpc", WITH_LOG + _PAIRS + f"""select conn, rpc_id, request_seq, response_seq, method, latency_ms, {stamp('timestamp')} as timestamp,
+ cast(json_extract(response, '$.result') as varchar) as result, cast(json_extract(response, '$.error') as varchar) as error from pairs""")
+def _pair(spark, sf):
+    log = wiredata.as_log(wiredata.as_exchanges(_stream(spark, sf)))
+    return _run(spark, stateful.stream_pair_rpc(log), "pairs").select(
+        "conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms", "timestamp", "result", "error")
+
+
+@query("stream_live_tail", WITH_CALLS + f"""select id, session_id, server_name, tool_name, status, cast(latency_ms as bigint) as latency_ms, {stamp('timestamp')} as timestamp,
+ round(cost_usd, 6) as cost_usd from (select * from calls order by timestamp desc, id desc limit 200)""")
+def _live_tail(spark, sf):
+    out = new_folder(spark, "tail")
+    stream = _calls_stream(spark, sf).drop("response")
+    sinks.stream_live_tail(stream, out, new_folder(spark, "tail-state"), available_now=True).awaitTermination()
+    tail = live_tail(spark.read.schema(stream.schema).parquet(out))
+    return tail.select("id", "session_id", "server_name", "tool_name", "status", "latency_ms", "timestamp", "cost_usd")
+
+
+# -- ingest ----------------------------------------------------------------------
+
+def _ingested(spark, sf) -> ingest.IngestPaths:
+    events = new_folder(spark, "incoming")
+    _event_lines(spark, sf).select("value").write.text(events)
+    paths = ingest.IngestPaths(*[new_folder(spark, f"ingest-{part}") for part in ("calls", "sessions", "rejected", "state")])
+    ingest.run_ingest_stream(spark, events, paths, PRICING, available_now=True).awaitTermination()
+    return paths
+
+
+@query("ingest_stream_calls", WITH_CALLS + f""", sent as ({_EVENT_SQL})
+select s.session_id, s.tool_name, s.arguments, s.timestamp, s.status, c.error_class,
+ cast(ceil(octet_length(encode(s.arguments)) / 4.0) as bigint) as input_tokens,
+ cast(ceil(coalesce(length(s.response), 0) / 4.0) as bigint) as output_tokens
+ from sent s join calls c on c.id = s.id where {_OK.replace('session_id', 's.session_id').replace('tool_name', 's.tool_name')}""")
+def _ingest_calls(spark, sf):
+    return read_tool_calls(spark, _ingested(spark, sf).calls).select(
+        "session_id", "tool_name", "arguments", "timestamp", "status", "error_class", "input_tokens", "output_tokens")
+
+
+@query("ingest_stream_sessions", WITH_CALLS + f"""select session_id as id, count(*) as sessions from
+ (select distinct session_id from ({_EVENT_SQL}) where {_OK}) group by 1""")
+def _ingest_sessions(spark, sf):
+    return spark.read.parquet(_ingested(spark, sf).sessions).groupBy("id").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@query("ingest_stream_rejected", WITH_CALLS + f"""select session_id, tool_name, timestamp,
+ 'missing required fields: sessionId, toolName, timestamp' as reason from ({_EVENT_SQL}) where not ({_OK})""")
+def _ingest_rejected(spark, sf):
+    return spark.read.parquet(_ingested(spark, sf).rejected).select("session_id", "tool_name", "timestamp", "reason")

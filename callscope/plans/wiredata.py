@@ -33,9 +33,9 @@ def _wide_columns() -> str:
     return "event_id, event_type, ts, " + ", ".join(f"{sql} as {name}" for name, sql in cols.items())
 
 
-def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_exchanges(events: DataFrame) -> DataFrame:
     """``(id, server, request_body, response_body, proxy_error, t0, t1)``."""
-    wide = testdata.events(spark, sf_dir).selectExpr(
+    wide = events.selectExpr(
         "event_id", "event_type", "ts",
         *[f"{sql} as {name}" for name, sql in testdata.CALL_COLUMNS.items() if name not in ("id", "timestamp")])
     return wide.selectExpr(
@@ -44,18 +44,24 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts as t0", "timestampadd(MILLISECOND, latency_ms, ts) as t1")
 
 
-def rpc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(conn, direction, seq, ts, line)``."""
-    pairs = exchanges(spark, sf_dir)
-
+def as_log(exchanges: DataFrame) -> DataFrame:
+    """``(conn, direction, seq, ts, line)``, two lines per exchange."""
     def line(direction: str, ts: str, body: str):
         return F.struct(F.lit(direction).alias("direction"), F.col(ts).alias("ts"), F.col(body).alias("line"))
 
     both = F.array(line("agent", "t0", "request_body"), line("server", "t1", "response_body"))
-    return pairs.select(F.col("server").alias("conn"), F.col("id").alias("seq"), F.explode(both).alias("l")).select(
+    return exchanges.select(F.col("server").alias("conn"), F.col("id").alias("seq"), F.explode(both).alias("l")).select(
         "conn", "l.direction", "seq", "l.ts", "l.line")
 
 
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_exchanges(testdata.events(spark, sf_dir))
+
+
+def rpc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_log(exchanges(spark, sf_dir))
+
+
 EXCHANGES_SQL = (
     f"select event_id as id, server_name as server, {_REQUEST} as request_body, {_RESPONSE} as response_body,"
     " case when status = 'timeout' then 'connection refused' end as proxy_error,"

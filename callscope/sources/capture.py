@@ -24,7 +24,7 @@ def _text(value: Column) -> Column:
     return F.to_json(value)
 
 
-def _messages(log: DataFrame) -> DataFrame:
+def rpc_messages(log: DataFrame) -> DataFrame:
     """The log lines that can take part in a pair, with their id and role.
 
     A request is an agent-side line with a method and an id, a response a
@@ -55,7 +55,7 @@ def pair_rpc_log(log: DataFrame) -> DataFrame:
     matched pairs. That keeps payloads out of the sort and lets one busy
     (connection, id) spread over many tasks.
     """
-    messages = _messages(log)
+    messages = rpc_messages(log)
     keys, order = ["conn", "rpc_id"], ["ts", "direction", "seq"]
     thin = in_chunks(messages.select(*keys, *order, "is_request"), keys, order)
     lagged = previous(thin, keys, order, F.struct("is_request", "seq", "ts"), "open")
@@ -68,8 +68,8 @@ def pair_rpc_log(log: DataFrame) -> DataFrame:
     response = log.where(F.col("direction") == "server").select(
         "conn", F.col("seq").alias("response_seq"), F.try_parse_json("line").alias("_response"))
     # Variants cannot be join payload keys but may be carried; read the fields first to ship less.
-    request = request.select("conn", "request_seq", *_request_fields(F.col("_request")))
-    response = response.select("conn", "response_seq", *_response_fields(F.col("_response")))
+    request = request.select("conn", "request_seq", *request_fields(F.col("_request")))
+    response = response.select("conn", "response_seq", *response_fields(F.col("_response")))
     joined = pairs.join(request, ["conn", "request_seq"]).join(response, ["conn", "response_seq"])
     return joined.withColumns({
         "timestamp": F.col("request_ts"),
@@ -77,14 +77,14 @@ def pair_rpc_log(log: DataFrame) -> DataFrame:
     }).drop("request_ts")
 
 
-def _request_fields(message: Column) -> list[Column]:
+def request_fields(message: Column) -> list[Column]:
     return [
         field_text(message, "$.method").alias("method"),
         _text(field(message, "$.params")).alias("params"),
     ]
 
 
-def _response_fields(message: Column) -> list[Column]:
+def response_fields(message: Column) -> list[Column]:
     error = field(message, "$.error")
     return [
         _text(present_or_null(field(message, "$.result"))).alias("result"),
@@ -161,7 +161,7 @@ def calls_from_http(exchanges: DataFrame) -> DataFrame:
 
     reached = parsed.where(F.col("proxy_error").isNull() & truthy(field(request, "$.method")))
     calls = map_capture_fields(
-        reached.select(*kept, "timestamp", "latency_ms", *_request_fields(request), *_response_fields(response)),
+        reached.select(*kept, "timestamp", "latency_ms", *request_fields(request), *response_fields(response)),
         "http", "server")
 
     method = F.coalesce(field_text(request, "$.method"), F.lit("unknown"))
