@@ -27,6 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
 
 def load() -> tuple[dict[str, Build], dict[str, str]]:
-    from callscope.plans import alert_queries, metric_queries, payload_queries, session_queries, stream_queries  # noqa: F401
+    from callscope.plans import (  # noqa: F401
+        alert_queries, metric_queries, payload_queries, report_queries, session_queries, stream_queries,
+    )
 
     return QUERIES, ORACLES

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callscope.functions.measures import or_zero
 from callscope.functions.percentile import P50_95_99, nearest_rank
 from callscope.operators import enrich, filters, metrics, topk
 from callscope.plans import testdata

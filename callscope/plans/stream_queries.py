@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.config import AlertSettings
-from callscope.functions.measures import epoch_ms  # noqa: F401
 from callscope.operators.enrich import enrich
 from callscope.operators.topk import live_tail
 from callscope.plans import testdata, wiredata
