@@ -38,6 +38,11 @@ def present_or_null(value: Column) -> Column:
     return F.when(~F.is_variant_null(value), value)
 
 
+def text_or_null(value: Column) -> Column:
+    """JSON text of a value, NULL for JSON null or an absent value."""
+    return F.nullif(F.to_json(value), F.lit("null"))
+
+
 def truthy(value: Column) -> Column:
     """Whether a JSON value counts as true in a script condition: anything but
     absent, null, false, 0 and the empty string."""
@@ -88,27 +93,27 @@ def redact(json_text: str, max_depth: int = REDACTION_DEPTH, words: tuple[str, .
 
 # -- truncation --------------------------------------------------------------
 
-def byte_size(value: Column) -> Column:
-    """UTF-8 size of a variant written as compact JSON."""
-    return F.octet_length(F.to_json(value)).cast("long")
-
-
 def _leading_items(parsed: Column, limit: int) -> Column:
     """The longest run of leading array items that fits into ``limit`` bytes."""
-    items = parsed.try_cast("array<variant>")
-    start = F.struct(F.lit(2).cast("long").alias("size"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
+    # An item and its comma take two bytes at least, so no more than this can fit.
+    items = F.slice(parsed.try_cast("array<variant>"), 1, limit // 2)
+    texts = F.transform(items, lambda item: F.to_json(item))
+
+    def kept(texts: Column) -> Column:
+        start = F.struct(F.lit(2).alias("size"), F.lit(0).alias("count"))
+
+        def step(state: Column, text: Column) -> Column:
+            # Once an item does not fit, the size stays over the limit and nothing else does.
+            size = state["size"] + F.octet_length(text)
+            return F.struct((size + 1).alias("size"), (state["count"] + (size <= limit).cast("int")).alias("count"))
+
+        return F.aggregate(texts, start, step)["count"]
 
-    def step(state: Column, item: Column) -> Column:
-        size = byte_size(item)
-        fits = state["open"] & (state["size"] + size <= limit)
-        return F.struct(
-            F.when(fits, state["size"] + size + 1).otherwise(state["size"]).alias("size"),
-            F.when(fits, state["kept"] + 1).otherwise(state["kept"]).alias("kept"),
-            fits.alias("open"),
-        )
+    def cut(texts: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.slice(texts, F.lit(1), kept(texts)), ","), F.lit("]"))
 
-    kept = F.aggregate(items, start, step)["kept"]
-    return F.to_json(F.slice(items, F.lit(1), kept).cast("variant"))
+    # A one-element array binds the item texts, so they are built once.
+    return F.element_at(F.transform(F.array(texts), cut), 1)
 
 
 def _short_strings(parsed: Column, chars: int) -> Column:
@@ -123,17 +128,16 @@ def _short_strings(parsed: Column, chars: int) -> Column:
     )))
 
 
-def envelope(json_text: Column, limit: int = RESPONSE_LIMIT_BYTES) -> Column:
-    """Raw response text to ``{data, truncated, size_bytes}``.
+def envelope(parsed: Column, text: Column, limit: int = RESPONSE_LIMIT_BYTES) -> Column:
+    """A parsed response, and its compact text, to ``{data, truncated, size_bytes}``.
 
     ``size_bytes`` is always the size before the cut. A response that already
     is such an envelope passes through. NULL and JSON null stay NULL.
     """
-    parsed = F.try_parse_json(json_text)
     kind = F.schema_of_variant(parsed)
-    size = byte_size(parsed)
+    size = F.octet_length(text).cast("long")
     supplied = F.try_variant_get(parsed, "$.sizeBytes", "bigint")
-    enveloped = kind.startswith("OBJECT") & field(parsed, "$.truncated").isNotNull() & supplied.isNotNull()
+    enveloped = field(parsed, "$.truncated").isNotNull() & supplied.isNotNull()
     cut = (
         F.when(kind.startswith("ARRAY"), _leading_items(parsed, limit))
         .when(kind.startswith("OBJECT"), _short_strings(parsed, OBJECT_STRING_CHARS))
@@ -147,7 +151,7 @@ def envelope(json_text: Column, limit: int = RESPONSE_LIMIT_BYTES) -> Column:
             supplied.alias("size_bytes"),
         ))
         .otherwise(F.struct(
-            F.when(size <= limit, F.to_json(parsed)).otherwise(cut).alias("data"),
+            F.when(size <= limit, text).otherwise(cut).alias("data"),
             (size > limit).alias("truncated"),
             size.alias("size_bytes"),
         ))

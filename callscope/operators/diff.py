@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscope.functions.linediff import EQUAL, line_diff, pretty_lines
 from callscope.functions.measures import epoch_ms
@@ -14,7 +15,7 @@ from callscope.functions.ordered import in_chunks, previous
 from callscope.functions.payload import compact
 
 SECTIONS = ("arguments", "response")
-LINES = "array<struct<type:string,line:string>>"
+LINES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("line", T.StringType())]))
 
 
 @F.pandas_udf(LINES)

@@ -36,7 +36,9 @@ def truncate_response(df: DataFrame, limit: int = RESPONSE_LIMIT_BYTES, column:
     """
     if isinstance(df.schema[column].dataType, T.StructType):
         return df
-    return df.withColumn(column, payload.envelope(F.col(column), limit))
+    # Separate steps: the response is parsed and printed once per row.
+    parsed = df.withColumn("_parsed", F.try_parse_json(column)).withColumn("_text", F.to_json("_parsed"))
+    return parsed.withColumn(column, payload.envelope(F.col("_parsed"), F.col("_text"), limit)).drop("_parsed", "_text")
 
 
 def estimate_tokens(df: DataFrame, chars_per_token: float = 4) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.measures import epoch_ms
 from callscope.functions.ordered import in_chunks, previous
-from callscope.functions.payload import field, field_text, present_or_null, truthy
+from callscope.functions.payload import field, field_text, present_or_null, text_or_null, truthy
 from callscope.session import allow_duplicate_json_keys
 
 CALL_METHOD = "tools/call"
@@ -67,7 +67,6 @@ def pair_rpc_log(log: DataFrame) -> DataFrame:
         "conn", F.col("seq").alias("request_seq"), F.try_parse_json("line").alias("_request"))
     response = log.where(F.col("direction") == "server").select(
         "conn", F.col("seq").alias("response_seq"), F.try_parse_json("line").alias("_response"))
-    # Variants cannot be join payload keys but may be carried; read the fields first to ship less.
     request = request.select("conn", "request_seq", *request_fields(F.col("_request")))
     response = response.select("conn", "response_seq", *response_fields(F.col("_response")))
     joined = pairs.join(request, ["conn", "request_seq"]).join(response, ["conn", "response_seq"])
@@ -87,7 +86,7 @@ def request_fields(message: Column) -> list[Column]:
 def response_fields(message: Column) -> list[Column]:
     error = field(message, "$.error")
     return [
-        _text(present_or_null(field(message, "$.result"))).alias("result"),
+        text_or_null(field(message, "$.result")).alias("result"),
         F.when(truthy(error), _text(error)).alias("error"),
     ]
 
@@ -100,12 +99,14 @@ def map_capture_fields(df: DataFrame, source: str, server: str = "conn") -> Data
     of a tools/call; ``multiplexed`` records tools/call only, with the whole
     params as arguments and an error in place of the response.
     """
-    params, error = F.try_parse_json("params"), F.try_parse_json("error")
+    # Parsed in a step of their own, since several fields are read from each.
+    df = df.withColumns({"_params": F.try_parse_json("params"), "_error": F.try_parse_json("error")})
+    params, error = F.col("_params"), F.col("_error")
     is_call = F.col("method") == CALL_METHOD
     named_tool = F.coalesce(field_text(params, "$.name"), F.col("method"))
     failed = F.col("error").isNotNull()
     if source in ("stdio", "http"):
-        arguments = F.coalesce(_text(present_or_null(field(params, "$.arguments"))), F.col("params"))
+        arguments = F.coalesce(text_or_null(field(params, "$.arguments")), F.col("params"))
         response = F.col("result")
         message = field_text(error, "$.message")
     elif source == "multiplexed":
@@ -124,7 +125,7 @@ def map_capture_fields(df: DataFrame, source: str, server: str = "conn") -> Data
         raise ValueError(f"unknown capture source {source!r}; use one of {sorted(AGENT_TYPES)}")
     code = F.lit(None).cast("int") if source == "sdk" else F.try_variant_get(error, "$.code", "int")
     kept = [c for c in df.columns if c not in (
-        "method", "params", "result", "error", "latency_ms", "timestamp", server, "proxy_error")]
+        "method", "params", "result", "error", "latency_ms", "timestamp", server, "_params", "_error")]
     return df.select(
         *kept,
         F.lit(AGENT_TYPES[source]).alias("agent_type"),
@@ -151,26 +152,21 @@ def calls_from_http(exchanges: DataFrame) -> DataFrame:
     """
     allow_duplicate_json_keys(exchanges.sparkSession)
     request, response = F.col("_request"), F.col("_response")
+    lost = F.col("proxy_error").isNotNull()
     parsed = exchanges.withColumns({
         "_request": present_or_null(F.try_parse_json("request_body")),
         "_response": F.try_parse_json("response_body"),
-        "timestamp": F.col("t0"),
-        "latency_ms": (epoch_ms("t1") - epoch_ms("t0")).cast("int"),
-    }).where(request.isNotNull())
+    }).where(request.isNotNull() & (lost | truthy(field(request, "$.method"))))
     kept = [c for c in exchanges.columns if c not in ("request_body", "response_body", "t0", "t1")]
-
-    reached = parsed.where(F.col("proxy_error").isNull() & truthy(field(request, "$.method")))
-    calls = map_capture_fields(
-        reached.select(*kept, "timestamp", "latency_ms", *request_fields(request), *response_fields(response)),
-        "http", "server")
-
-    method = F.coalesce(field_text(request, "$.method"), F.lit("unknown"))
-    lost = parsed.where(F.col("proxy_error").isNotNull()).select(
-        *[c for c in kept if c not in ("server", "proxy_error")],
-        F.lit(AGENT_TYPES["http"]).alias("agent_type"), F.col("server").alias("server_name"),
-        method.alias("tool_name"), method.alias("method"),
-        _text(field(request, "$.params")).alias("arguments"), F.lit(None).cast("string").alias("response"),
-        F.lit("error").alias("status"), "latency_ms", "timestamp",
-        F.col("proxy_error").alias("error_msg"), F.lit(None).cast("int").alias("error_code"),
-    )
-    return calls.unionByName(lost)
+    messages = parsed.select(
+        *kept, F.col("t0").alias("timestamp"), (epoch_ms("t1") - epoch_ms("t0")).cast("int").alias("latency_ms"),
+        *request_fields(request), *response_fields(response), _text(field(request, "$.params")).alias("_whole"),
+    ).withColumn("method", F.coalesce("method", F.lit("unknown")))
+    calls = map_capture_fields(messages, "http", "server")
+    of_lost = {
+        "tool_name": F.col("method"), "arguments": F.col("_whole"), "response": F.lit(None), "status": F.lit("error"),
+        "error_msg": F.col("proxy_error"), "error_code": F.lit(None),
+    }
+    return calls.withColumns({
+        name: F.when(lost, value).otherwise(F.col(name)) for name, value in of_lost.items()
+    }).drop("proxy_error", "_whole")
