@@ -39,3 +39,10 @@ def bucket(timestamp: str = "timestamp", width: str = SERIES_BUCKET) -> Column:
 def epoch_ms(timestamp: str | Column) -> Column:
     column = F.col(timestamp) if isinstance(timestamp, str) else timestamp
     return F.unix_millis(column.cast("timestamp"))
+
+
+def elapsed_ms(start: str, end: str) -> Column:
+    """Whole milliseconds between two times, kept within the int column."""
+    limit = 2**31 - 1
+    span = epoch_ms(end) - epoch_ms(start)
+    return F.greatest(F.least(span, F.lit(limit)), F.lit(-limit)).cast("int")

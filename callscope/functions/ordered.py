@@ -22,7 +22,8 @@ CHUNK = "_chunk"
 def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Sort-order chunks of balanced size, numbered in ``_chunk``.
 
-    ``order`` must end in a unique column, so that even equal times split.
+    ``order`` must end in a unique column, so that even equal times split, and
+    ``keys`` must not be NULL (the table's key columns never are).
     The chunk of a row depends on sampled range bounds; it is written down
     once, because a second evaluation could cut elsewhere.
     """
@@ -39,13 +40,9 @@ def _earlier_chunks(keys: Sequence[str]):
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Null-safe, since a NULL key is a group like any other.
-    renamed = carry.select(*[F.col(c).alias(f"_c_{c}") for c in (*keys, CHUNK)],
-                           *[c for c in carry.columns if c not in (*keys, CHUNK)])
-    same = F.lit(True)
-    for c in (*keys, CHUNK):
-        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
-    return df.join(renamed, same, "left").drop(*[f"_c_{c}" for c in (*keys, CHUNK)])
+    # The rows already are partitioned by these columns for the window, so
+    # only the small side moves, if it is not broadcast anyway.
+    return df.join(carry, [*keys, CHUNK], "left")
 
 
 def previous(chunked: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ Spark's variant type, so it stays inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def compact(json_text: Column) -> Column:
     return F.to_json(F.try_parse_json(json_text))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def field(parsed: Column, path: str) -> Column:
     """A nested value as a variant; SQL NULL when absent, JSON null when null."""
     return F.try_variant_get(parsed, path, "variant")
@@ -33,11 +39,6 @@ def field_text(parsed: Column, path: str) -> Column:
     return F.try_variant_get(parsed, path, "string")
 
 
-def present_or_null(value: Column) -> Column:
-    """Treat JSON null like an absent value."""
-    return F.when(~F.is_variant_null(value), value)
-
-
 def text_or_null(value: Column) -> Column:
     """JSON text of a value, NULL for JSON null or an absent value."""
     return F.nullif(F.to_json(value), F.lit("null"))
@@ -112,8 +113,7 @@ def _leading_items(parsed: Column, limit: int) -> Column:
     def cut(texts: Column) -> Column:
         return F.concat(F.lit("["), F.array_join(F.slice(texts, F.lit(1), kept(texts)), ","), F.lit("]"))
 
-    # A one-element array binds the item texts, so they are built once.
-    return F.element_at(F.transform(F.array(texts), cut), 1)
+    return bound(texts, cut)
 
 
 def _short_strings(parsed: Column, chars: int) -> Column:

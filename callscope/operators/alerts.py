@@ -74,7 +74,9 @@ def alert_candidates(state: DataFrame, settings: AlertSettings = AlertSettings()
         candidate(METRICS[0], F.col("p95_latency_ms"), settings.latency_p95_ms, slow),
         candidate(METRICS[1], F.col("error_rate_pct"), settings.error_rate_percent, failing),
     ))
-    return state.select("id", *NODE, "timestamp", F.explode(found).alias("c")).select("id", *NODE, "timestamp", "c.*")
+    # The outer form keeps Spark from repeating the percentile in a filter below.
+    exploded = state.select("id", *NODE, "timestamp", F.explode_outer(found).alias("c"))
+    return exploded.select("id", *NODE, "timestamp", "c.*").where(F.col("metric").isNotNull())
 
 
 def fire_alerts(candidates: DataFrame, cooldown_ms: int) -> DataFrame:
@@ -89,15 +91,13 @@ def fire_alerts(candidates: DataFrame, cooldown_ms: int) -> DataFrame:
     jumps (1, 2, 4, ... successors), so a long history takes a logarithmic
     number of joins, and no (tool, metric) is gathered in one task.
     """
-    picked = F.struct("timestamp", "id", "server_name", "value", "threshold")
     if cooldown_ms <= 0:
         return alert_rows(candidates)
-    # Calls within one millisecond: only the first can fire.
-    firsts = candidates.withColumn("t", epoch_ms("timestamp")).groupBy(*COOLDOWN_KEY, "t").agg(F.min(picked).alias("c"))
-    firsts = cut_lineage(firsts)
-    roots = firsts.groupBy(*COOLDOWN_KEY).agg(F.min("t").alias("t"))
+    timed = cut_lineage(candidates.withColumn("t", epoch_ms("timestamp")))
+    points = timed.select(*COOLDOWN_KEY, "t").distinct()
+    roots = cut_lineage(points.groupBy(*COOLDOWN_KEY).agg(F.min("t").alias("t")))
 
-    jumps = [cut_lineage(_successors(firsts.select(*COOLDOWN_KEY, "t"), cooldown_ms))]
+    jumps = [cut_lineage(_successors(points, cooldown_ms))]
     while not jumps[-1].isEmpty():
         jumps.append(cut_lineage(_doubled(jumps[-1], roots)))
 
@@ -105,7 +105,10 @@ def fire_alerts(candidates: DataFrame, cooldown_ms: int) -> DataFrame:
     for jump in reversed(jumps[:-1]):
         both = F.array_compact(F.array("t", "next"))
         fired = fired.join(jump, [*COOLDOWN_KEY, "t"], "left").select(*COOLDOWN_KEY, F.explode(both).alias("t"))
-    return alert_rows(firsts.join(fired, [*COOLDOWN_KEY, "t"], "left_semi").select(*COOLDOWN_KEY, "c.*"))
+    # Of several candidates within one millisecond the first one fires.
+    first = F.min(F.struct("timestamp", "id", "server_name", "value", "threshold")).alias("c")
+    chosen = timed.join(fired, [*COOLDOWN_KEY, "t"], "left_semi").groupBy(*COOLDOWN_KEY, "t").agg(first)
+    return alert_rows(chosen.select(*COOLDOWN_KEY, "c.*"))
 
 
 def _successors(points: DataFrame, cooldown_ms: int) -> DataFrame:

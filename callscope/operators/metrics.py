@@ -54,8 +54,8 @@ def tool_stats(df: DataFrame) -> DataFrame:
 def p95_by_tool(df: DataFrame) -> DataFrame:
     """P95 per tool name across servers, with the server of its fastest call
     (smallest name when several are equally fast)."""
-    histogram = df.groupBy("tool_name", "latency_ms").agg(call_count().alias("n"), F.min("server_name").alias("server_name"))
-    fastest = histogram.groupBy("tool_name").agg(F.min_by("server_name", "latency_ms").alias("server_name"))
+    per_server = df.groupBy(*TOOL).agg(F.min("latency_ms").alias("fastest"))
+    fastest = per_server.groupBy("tool_name").agg(F.min(F.struct("fastest", "server_name"))["server_name"].alias("server_name"))
     p95 = nearest_rank(df, ["tool_name"], "latency_ms", {"p95_latency_ms": 0.95}).drop("call_count")
     return p95.join(fastest, "tool_name")
 

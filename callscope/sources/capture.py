@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.measures import epoch_ms
+from callscope.functions.measures import elapsed_ms
 from callscope.functions.ordered import in_chunks, previous
-from callscope.functions.payload import field, field_text, present_or_null, text_or_null, truthy
-from callscope.session import allow_duplicate_json_keys
+from callscope.functions.payload import bound, field, field_text, text_or_null, truthy
+from callscope.session import allow_duplicate_json_keys, cut_lineage
 
 CALL_METHOD = "tools/call"
 # Agent type recorded by each capture source.
@@ -33,15 +33,16 @@ def rpc_messages(log: DataFrame) -> DataFrame:
     The id keeps its JSON type, so ``1`` and ``"1"`` are different.
     """
     allow_duplicate_json_keys(log.sparkSession)
-    parsed = log.withColumn("_message", F.try_parse_json("line"))
-    rpc_id = _text(field(F.col("_message"), "$.id"))
-    has_method = truthy(field(F.col("_message"), "$.method"))
-    is_request = (F.col("direction") == "agent") & has_method
-    is_response = (F.col("direction") == "server") & ~has_method
-    return (
-        parsed.withColumns({"rpc_id": rpc_id, "is_request": is_request})
-        .where(F.col("rpc_id").isNotNull() & (is_request | is_response))
-    )
+    def takes_part(message: Column) -> Column:
+        from_agent = F.col("direction") == "agent"
+        return field(message, "$.id").isNotNull() & (from_agent == truthy(field(message, "$.method")))
+
+    # The filter runs below the projection and parses for itself, once.
+    messages = log.where(bound(F.try_parse_json("line"), takes_part)).withColumn("_message", F.try_parse_json("line"))
+    return messages.withColumns({
+        "rpc_id": _text(field(F.col("_message"), "$.id")),
+        "is_request": F.col("direction") == "agent",
+    })
 
 
 def pair_rpc_log(log: DataFrame) -> DataFrame:
@@ -57,7 +58,8 @@ def pair_rpc_log(log: DataFrame) -> DataFrame:
     """
     messages = rpc_messages(log)
     keys, order = ["conn", "rpc_id"], ["ts", "direction", "seq"]
-    thin = in_chunks(messages.select(*keys, *order, "is_request"), keys, order)
+    # Written down first: sampling the sort ranges would parse every line again.
+    thin = in_chunks(cut_lineage(messages.select(*keys, *order, "is_request")), keys, order)
     lagged = previous(thin, keys, order, F.struct("is_request", "seq", "ts"), "open")
     pairs = lagged.where(~F.col("is_request") & F.col("open.is_request")).select(
         "conn", "rpc_id", F.col("open.seq").alias("request_seq"), F.col("open.ts").alias("request_ts"),
@@ -72,7 +74,7 @@ def pair_rpc_log(log: DataFrame) -> DataFrame:
     joined = pairs.join(request, ["conn", "request_seq"]).join(response, ["conn", "response_seq"])
     return joined.withColumns({
         "timestamp": F.col("request_ts"),
-        "latency_ms": (epoch_ms("response_ts") - epoch_ms("request_ts")).cast("int"),
+        "latency_ms": elapsed_ms("request_ts", "response_ts"),
     }).drop("request_ts")
 
 
@@ -153,13 +155,17 @@ def calls_from_http(exchanges: DataFrame) -> DataFrame:
     allow_duplicate_json_keys(exchanges.sparkSession)
     request, response = F.col("_request"), F.col("_response")
     lost = F.col("proxy_error").isNotNull()
-    parsed = exchanges.withColumns({
-        "_request": present_or_null(F.try_parse_json("request_body")),
+
+    def recorded(body: Column) -> Column:
+        return F.when(lost, ~F.is_variant_null(body)).otherwise(truthy(field(body, "$.method")))
+
+    parsed = exchanges.where(bound(F.try_parse_json("request_body"), recorded)).withColumns({
+        "_request": F.try_parse_json("request_body"),
         "_response": F.try_parse_json("response_body"),
-    }).where(request.isNotNull() & (lost | truthy(field(request, "$.method"))))
+    })
     kept = [c for c in exchanges.columns if c not in ("request_body", "response_body", "t0", "t1")]
     messages = parsed.select(
-        *kept, F.col("t0").alias("timestamp"), (epoch_ms("t1") - epoch_ms("t0")).cast("int").alias("latency_ms"),
+        *kept, F.col("t0").alias("timestamp"), elapsed_ms("t0", "t1").alias("latency_ms"),
         *request_fields(request), *response_fields(response), _text(field(request, "$.params")).alias("_whole"),
     ).withColumn("method", F.coalesce("method", F.lit("unknown")))
     calls = map_capture_fields(messages, "http", "server")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callscope.config import ALERT_BUFFER_DROP, ALERT_BUFFER_MAX, AlertSettings
-from callscope.functions.measures import epoch_ms
+from callscope.functions.measures import elapsed_ms, epoch_ms
 from callscope.operators.alerts import NODE, alert_candidates, alert_rows
 from callscope.sources.capture import request_fields, response_fields, rpc_messages
 
@@ -163,4 +163,4 @@ def stream_pair_rpc(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     time_mode = "ProcessingTime" if ttl_ms else "None"
     pairs = lines.groupBy("conn", "rpc_id").transformWithStateInPandas(
         statefulProcessor=_PendingRequest(ttl_ms), outputStructType=_PAIR, outputMode="Append", timeMode=time_mode)
-    return pairs.withColumn("latency_ms", (epoch_ms("response_ts") - epoch_ms("timestamp")).cast("int"))
+    return pairs.withColumn("latency_ms", elapsed_ms("timestamp", "response_ts"))
