@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from callscope.config import DEFAULT_SINCE, SINCE_WINDOWS
 
+DATE = "date"
+
 
 def instant(df: DataFrame, at: datetime | str | Column, column: str = "timestamp") -> Column:
     """``at`` as a constant of the same type as the time column."""
@@ -19,8 +21,14 @@ def instant(df: DataFrame, at: datetime | str | Column, column: str = "timestamp
 
 
 def within(df: DataFrame, as_of: datetime | str | Column, width: str) -> DataFrame:
-    """Calls strictly later than ``as_of`` minus ``width``."""
-    return df.where(F.col("timestamp") > instant(df, as_of) - F.expr(f"interval {width}"))
+    """Calls strictly later than ``as_of`` minus ``width``.
+
+    On the stored table whole ``date`` partitions are skipped as well; one day
+    of slack covers readers in another time zone than the writer.
+    """
+    start = instant(df, as_of) - F.expr(f"interval {width}")
+    later = df.where(F.col("timestamp") > start)
+    return later.where(F.col(DATE) >= F.date_sub(F.to_date(start), 1)) if DATE in df.columns else later
 
 
 def since(df: DataFrame, as_of: datetime | str | Column, window: str = DEFAULT_SINCE) -> DataFrame:

@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators.filters import DATE
 from callscope.schema import ALERT_EVENTS, TOOL_CALLS, normalize_schema
 
-DATE = "date"
+
 
 
 def write_tool_calls(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append enriched calls, partitioned by day.
 
-    Rows are spread over (day, hash) so one busy day is written by many tasks,
-    and sorted by server, tool and time inside each file, so the Parquet
-    statistics serve the usual filters.
+    Rows are rebalanced by day: small days are gathered into few files and a
+    busy day is split over many tasks. Inside a file rows are sorted by server,
+    tool and time, so the Parquet statistics serve the usual filters.
     """
-    dated = normalize_schema(df).withColumn(DATE, F.to_date("timestamp"))
-    spread = dated.hint("rebalance", F.col(DATE)) if not df.isStreaming else dated
-    columns = [f.name for f in TOOL_CALLS.fields if f.name in dated.columns]
+    full = normalize_schema(df)
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TOOL_CALLS.fields if f.name in full.columns]
+    dated = full.select(*columns).withColumn(DATE, F.to_date("timestamp"))
     (
-        spread.select(*columns, DATE)
+        dated.hint("rebalance", F.col(DATE))
         .sortWithinPartitions(DATE, "server_name", "tool_name", "timestamp")
         .write.mode(mode).partitionBy(DATE).parquet(path)
     )
 
 
 def read_tool_calls(spark: SparkSession, path: str) -> DataFrame:
-    """The stored calls with current columns. Filter on ``date`` as well as
-    ``timestamp`` to prune whole days."""
-    return normalize_schema(spark.read.option("mergeSchema", "true").parquet(path))
+    """The stored calls with current columns, whenever a file was written.
+
+    The schema is given, so no file footers are read for it; a column that an
+    old file lacks reads as NULL and then gets its default. The time filters
+    prune whole days through the ``date`` partitions.
+    """
+    return normalize_schema(spark.read.schema(TOOL_CALLS).parquet(path))
 
 
 def write_alerts(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -36,6 +36,7 @@ def test_reports_read_no_payload(stored, report):
     schemas = [line for line in text.splitlines() if line.startswith("ReadSchema")]
     assert schemas and not any("arguments" in s or "response" in s for s in schemas)
     assert "GreaterThan(timestamp,2024-01-19" in text
+    assert "PartitionFilters: [isnotnull(date" in text and "2024-01-18" in text
 
 
 def test_tool_and_status_filters_are_pushed(stored):
