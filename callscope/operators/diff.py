@@ -59,11 +59,9 @@ def previous_same_tool(calls: DataFrame) -> DataFrame:
     return calls.withColumn("_ms", epoch_ms("timestamp")).join(lagged, [*keys, "_ms"]).drop("_ms")
 
 
-def pairs_with_previous(calls: DataFrame) -> DataFrame:
-    """Pairs ``(before, after)`` of consecutive calls of the same tool, ready
-    for :func:`diff_calls`; calls without a previous one are left out."""
-    found = previous_same_tool(calls.select("id", "session_id", "tool_name", "timestamp"))
-    found = found.where(F.col("previous_id").isNotNull()).select("id", "previous_id")
+def pairs_of(calls: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The payloads of chosen pairs of calls, ``(previous_id, id)``, ready for
+    :func:`diff_calls`; a row without a previous call is left out."""
     payloads = calls.select("id", "tool_name", "arguments", shown_response().alias("response"))
 
     def side(key: str, name: str) -> DataFrame:
@@ -71,7 +69,13 @@ def pairs_with_previous(calls: DataFrame) -> DataFrame:
             F.col("id").alias(key), F.col("tool_name").alias(f"tool_{name}"),
             F.col("arguments").alias(f"arguments_{name}"), F.col("response").alias(f"response_{name}"))
 
-    return found.join(side("id", "after"), "id").join(side("previous_id", "before"), "previous_id")
+    pairs = chosen.where(F.col("previous_id").isNotNull()).select("id", "previous_id")
+    return pairs.join(side("id", "after"), "id").join(side("previous_id", "before"), "previous_id")
+
+
+def pairs_with_previous(calls: DataFrame) -> DataFrame:
+    """Every call paired with the previous call of its tool in the session."""
+    return pairs_of(calls, previous_same_tool(calls.select("id", "session_id", "tool_name", "timestamp")))
 
 
 def diff_calls(pairs: DataFrame, keys: Sequence[str] = ("previous_id", "id"), changed_only: bool = False) -> DataFrame:

@@ -99,19 +99,9 @@ def sessionize(
     after the previous one. A call belongs to the session current at its
     response. A non-null ``session_id`` column overrides the computed id.
     """
-    gap_ms = _milliseconds(gap)
-    is_init = F.col("method") == "initialize"
-    starts_at_response = F.lit(False) if request_activity else is_init
-    at = epoch_ms("timestamp")
-    response = F.struct(
-        (at + F.col("latency_ms")).alias("at"), F.lit(1).alias("kind"), starts_at_response.alias("opens"),
-    )
-    request = F.struct(at.alias("at"), F.lit(0).alias("kind"), is_init.alias("opens"))
-    points = F.array(request, response) if request_activity else F.array(response)
-
+    gap_ms = milliseconds(gap)
     keys, order = ["conn"], ["at", "kind", "id"]
-    activity = calls.select(F.col(connection).alias("conn"), "id", F.explode(points).alias("p"))
-    activity = activity.select("conn", "id", "p.at", "p.kind", "p.opens")
+    activity = activity_points(calls, connection, request_activity)
     chunked = in_chunks(activity, keys, order)
     seen = previous(chunked, keys, order, F.col("at"), "before")
     opens = F.col("before").isNull() | F.col("opens") | (F.col("at") - F.col("before") > gap_ms)
@@ -127,7 +117,22 @@ def sessionize(
     return joined.withColumnRenamed("_session", "session_id")
 
 
-def _milliseconds(interval: str) -> int:
+def activity_points(calls: DataFrame, connection: str = "server_name", request_activity: bool = True) -> DataFrame:
+    """The times at which a call touches its connection: ``(conn, id, at,
+    kind, opens)``, kind 0 for the request and 1 for the response."""
+    is_init = F.col("method") == "initialize"
+    starts_at_response = F.lit(False) if request_activity else is_init
+    at = epoch_ms("timestamp")
+    response = F.struct(
+        (at + F.col("latency_ms")).alias("at"), F.lit(1).alias("kind"), starts_at_response.alias("opens"),
+    )
+    request = F.struct(at.alias("at"), F.lit(0).alias("kind"), is_init.alias("opens"))
+    points = F.array(request, response) if request_activity else F.array(response)
+    exploded = calls.select(F.col(connection).alias("conn"), "id", F.explode(points).alias("p"))
+    return exploded.select("conn", "id", "p.at", "p.kind", "p.opens")
+
+
+def milliseconds(interval: str) -> int:
     amount, unit = interval.split()
     scale = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
     return int(float(amount) * scale[unit.rstrip("s")])

@@ -8,6 +8,8 @@ from callscope.operators import metrics, topk
 from callscope.plans import testdata
 from callscope.plans.catalog import query
 from callscope.plans.testdata import WITH_CALLS, stamp
+from callscope.session import new_folder
+from callscope.sources import tables
 
 _HOURLY = AlertSettings(latency_p95_ms=4000, error_rate_percent=20, cooldown_minutes=60)
 
@@ -69,6 +71,13 @@ def _alerts_default(spark, sf):
     return ops.alerts(testdata.calls(spark, sf))
 
 
+@query("write_alerts", _HOURLY_SQL + f"select {_OUT} from fired")
+def _write(spark, sf):
+    folder = new_folder(spark, "alerts")
+    tables.write_alerts(_hourly(spark, sf), folder)
+    return tables.read_alerts(spark, folder)
+
+
 @query("alert_severity", _HOURLY_SQL + "select id, metric, case when value > 2 * threshold then 'CRITICAL' else 'WARNING' end as severity from fired")
 def _severity(spark, sf):
     return ops.alert_severity(_hourly(spark, sf)).select("id", "metric", "severity")

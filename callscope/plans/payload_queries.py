@@ -10,7 +10,6 @@ from callscope.plans import testdata
 from callscope.plans.catalog import query
 from callscope.plans.testdata import WITH_CALLS, stamp
 
-_JSON = "cast(to_json({}) as varchar)"
 
 
 def _documents(spark, sf):
@@ -169,3 +168,15 @@ select previous_id, id, arguments <> previous_arguments as arguments_changed, co
  false as different_tools from pairs where previous_id is not null""")
 def _summary_calls(spark, sf):
     return diff.diff_summary(diff.pairs_with_previous(testdata.calls(spark, sf)))
+
+
+# Any two calls can be compared, also calls of different tools: here each turn with the next one.
+@query("diff_summary_across_tools", """with pairs as (select conv_id * 100000 + turn as id, role, text, lag(conv_id * 100000 + turn) over w as previous_id,
+  lag(role) over w as previous_role, lag(text) over w as previous_text from conversations window w as (partition by conv_id order by turn))
+select previous_id, id, string_split(previous_text, chr(10)) <> string_split(text, chr(10)) as arguments_changed,
+ string_split(previous_text, ' ') <> string_split(text, ' ') as response_changed, previous_role <> role as different_tools
+from pairs where previous_id is not null""")
+def _summary_across(spark, sf):
+    calls = _conversation_calls(spark, sf)
+    chosen = diff.previous_same_tool(calls.select("id", "session_id", "timestamp", F.lit("any").alias("tool_name")))
+    return diff.diff_summary(diff.pairs_of(calls, chosen.select("id", "previous_id")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from callscope.operators import export
 from callscope.plans import reports, testdata
 from callscope.plans.catalog import query
-from callscope.plans.metric_queries import _BUCKETED, _P, _RATE, ranks_sql
+from callscope.plans.metric_queries import _P, _RATE, ranks_sql
 from callscope.plans.testdata import WITH_CALLS
 from callscope.session import new_folder
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.config import AlertSettings
 from callscope.operators.enrich import enrich
 from callscope.operators.topk import live_tail
 from callscope.plans import testdata, wiredata
 from callscope.plans.alert_queries import _HOURLY, _HOURLY_SQL, _OUT
 from callscope.plans.catalog import query
 from callscope.plans.metric_queries import _BUCKETED, ranks_sql
-from callscope.plans.session_queries import _EVENT_SQL, _OK, _PAIRS, _event_lines
+from callscope.plans.session_queries import _EVENT_SQL, _OK, _PAIRS, _REQUEST_POINTS, _event_lines, _gap_sql
 from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
 from callscope.plans.wiredata import WITH_LOG
 from callscope.session import new_folder
@@ -74,6 +73,12 @@ def _alerts(spark, sf):
     return _run(spark, stateful.stream_alerts(_calls_stream(spark, sf), _HOURLY), "alerts")
 
 
+@query("stream_sessionize", _gap_sql(300_000, _REQUEST_POINTS, "false"))
+def _sessionize(spark, sf):
+    method = F.when(F.col("id") % 11 == 0, "initialize").otherwise(F.col("method"))
+    return _run(spark, stateful.stream_sessionize(_calls_stream(spark, sf).withColumn("method", method)), "sessionize")
+
+
 @query("stream_pair_rpc", WITH_LOG + _PAIRS + f"""select conn, rpc_id, request_seq, response_seq, method, latency_ms, {stamp('timestamp')} as timestamp,
  cast(json_extract(response, '$.result') as varchar) as result, cast(json_extract(response, '$.error') as varchar) as error from pairs""")
 def _pair(spark, sf):

@@ -1,4 +1,4 @@
-"""Streams with ordered state: alerts and request/response pairing.
+"""Streams with ordered state: alerts, sessions, request/response pairing.
 
 State lives in RocksDB under the stream's checkpoint, so it survives restarts
 and lost executors. Rows of a micro-batch are taken in event-time order.
@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from callscope.config import ALERT_BUFFER_DROP, ALERT_BUFFER_MAX, AlertSettings
+from callscope.config import ALERT_BUFFER_DROP, ALERT_BUFFER_MAX, SESSION_GAP, AlertSettings
 from callscope.functions.measures import elapsed_ms, epoch_ms
 from callscope.operators.alerts import NODE, alert_candidates, alert_rows
+from callscope.operators.sessions import activity_points, milliseconds
 from callscope.sources.capture import request_fields, response_fields, rpc_messages
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,6 +115,45 @@ def stream_alerts(calls: DataFrame, settings: AlertSettings = AlertSettings()) -
     return alert_rows(fired)
 
 
+class _ConnectionSessions(StatefulProcessor):
+    """Session number and last activity of one connection."""
+
+    def __init__(self, gap_ms: int):
+        self._gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._current = handle.getValueState("current", "number bigint, last_at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        points = pd.concat(rows).sort_values(["at", "kind", "id"], kind="stable")
+        number, last = self._current.get() if self._current.exists() else (0, None)
+        numbers = []
+        for at, opens in zip(points["at"], points["opens"]):
+            if last is None or opens or at - last > self._gap_ms:
+                number += 1
+            last = int(at)
+            numbers.append(f"{key[0]}#{number}")
+        self._current.update((number, last))
+        points = points.assign(session_id=numbers)
+        yield points.loc[points["kind"] == 1, ["id", "session_id"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessionize(
+    calls: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP, request_activity: bool = True,
+) -> DataFrame:
+    """``(id, session_id)`` as calls arrive, by the rules of ``sessionize``,
+    ``initialize`` splits included. Equal to the batch job when activity
+    arrives in time order."""
+    use_rocksdb(calls.sparkSession)
+    points = activity_points(calls, connection, request_activity)
+    return points.groupBy("conn").transformWithStateInPandas(
+        statefulProcessor=_ConnectionSessions(milliseconds(gap)), outputStructType="id bigint, session_id string",
+        outputMode="Append", timeMode="None")
+
+
 class _PendingRequest(StatefulProcessor):
     """The open request of one (connection, id)."""
 
