@@ -53,23 +53,32 @@ def truthy(value: Column) -> Column:
 # -- redaction ---------------------------------------------------------------
 
 def _is_secret(key: str, words: tuple[str, ...]) -> str:
-    return f"lower({key}) rlike '{'|'.join(words)}'"
+    return f"coalesce(lower({key}) rlike '{'|'.join(words)}', false)"
 
 
 @lru_cache(maxsize=None)
 def _redacted(value: str, depth: int, max_depth: int, words: tuple[str, ...]) -> str:
+    """SQL of the redacted ``value``. Members of an object and items of an
+    array take the same path as (key, value) entries, items with a NULL key,
+    so each level holds the next one once."""
     if depth > max_depth:
         return value
-    key, inner, item = f"k{depth}", f"v{depth}", f"i{depth}"
-    in_object = _redacted(inner, depth + 1, max_depth, words)
-    in_array = _redacted(item, depth + 1, max_depth, words)
-    return (
-        f"coalesce("
-        f"to_variant_object(transform_values(try_cast({value} as map<string,variant>), ({key}, {inner}) -> "
-        f"if({_is_secret(key, words)}, parse_json('\"{REDACTED}\"'), {in_object}))), "
-        f"cast(transform(try_cast({value} as array<variant>), {item} -> {in_array}) as variant), "
-        f"{value})"
+    entry, item, entries = f"e{depth}", f"i{depth}", f"m{depth}"
+    inner = _redacted(f"{entry}.value", depth + 1, max_depth, words)
+    opened = (
+        f"coalesce(map_entries(try_cast({value} as map<string,variant>)), "
+        f"transform(try_cast({value} as array<variant>), {item} -> named_struct('key', cast(null as string), 'value', {item})))"
+    )
+    cleaned = (
+        f"transform({opened}, {entry} -> named_struct('key', {entry}.key, 'value', "
+        f"if({_is_secret(f'{entry}.key', words)}, parse_json('\"{REDACTED}\"'), {inner})))"
+    )
+    closed = (
+        f"case when {entries} is null or size({entries}) = 0 then {value} "
+        f"when {entries}[0].key is null then cast(transform({entries}, {item} -> {item}.value) as variant) "
+        f"else to_variant_object(map_from_entries({entries})) end"
     )
+    return f"element_at(transform(array({cleaned}), {entries} -> {closed}), 1)"
 
 
 def redact(json_text: str, max_depth: int = REDACTION_DEPTH, words: tuple[str, ...] = SECRET_WORDS) -> Column:
