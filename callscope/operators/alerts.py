@@ -14,6 +14,7 @@ from callscope.session import cut_lineage
 NODE = ("server_name", "tool_name")
 COOLDOWN_KEY = ("tool_name", "metric")
 METRICS = ("latency_p95", "error_rate")
+CELL_MS = 60_000
 
 
 def rolling_tool_state(calls: DataFrame) -> DataFrame:
@@ -114,12 +115,12 @@ def fire_alerts(candidates: DataFrame, cooldown_ms: int) -> DataFrame:
 def _successors(points: DataFrame, cooldown_ms: int) -> DataFrame:
     """For every candidate time the first candidate at least a cooldown later.
 
-    Times are cut into cells one cooldown wide, so the search for t + cooldown
-    starts in the next cell; a cell holds at most two rows per millisecond.
-    When that cell has no later candidate, the first one of the next cell that
+    Times are cut into cells of a minute. The search for t + cooldown looks
+    into the cell of that time, which holds two rows per millisecond at most.
+    When the cell has no later candidate, the first one of the next cell that
     has any is taken from a table with one row per cell.
     """
-    cell = F.floor(F.col("at") / cooldown_ms)
+    cell = F.floor(F.col("at") / CELL_MS)
     rows = points.select(
         *COOLDOWN_KEY, "t",
         F.explode(F.array(

@@ -46,18 +46,25 @@ def list_sessions(
 ) -> DataFrame:
     """Newest sessions with their number of calls (0 for an empty session).
 
-    With an agent type only sessions with such calls appear, and only those
-    calls count. Calls are counted before the join, and without an agent type
-    the page is cut before it too.
+    Without an agent type the page is cut first and only its calls are
+    counted. With one, only sessions with such calls appear and only those
+    calls count, so all of them are counted before the page is cut.
     """
-    counts = by_agent_type(calls, agent_type).groupBy("session_id").agg(call_count().alias("call_count"))
-    counts = counts.withColumnRenamed("session_id", "id")
+    def counted(chosen_calls: DataFrame) -> DataFrame:
+        counts = chosen_calls.groupBy("session_id").agg(call_count().alias("call_count"))
+        return counts.withColumnRenamed("session_id", "id")
+
+    def page_of(df: DataFrame) -> DataFrame:
+        return df.orderBy(*newest).offset(offset).limit(limit)
+
     chosen = by_server(sessions, server_name)
     newest = (F.desc("started_at"), F.asc("id"))
     if agent_type:
-        page = chosen.join(counts, "id").orderBy(*newest).offset(offset).limit(limit)
+        page = page_of(chosen.join(counted(by_agent_type(calls, agent_type)), "id"))
     else:
-        page = chosen.orderBy(*newest).offset(offset).limit(limit).join(counts, "id", "left")
+        page = page_of(chosen)
+        shown = page.select(F.col("id").alias("session_id"))
+        page = page.join(counted(calls.join(shown, "session_id", "left_semi")), "id", "left")
     return page.withColumn("call_count", F.coalesce("call_count", F.lit(0))).orderBy(*newest)
 
 
@@ -76,10 +83,11 @@ def call_timeline(calls: DataFrame) -> DataFrame:
     (at least 1 ms), linear and on a log scale (at least 3 %).
 
     The maximum is aggregated and joined back instead of taken over a window,
-    so a very long session is not gathered in one task.
+    so a very long session is not gathered in one task. Payloads stay behind.
     """
+    bars = calls.select("id", "session_id", "tool_name", "status", "timestamp", "latency_ms")
     longest = calls.groupBy("session_id").agg(F.greatest(F.max("latency_ms"), F.lit(1)).alias("_longest"))
-    joined = calls.join(longest, "session_id")
+    joined = bars.join(longest, "session_id")
     log_share = F.log(F.col("latency_ms") + F.lit(1.0)) / F.log(F.col("_longest") + F.lit(1.0)) * 100
     return joined.withColumns({
         "latency_pct": F.col("latency_ms") / F.col("_longest") * 100,

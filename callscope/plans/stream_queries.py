@@ -120,7 +120,7 @@ def _ingest_calls(spark, sf):
 @query("ingest_stream_sessions", WITH_CALLS + f"""select session_id as id, count(*) as sessions from
  (select distinct session_id from ({_EVENT_SQL}) where {_OK}) group by 1""")
 def _ingest_sessions(spark, sf):
-    return spark.read.parquet(_ingested(spark, sf).sessions).groupBy("id").agg(F.count(F.lit(1)).alias("sessions"))
+    return ingest.read_sessions(spark, _ingested(spark, sf).sessions).groupBy("id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
 @query("ingest_stream_rejected", WITH_CALLS + f"""select session_id, tool_name, timestamp,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from callscope.config import Pricing
 from callscope.operators.enrich import enrich
@@ -18,6 +18,7 @@ from callscope.sources.events import stream_events, validate_events
 from callscope.sources.tables import write_tool_calls
 
 BATCH = "batch"
+_SESSION_INPUT = "id bigint, session_id string, server_name string, timestamp timestamp"
 
 
 @dataclass(frozen=True)
@@ -48,29 +49,31 @@ def run_ingest_stream(
 
 def ingest_batch(batch: DataFrame, batch_id: int, paths: IngestPaths, pricing: Pricing = Pricing()) -> None:
     """Store one micro-batch."""
-    valid, rejected = validate_events(batch)
-    calls = enrich(valid.withColumn("id", _arrival_id(batch_id)), pricing)
-    folder = f"/{BATCH}={batch_id}"
-    write_tool_calls(calls, paths.calls + folder, mode="overwrite")
-    rejected.write.mode("overwrite").parquet(paths.rejected + folder)
-
-    # Read back what was stored: ids are fixed there, and the source is read once.
-    spark = batch.sparkSession
-    stored = spark.read.schema("id bigint, session_id string, server_name string, timestamp timestamp").parquet(
-        paths.calls + folder)
-    known = _sessions_before(spark, paths.sessions, batch_id)
-    fresh = derive_sessions(stored)
-    if known is not None:
-        fresh = fresh.join(known.select("id"), "id", "left_anti")
-    fresh.select(*SESSIONS.fieldNames()).write.mode("overwrite").parquet(paths.sessions + folder)
-
-
-def _sessions_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    batch.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once for both outputs
     try:
-        stored = spark.read.schema(T.StructType([*SESSIONS.fields, T.StructField(BATCH, T.LongType())])).option("basePath", path).parquet(path)
-    except AnalysisException:  # first batch: nothing stored yet
-        return None
-    return stored.where(F.col(BATCH) < batch_id).drop(BATCH)
+        valid, rejected = validate_events(batch)
+        calls = enrich(valid.withColumn("id", _arrival_id(batch_id)), pricing)
+        folder = f"/{BATCH}={batch_id}"
+        write_tool_calls(calls, paths.calls + folder, mode="overwrite")
+        rejected.write.mode("overwrite").parquet(paths.rejected + folder)
+    finally:
+        batch.unpersist()
+    stored = batch.sparkSession.read.schema(_SESSION_INPUT).parquet(paths.calls + folder)
+    derive_sessions(stored).write.mode("overwrite").parquet(paths.sessions + folder)
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The sessions the ingest stream stored: for each id the one of the
+    earliest batch, later ones never change it.
+
+    A batch only adds the sessions it saw. Looking up which of them are new is
+    left to the reader, so a batch costs the same however many there are.
+    """
+    schema = T.StructType([*SESSIONS.fields, T.StructField(BATCH, T.LongType())])
+    stored = spark.read.schema(schema).parquet(path)
+    columns = [name for name in SESSIONS.fieldNames() if name != "id"]
+    first = stored.groupBy("id").agg(F.min_by(F.struct(*columns), BATCH).alias("first"))
+    return first.select("id", "first.*")
 
 
 def _arrival_id(batch_id: int):
