@@ -19,6 +19,7 @@ from callscope.config import (
 from callscope.functions.measures import bucket, call_count, error_rate, is_error, or_zero, tokens
 from callscope.functions.percentile import P50_95, P50_95_99, nearest_rank
 from callscope.operators.filters import failed, since, within
+from callscope.session import cut_lineage
 
 NODE = ("server_name", "tool_name")
 TOOL = ("tool_name", "server_name")
@@ -151,12 +152,14 @@ def cost_by_node(df: DataFrame) -> DataFrame:
 def cost_by_session(df: DataFrame, sessions: DataFrame, n: int = 50) -> DataFrame:
     """The ``n`` most expensive sessions. Calls are summed, and the top ``n``
     taken, before the session columns are joined on; the sessions table is
-    first reduced to those ``n``, so it is read but not shuffled."""
-    top = df.groupBy("session_id").agg(
+    first reduced to those ``n``, so it is read but not shuffled. The top
+    rows are written down, since they are used twice and a second summing of
+    doubles might rank a close pair differently."""
+    top = cut_lineage(df.groupBy("session_id").agg(
         call_count().alias("call_count"),
         F.sum("cost_usd").alias("cost_usd"),
         F.sum(tokens()).alias("total_tokens"),
-    ).orderBy(F.desc("cost_usd"), "session_id").limit(n)
+    ).orderBy(F.desc("cost_usd"), "session_id").limit(n))
     details = sessions.select(F.col("id").alias("session_id"), "server_name", "started_at", "label")
     details = details.join(top.select("session_id"), "session_id", "left_semi")
     return top.join(details, "session_id", "left").orderBy(F.desc("cost_usd"), "session_id")
