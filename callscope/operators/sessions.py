@@ -97,47 +97,82 @@ def call_timeline(calls: DataFrame) -> DataFrame:
 
 def sessionize(
     calls: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP, request_activity: bool = True,
+    touches: DataFrame | None = None, ends: DataFrame | None = None,
 ) -> DataFrame:
     """Split each connection's calls into sessions ``connection#n``.
 
     Activity points are the request time (``timestamp``) and the response time
     (plus ``latency_ms``); HTTP capture knows only the response point, hence
     ``request_activity=False``. A new session starts at the first point, at an
-    ``initialize`` call, or when a point comes strictly later than ``gap``
-    after the previous one. A call belongs to the session current at its
-    response. A non-null ``session_id`` column overrides the computed id.
+    ``initialize`` call, when a point comes strictly later than ``gap`` after
+    the previous one, or after the connection was closed. A call belongs to
+    the session current at its response. A non-null ``session_id`` column
+    overrides the computed id.
+
+    ``touches`` replaces the calls' own request points by all requests of the
+    log, also unanswered ones: ``(conn, timestamp, opens)``. ``ends`` are the
+    times connections were closed: ``(conn, ended_at)``.
     """
-    gap_ms = milliseconds(gap)
-    keys, order = ["conn"], ["at", "kind", "id"]
-    activity = activity_points(calls, connection, request_activity)
-    chunked = in_chunks(activity, keys, order)
-    seen = previous(chunked, keys, order, F.col("at"), "before")
-    opens = F.col("before").isNull() | F.col("opens") | (F.col("at") - F.col("before") > gap_ms)
-    flagged = seen.withColumn("opens", opens.cast("long"))
-    numbered = running(flagged, keys, order, sums={"n": F.col("opens")})
-
-    computed = numbered.where(F.col("kind") == 1).select(
-        "id", F.concat("conn", F.lit("#"), F.col("n").cast("string")).alias("_session"),
-    )
+    points = _numbered_points(calls, connection, gap, request_activity, touches, ends)
+    computed = points.where(F.col("kind") == RESPONSE).select("id", _session_id().alias("_session"))
     joined = calls.join(computed, "id")
     if "session_id" in calls.columns:
         return joined.withColumn("session_id", F.coalesce("session_id", "_session")).drop("_session")
     return joined.withColumnRenamed("_session", "session_id")
 
 
-def activity_points(calls: DataFrame, connection: str = "server_name", request_activity: bool = True) -> DataFrame:
-    """The times at which a call touches its connection: ``(conn, id, at,
-    kind, opens)``, kind 0 for the request and 1 for the response."""
+def session_ends(
+    calls: DataFrame, ends: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP,
+    request_activity: bool = True, touches: DataFrame | None = None,
+) -> DataFrame:
+    """Which session each closing ends: ``(session_id, ended_at)``, the input
+    of :func:`apply_session_ends`. Closing an idle connection ends nothing."""
+    points = _numbered_points(calls, connection, gap, request_activity, touches, ends)
+    closed = points.where((F.col("kind") == END) & (F.col("n") > 0) & (F.col("before.kind") != END))
+    return closed.select(_session_id().alias("session_id"), F.timestamp_millis("at").alias("ended_at"))
+
+
+REQUEST, RESPONSE, END = 0, 1, 2
+
+
+def _session_id():
+    return F.concat("conn", F.lit("#"), F.col("n").cast("string"))
+
+
+def _numbered_points(calls, connection, gap, request_activity, touches, ends) -> DataFrame:
+    """Activity points in order with the number of the session current there."""
+    gap_ms = milliseconds(gap)
+    keys, order = ["conn"], ["at", "kind", "id"]
+    points = activity_points(calls, connection, request_activity, touches)
+    if ends is not None:
+        points = points.unionByName(ends.select(
+            "conn", F.lit(None).cast("long").alias("id"), epoch_ms("ended_at").alias("at"),
+            F.lit(END).alias("kind"), F.lit(False).alias("opens")))
+    chunked = in_chunks(points, keys, order)
+    seen = previous(chunked, keys, order, F.struct("at", "kind"), "before")
+    fresh = F.col("before").isNull() | (F.col("before.kind") == END)
+    opens = (F.col("kind") != END) & (fresh | F.col("opens") | (F.col("at") - F.col("before.at") > gap_ms))
+    return running(seen.withColumn("opens", opens.cast("long")), keys, order, sums={"n": F.col("opens")})
+
+
+def activity_points(
+    calls: DataFrame, connection: str = "server_name", request_activity: bool = True, touches: DataFrame | None = None,
+) -> DataFrame:
+    """The times at which calls touch their connection: ``(conn, id, at, kind,
+    opens)``, kind 0 for a request and 1 for a response."""
     is_init = F.col("method") == "initialize"
-    starts_at_response = F.lit(False) if request_activity else is_init
+    own_requests = request_activity and touches is None
+    opens_late = is_init if not request_activity and touches is None else F.lit(False)
     at = epoch_ms("timestamp")
-    response = F.struct(
-        (at + F.col("latency_ms")).alias("at"), F.lit(1).alias("kind"), starts_at_response.alias("opens"),
-    )
-    request = F.struct(at.alias("at"), F.lit(0).alias("kind"), is_init.alias("opens"))
-    points = F.array(request, response) if request_activity else F.array(response)
+    response = F.struct((at + F.col("latency_ms")).alias("at"), F.lit(RESPONSE).alias("kind"), opens_late.alias("opens"))
+    request = F.struct(at.alias("at"), F.lit(REQUEST).alias("kind"), is_init.alias("opens"))
+    points = F.array(request, response) if own_requests else F.array(response)
     exploded = calls.select(F.col(connection).alias("conn"), "id", F.explode(points).alias("p"))
-    return exploded.select("conn", "id", "p.at", "p.kind", "p.opens")
+    found = exploded.select("conn", "id", "p.at", "p.kind", "p.opens")
+    if touches is None:
+        return found
+    return found.unionByName(touches.select(
+        "conn", F.lit(None).cast("long").alias("id"), at.alias("at"), F.lit(REQUEST).alias("kind"), "opens"))
 
 
 def milliseconds(interval: str) -> int:

@@ -78,8 +78,9 @@ def _write(spark, sf):
 
 # -- capture --------------------------------------------------------------------
 
-_PAIRS = """, messages as (select *, cast(json_extract(line, '$.id') as varchar) as rpc_id,
-  coalesce(json_extract_string(line, '$.method'), '') as method from rpc_log where json_valid(line)),
+_PAIRS = """, valid as (select conn, direction, seq, ts, case when json_valid(line) then line end as line from rpc_log),
+ messages as (select *, cast(json_extract(line, '$.id') as varchar) as rpc_id,
+  coalesce(json_extract_string(line, '$.method'), '') as method from valid where line is not null),
  eligible as (select * from messages where rpc_id is not null and (direction = 'agent') = (method <> '')),
  lagged as (select *, lag(direction) over w as open_direction, lag(seq) over w as open_seq, lag(ts) over w as open_ts,
   lag(line) over w as open_line, lag(method) over w as open_method from eligible
@@ -130,7 +131,8 @@ for _source, _sql in _CAPTURES.items():
 
 
 @query("calls_from_http", f"with exchanges as ({wiredata.EXCHANGES_SQL})" + f""", parsed as (
- select *, coalesce(json_extract_string(request_body, '$.method'), '') as method from exchanges where json_valid(request_body))
+ select *, coalesce(json_extract_string(request_body, '$.method'), '') as method from
+  (select * replace (case when json_valid(request_body) then request_body end as request_body) from exchanges) where request_body is not null)
 select id, 'mcp-http' as agent_type, server as server_name, method,
  case when proxy_error is null and method = 'tools/call' then coalesce(json_extract_string(request_body, '$.params.name'), method) else method end as tool_name,
  case when proxy_error is null then cast(json_extract(request_body, '$.params.arguments') as varchar)
@@ -259,3 +261,44 @@ def _sessionize_6h(spark, sf):
 @query("sessionize_http", _gap_sql(300_000, "", "m = 'initialize'"))
 def _sessionize_http(spark, sf):
     return ops.sessionize(_with_init(spark, sf), request_activity=False).select("id", "session_id")
+
+
+# Closing a connection: here each timed-out call closes it at its end.
+_ENDS = """, methods as (select *, case when id % 11 = 0 then 'initialize' else method end as m from calls),
+ points as (select server_name as conn, id, epoch_us(timestamp) // 1000 as t, 0 as kind, m = 'initialize' as init from methods
+  union all select server_name, id, epoch_us(timestamp) // 1000 + latency_ms, 1, false from methods
+  union all select server_name, null, epoch_us(timestamp) // 1000 + latency_ms, 2, false from methods where status = 'timeout'),
+ lagged as (select *, lag(t) over w as last_t, lag(kind) over w as last_kind from points window w as (partition by conn order by t, kind, id)),
+ flagged as (select *, case when kind < 2 and (last_t is null or last_kind = 2 or init or t - last_t > 21600000) then 1 else 0 end as opened from lagged),
+ numbered as (select *, sum(opened) over (partition by conn order by t, kind, id rows unbounded preceding) as n from flagged) """
+
+
+def _closings(spark, sf):
+    closed = F.timestamp_millis(F.unix_millis(F.col("timestamp").cast("timestamp")) + F.col("latency_ms"))
+    return _with_init(spark, sf).where("status = 'timeout'").select(
+        F.col("server_name").alias("conn"), closed.alias("ended_at"))
+
+
+@query("sessionize_with_ends", WITH_CALLS + _ENDS + "select id, concat(conn, '#', cast(n as bigint)) as session_id from numbered where kind = 1")
+def _sessionize_ends(spark, sf):
+    return ops.sessionize(_with_init(spark, sf), gap="6 hours", ends=_closings(spark, sf)).select("id", "session_id")
+
+
+@query("session_ends", WITH_CALLS + _ENDS + f"""select concat(conn, '#', cast(n as bigint)) as session_id, {stamp('make_timestamp(t * 1000)')} as ended_at
+ from numbered where kind = 2 and n > 0 and last_kind <> 2""")
+def _session_ends(spark, sf):
+    return ops.session_ends(_with_init(spark, sf), _closings(spark, sf), gap="6 hours")
+
+
+# From the wire log to sessions: unanswered requests keep a session alive, too.
+@query("sessionize_wire_log", WITH_LOG + _PAIRS + """, points as (
+  select conn, cast(null as bigint) as id, epoch_us(ts) // 1000 as t, 0 as kind, method = 'initialize' as init from eligible where direction = 'agent'
+  union all select conn, request_seq, (epoch_us(timestamp) // 1000) + latency_ms, 1, false from pairs),
+ flagged as (select *, case when lag(t) over w is null or init or t - lag(t) over w > 300000 then 1 else 0 end as opened
+  from points window w as (partition by conn order by t, kind, id)),
+ numbered as (select *, sum(opened) over (partition by conn order by t, kind, id rows unbounded preceding) as n from flagged)
+ select id, concat(conn, '#', cast(n as bigint)) as session_id from numbered where kind = 1""")
+def _sessionize_log(spark, sf):
+    log = wiredata.rpc_log(spark, sf)
+    calls = capture.map_capture_fields(capture.pair_rpc_log(log), "stdio").withColumnRenamed("request_seq", "id")
+    return ops.sessionize(calls, touches=capture.request_touches(log)).select("id", "session_id")

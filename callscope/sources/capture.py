@@ -78,6 +78,15 @@ def pair_rpc_log(log: DataFrame) -> DataFrame:
     }).drop("request_ts")
 
 
+def request_touches(log: DataFrame) -> DataFrame:
+    """When requests touched their connection, answered or not: ``(conn,
+    timestamp, opens)``. ``initialize`` opens a session."""
+    requests = rpc_messages(log.where(F.col("direction") == "agent"))
+    method = field_text(F.col("_message"), "$.method")
+    opens = F.coalesce(method == "initialize", F.lit(False))
+    return requests.select("conn", F.col("ts").alias("timestamp"), opens.alias("opens"))
+
+
 def request_fields(message: Column) -> list[Column]:
     return [
         field_text(message, "$.method").alias("method"),

@@ -39,6 +39,11 @@ def test_reports_read_no_payload(stored, report):
     assert "PartitionFilters: [isnotnull(date" in text and "2024-01-18" in text
 
 
+def test_unknown_window_means_a_day(stored):
+    count = lambda window: filters.since(stored, "2024-01-20 00:00:00", window).count()
+    assert count("24h") == count("2 weeks") > count("1h")
+
+
 def test_tool_and_status_filters_are_pushed(stored):
     text = plan(filters.failed(filters.by_tool(stored, "tool1")))
     assert "EqualTo(tool_name,tool1)" in text and "Not(EqualTo(status,success))" in text

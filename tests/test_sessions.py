@@ -57,3 +57,21 @@ def test_known_sessions_stay(make_calls, spark):
         "id", "server_name", "timestamp_millis(99) as started_at", "null as ended_at", "null as label")), calls)
     assert [(r.id, r.call_count) for r in listed.collect()] == [("empty", 0), ("s1", 2), ("s2", 1)]
     assert sessions.replay(merged, calls, "nobody").count() == 0
+
+
+def test_closing_ends_the_session(make_calls, spark):
+    rows = [call(0, 0), call(1, 1000), call(2, 3000), call(3, 5000)]
+    ends = spark.createDataFrame([("a", 2000), ("a", 2500), ("a", 9000), ("b", 1)], "conn string, ms long").select(
+        "conn", F.timestamp_millis("ms").alias("ended_at"))
+    assert split(make_calls, rows, ends=ends) == {0: "a#1", 1: "a#1", 2: "a#2", 3: "a#2"}
+    df = make_calls(rows).drop("session_id").withColumn("method", F.lit("x"))
+    closed = sessions.session_ends(df, ends).select("session_id", F.unix_millis("ended_at").alias("ms")).collect()
+    assert sorted(map(tuple, closed)) == [("a#1", 2000), ("a#2", 9000)]
+
+
+def test_unanswered_requests_keep_a_session_alive(make_calls, spark):
+    rows = [call(0, 0), call(1, 8 * MINUTES)]
+    touches = spark.createDataFrame([("a", 0, False), ("a", 4 * MINUTES, False), ("a", 8 * MINUTES, False)],
+                                    "conn string, ms long, opens boolean").withColumn("timestamp", F.timestamp_millis("ms"))
+    assert split(make_calls, rows) == {0: "a#1", 1: "a#2"}
+    assert split(make_calls, rows, touches=touches) == {0: "a#1", 1: "a#1"}
