@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from callscope.operators import export
 from callscope.plans import reports, testdata
 from callscope.plans.catalog import query
-from callscope.plans.metric_queries import _P, _RATE, ranks_sql
+from callscope.plans.metric_queries import _P, _RATE, _USAGE, ranks_sql
 from callscope.plans.testdata import WITH_CALLS
 from callscope.session import new_folder
 
@@ -96,3 +96,11 @@ def _cost(spark, sf):
 def _errors(spark, sf):
     calls = testdata.calls(spark, sf)
     return _counted(reports.error_report(calls, testdata.as_of(calls)))
+
+
+@query("write_report_tokens", WITH_CALLS + f"""select server_name, tool_name, {_USAGE} from {_DAY} group by server_name, tool_name""")
+def _write_tokens(spark, sf):
+    calls, folder = testdata.calls(spark, sf), new_folder(spark, "report")
+    reports.write_report(reports.token_report(calls, testdata.as_of(calls)), folder)
+    types = "server_name string, tool_name string, call_count bigint, input_tokens bigint, output_tokens bigint, total_tokens bigint, cost_usd double"
+    return spark.read.schema(types).json(f"{folder}/byNode")

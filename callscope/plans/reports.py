@@ -1,8 +1,9 @@
 """Whole reports: several sections answering one question.
 
 A report is a set of aggregated DataFrames. :func:`document` nests them into
-one JSON array per section. Sections hold groups (nodes, buckets of at most
-seven days, classes) or top-n rows, never unaggregated calls.
+one JSON array per section: groups (nodes, buckets of at most seven days,
+classes) or top-n rows, never unaggregated calls. :func:`write_report` writes
+the same sections as JSON lines without nesting them.
 """
 
 from __future__ import annotations
@@ -86,3 +87,11 @@ def document(sections: dict[str, Section]) -> DataFrame:
     return names.join(nested, "section", "left").select(
         "section", F.coalesce(F.size("rows"), F.lit(0)).alias("row_count"),
         F.concat(F.lit("["), F.coalesce(F.array_join("rows.row", ","), F.lit("")), F.lit("]")).alias("json"))
+
+
+def write_report(sections: dict[str, Section], path: str) -> None:
+    """Each section as JSON lines in its own folder, in report order. Nothing
+    is nested, so a section may have any number of rows."""
+    for name, section in sections.items():
+        rows = section.rows.orderBy(*section.order) if section.order else section.rows
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")

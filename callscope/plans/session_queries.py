@@ -24,7 +24,7 @@ def _event_lines(spark, sf):
     session = F.when(F.col("id") % 7 == 3, "").when(F.col("id") % 7 == 4, None).otherwise(F.col("session_id"))
     tool = F.when((F.col("id") % 5 == 2) & (F.col("id") % 3 == 0), "").otherwise(F.col("tool_name"))
     return calls.select("id", F.to_json(F.struct(
-        session.alias("sessionId"), "agent_type", F.col("server_name").alias("serverName"), tool.alias("toolName"),
+        session.alias("sessionId"), F.col("agent_type").alias("agentType"), F.col("server_name").alias("serverName"), tool.alias("toolName"),
         "method", F.parse_json("arguments").alias("arguments"), F.col("response.size_bytes").alias("response"), "status",
         F.col("latency_ms").alias("latencyMs"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),

@@ -10,6 +10,9 @@ from callscope.session import allow_duplicate_json_keys
 
 REQUIRED = ("session_id", "tool_name", "timestamp_text")
 REJECT_REASON = "missing required fields: sessionId, toolName, timestamp"
+# Columns of the calls table that may be empty but never NULL.
+NOT_NULL = ("agent_type", "server_name", "method", "status", "latency_ms")
+INCOMPLETE_REASON = "missing values: one of agentType, serverName, method, status, latencyMs"
 
 _NAMES = {
     "sessionId": "session_id", "agentType": "agent_type", "serverName": "server_name", "toolName": "tool_name",
@@ -65,15 +68,19 @@ def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split into (valid, rejected).
 
     An event needs a session id, a tool name and a timestamp; missing and
-    empty are the same, blanks are not trimmed. Rejects carry a reason. A
-    timestamp that is present but unreadable is rejected too, since the table
-    stores instants and not text.
+    empty are the same, blanks are not trimmed. The remaining values that the
+    table requires may be empty but not missing, so a stored call has no NULL
+    in a key column. Rejects carry a reason. A timestamp that is present but
+    unreadable is rejected too, since the table stores instants and not text.
     """
-    missing = F.lit(False)
+    missing, incomplete = F.lit(False), F.lit(False)
     for column in REQUIRED:
         missing = missing | _blank(column)
-    unreadable = F.col("timestamp").isNull()
-    valid = df.where(~missing & ~unreadable).drop("timestamp_text")
-    rejected = df.where(missing | unreadable).withColumn(
-        "reason", F.when(missing, REJECT_REASON).otherwise("unreadable timestamp"))
-    return valid, rejected
+    for column in NOT_NULL:
+        incomplete = incomplete | F.col(column).isNull()
+    reason = (
+        F.when(missing, REJECT_REASON).when(incomplete, INCOMPLETE_REASON)
+        .when(F.col("timestamp").isNull(), "unreadable timestamp")
+    )
+    judged = df.withColumn("reason", reason)
+    return judged.where(F.col("reason").isNull()).drop("reason", "timestamp_text"), judged.where(F.col("reason").isNotNull())

@@ -99,13 +99,15 @@ def test_unknown_capture_source(spark):
 
 
 def test_event_payloads_keep_their_shape(spark):
+    rest = '"agentType":"other","serverName":"","method":"m","status":"success"'
     lines = [
-        '{"sessionId":"s","toolName":"t","timestamp":"2026-03-09T10:00:00Z","arguments":"text","response":null,"latencyMs":5}',
-        '{"sessionId":"s","toolName":"t","timestamp":"2026-03-09T12:00:00.000001+02:00","arguments":{"b":1,"a":1.0,"b":2}}',
-        '{"sessionId":"","toolName":"t","timestamp":"2026-03-09T10:00:00Z"}',
-        '{"sessionId":" ","toolName":"t","timestamp":"2026-03-09T10:00:00Z"}',
-        '{"toolName":"t","timestamp":"2026-03-09T10:00:00Z"}',
-        '{"sessionId":"s","toolName":"t","timestamp":"yesterday"}',
+        '{"sessionId":"s","toolName":"t","timestamp":"2026-03-09T10:00:00Z","arguments":"text","response":null,"latencyMs":5,' + rest + "}",
+        '{"sessionId":"s","toolName":"t","timestamp":"2026-03-09T12:00:00.000001+02:00","arguments":{"b":1,"a":1.0,"b":2},"latencyMs":5,' + rest + "}",
+        '{"sessionId":"","toolName":"t","timestamp":"2026-03-09T10:00:00Z","latencyMs":5,' + rest + "}",
+        '{"sessionId":" ","toolName":"t","timestamp":"2026-03-09T10:00:00Z","latencyMs":5,' + rest + "}",
+        '{"toolName":"t","timestamp":"2026-03-09T10:00:00Z","latencyMs":5,' + rest + "}",
+        '{"sessionId":"s","toolName":"t","timestamp":"yesterday","latencyMs":5,' + rest + "}",
+        '{"sessionId":"s","toolName":"t","timestamp":"2026-03-09T10:00:00Z",' + rest + "}",
     ]
     df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, value string")
     valid, rejected = events.validate_events(events.parse_events(df, keep=("i",)))
@@ -115,4 +117,4 @@ def test_event_payloads_keep_their_shape(spark):
     assert got[1].arguments == '{"a":1,"b":2}'
     assert (got[1].timestamp - got[0].timestamp).total_seconds() == 1e-6
     assert {r.i: r.reason.split(":")[0] for r in rejected.collect()} == {
-        2: "missing required fields", 4: "missing required fields", 5: "unreadable timestamp"}
+        2: "missing required fields", 4: "missing required fields", 5: "unreadable timestamp", 6: "missing values"}
