@@ -61,10 +61,11 @@ EVENT_JSON = T.StructType([
     T.StructField("arguments", T.VariantType()),
     T.StructField("response", T.VariantType()),
     T.StructField("status", T.StringType()),
-    T.StructField("latencyMs", T.IntegerType()),
+    T.StructField("latencyMs", T.DoubleType()),
     T.StructField("timestamp", T.StringType()),
     T.StructField("errorMsg", T.StringType()),
     T.StructField("errorCode", T.IntegerType()),
+    T.StructField("_corrupt_record", T.StringType()),  # the line itself when it is not JSON
 ])
 
 _ADDED_LATER = {

@@ -16,15 +16,16 @@ INCOMPLETE_REASON = "missing values: one of agentType, serverName, method, statu
 
 _NAMES = {
     "sessionId": "session_id", "agentType": "agent_type", "serverName": "server_name", "toolName": "tool_name",
-    "method": "method", "status": "status", "latencyMs": "latency_ms", "errorMsg": "error_msg",
-    "errorCode": "error_code",
+    "method": "method", "status": "status", "errorMsg": "error_msg", "errorCode": "error_code",
+    "_corrupt_record": "unparsed",
 }
 
 
 def _to_calls(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Event fields under table names; payloads become compact JSON text.
 
-    ``timestamp_text`` keeps the received text for validation; ``timestamp``
+    Latencies are whole milliseconds. ``unparsed`` is the line itself when it
+    is not JSON, so that nothing is lost in quarantine. ``timestamp_text`` keeps the received text for validation; ``timestamp``
     is the instant it stands for, whatever offset it was written with.
     """
     def payload_text(name: str) -> Column:
@@ -33,6 +34,7 @@ def _to_calls(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(
         *keep,
         *[F.col(source).alias(name) for source, name in _NAMES.items()],
+        F.round("latencyMs").cast("int").alias("latency_ms"),
         payload_text("arguments"),
         payload_text("response"),
         F.col("timestamp").alias("timestamp_text"),
@@ -83,4 +85,4 @@ def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("timestamp").isNull(), "unreadable timestamp")
     )
     judged = df.withColumn("reason", reason)
-    return judged.where(F.col("reason").isNull()).drop("reason", "timestamp_text"), judged.where(F.col("reason").isNotNull())
+    return judged.where(F.col("reason").isNull()).drop("reason", "timestamp_text", "unparsed"), judged.where(F.col("reason").isNotNull())

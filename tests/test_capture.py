@@ -108,13 +108,17 @@ def test_event_payloads_keep_their_shape(spark):
         '{"toolName":"t","timestamp":"2026-03-09T10:00:00Z","latencyMs":5,' + rest + "}",
         '{"sessionId":"s","toolName":"t","timestamp":"yesterday","latencyMs":5,' + rest + "}",
         '{"sessionId":"s","toolName":"t","timestamp":"2026-03-09T10:00:00Z",' + rest + "}",
+        "{broken",
+        '{"sessionId":"s","toolName":"t","timestamp":"2026-03-09T10:00:00Z","latencyMs":7.5,' + rest + "}",
     ]
     df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, value string")
     valid, rejected = events.validate_events(events.parse_events(df, keep=("i",)))
     got = {r.i: r for r in valid.collect()}
-    assert sorted(got) == [0, 1, 3]
+    assert sorted(got) == [0, 1, 3, 8]
+    assert got[8].latency_ms == 8
     assert got[0].arguments == '"text"' and got[0].latency_ms == 5
     assert got[1].arguments == '{"a":1,"b":2}'
     assert (got[1].timestamp - got[0].timestamp).total_seconds() == 1e-6
-    assert {r.i: r.reason.split(":")[0] for r in rejected.collect()} == {
-        2: "missing required fields", 4: "missing required fields", 5: "unreadable timestamp", 6: "missing values"}
+    assert {r.i: (r.reason.split(":")[0], r.unparsed) for r in rejected.collect()} == {
+        2: ("missing required fields", None), 4: ("missing required fields", None), 5: ("unreadable timestamp", None),
+        6: ("missing values", None), 7: ("missing required fields", "{broken")}
