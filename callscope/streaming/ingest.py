@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +18,7 @@ from callscope.sources.events import stream_events, validate_events
 from callscope.sources.tables import write_tool_calls
 
 BATCH = "batch"
+BATCH_BITS = 40  # ids of one batch: up to 2^40 rows
 _SESSION_INPUT = "id bigint, session_id string, server_name string, timestamp timestamp"
 
 
@@ -52,7 +53,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, paths: IngestPaths, pricing: P
     batch.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once for both outputs
     try:
         valid, rejected = validate_events(batch)
-        calls = enrich(valid.withColumn("id", _arrival_id(batch_id)), pricing)
+        calls = enrich(_with_arrival_id(valid, batch_id), pricing)
         folder = f"/{BATCH}={batch_id}"
         write_tool_calls(calls, paths.calls + folder, mode="overwrite")
         rejected.write.mode("overwrite").parquet(paths.rejected + folder)
@@ -76,8 +77,17 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return first.select("id", "first.*")
 
 
-def _arrival_id(batch_id: int):
-    """Unique id, rising with the batch; inside a batch rows of one input
-    split are numbered in order. It breaks ties of equal times, nothing else."""
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return (F.lit(batch_id).cast("long") * (1 << 43) + F.spark_partition_id().cast("long") * (1 << 30) + position)
+def _with_arrival_id(df: DataFrame, batch_id: int) -> DataFrame:
+    """A unique ``id`` that rises with the batch and, inside it, with the input
+    split and line. It breaks ties of equal times.
+
+    Splits are numbered by adding up their row counts, one row per split.
+    """
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.withColumns({"_split": F.spark_partition_id(), "_line": line})
+    counts = placed.groupBy("_split").agg((F.max("_line") + 1).alias("rows"))
+    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_split", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_start"))
+    first = batch_id << BATCH_BITS
+    return placed.join(starts, "_split").withColumn("id", F.lit(first) + F.col("_start") + F.col("_line")).drop(
+        "_split", "_line", "_start")

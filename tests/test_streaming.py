@@ -103,6 +103,13 @@ def test_ingest_stream(spark, tmp_path):
     assert ingest.read_sessions(spark, paths.sessions).count() == 3
 
 
+def test_arrival_ids_are_unique_and_dense(spark):
+    df = spark.range(1000).repartition(7).where("id % 3 > 0").withColumnRenamed("id", "n")
+    ids = [r.id for r in ingest._with_arrival_id(df, 5).collect()]
+    assert sorted(ids) == sorted(set(ids)) and len(ids) == df.count()
+    assert min(ids) == 5 << 40 and max(ids) == (5 << 40) + len(ids) - 1
+
+
 def test_stored_calls_round_trip(spark, sf, tmp_path):
     calls = testdata.calls(spark, sf)
     path = str(tmp_path / "calls")
