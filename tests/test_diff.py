@@ -3,6 +3,9 @@
 import random
 from functools import lru_cache
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from callscope.functions.linediff import line_diff, pretty_lines
 from callscope.operators import diff
 
@@ -40,6 +43,15 @@ def test_random_pairs():
         assert line_diff(a, b) == exhaustive(tuple(a), tuple(b))
 
 
+lines = st.lists(st.sampled_from(["a", "b", "c", "{", "}"]), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(lines, lines)
+def test_any_pair(a, b):
+    assert line_diff(a, b) == exhaustive(tuple(a), tuple(b))
+
+
 def test_longer_pairs():
     rng = random.Random(6)
     for size in (60, 120):
