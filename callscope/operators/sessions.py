@@ -107,15 +107,16 @@ def sessionize(
     ``initialize`` call, when a point comes strictly later than ``gap`` after
     the previous one, or after the connection was closed. A call belongs to
     the session current at its response. A non-null ``session_id`` column
-    overrides the computed id.
+    overrides the computed id. ``id`` must be unique within a connection.
 
     ``touches`` replaces the calls' own request points by all requests of the
     log, also unanswered ones: ``(conn, timestamp, opens)``. ``ends`` are the
     times connections were closed: ``(conn, ended_at)``.
     """
     points = _numbered_points(calls, connection, gap, request_activity, touches, ends)
-    computed = points.where(F.col("kind") == RESPONSE).select("id", _session_id().alias("_session"))
-    joined = calls.join(computed, "id")
+    computed = points.where(F.col("kind") == RESPONSE).select(
+        F.col("conn").alias(connection), "id", _session_id().alias("_session"))
+    joined = calls.join(computed, [connection, "id"])
     if "session_id" in calls.columns:
         return joined.withColumn("session_id", F.coalesce("session_id", "_session")).drop("_session")
     return joined.withColumnRenamed("_session", "session_id")

@@ -41,6 +41,9 @@ _BUCKETED = "(select *, time_bucket(interval '15 minutes', timestamp) as b from
 _CALL_COLS = "id, session_id, server_name, tool_name, status, cast(latency_ms as bigint) as latency_ms"
 
 
+_FIRST = "(select session_id from calls order by id limit 1)"
+
+
 def _thin(df):
     return df.select("id", "session_id", "server_name", "tool_name", "status", "latency_ms")
 
@@ -61,14 +64,17 @@ def _failed(spark, sf):
     return _thin(filters.failed(testdata.calls(spark, sf)))
 
 
-@query("session_calls", WITH_CALLS + f"select {_CALL_COLS} from calls where session_id = 's8-1'")
+@query("session_calls", WITH_CALLS + f"select {_CALL_COLS} from calls where session_id = {_FIRST}")
 def _session_calls(spark, sf):
-    return _thin(filters.session_calls(testdata.calls(spark, sf), "s8-1"))
+    calls = testdata.calls(spark, sf)
+    return _thin(filters.session_calls(calls, testdata.first_session(calls)))
 
 
-@query("call_at", WITH_CALLS + f"select {_CALL_COLS} from calls where session_id = 's8-1' and timestamp = timestamp '2024-01-01 00:00:07.179575' order by id limit 1")
+@query("call_at", WITH_CALLS + f"""select {_CALL_COLS} from calls where session_id = {_FIRST}
+ and timestamp = (select timestamp from calls order by id limit 1) order by id limit 1""")
 def _call_at(spark, sf):
-    return _thin(filters.call_at(testdata.calls(spark, sf), "s8-1", "2024-01-01 00:00:07.179575"))
+    calls = testdata.calls(spark, sf)
+    return _thin(filters.call_at(calls, testdata.first_session(calls), testdata.one(calls, F.min_by("timestamp", "id"))))
 
 
 # -- enrichment -------------------------------------------------------------------
@@ -357,6 +363,7 @@ def _positioned(stats, column):
     return stats.select(F.row_number().over(order).alias("position"), "tool_name", "server_name", column)
 
 
-@query("sort_calls", WITH_CALLS + f"select {_LISTED} from calls where session_id = 's8-1' order by latency_ms desc, id")
+@query("sort_calls", WITH_CALLS + f"select {_LISTED} from calls where session_id = {_FIRST} order by latency_ms desc, id")
 def _sort_calls(spark, sf):
-    return _listed(topk.sort_calls(filters.session_calls(testdata.calls(spark, sf), "s8-1"), "latencyMs"))
+    calls = testdata.calls(spark, sf)
+    return _listed(topk.sort_calls(filters.session_calls(calls, testdata.first_session(calls)), "latencyMs"))

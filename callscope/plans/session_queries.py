@@ -216,9 +216,10 @@ def _total_server(spark, sf):
 
 @query("replay", WITH_CALLS + f"""select c.id, c.session_id, s.server_name as session_server_name, {stamp('s.started_at')} as started_at,
  c.tool_name, c.status, cast(c.latency_ms as bigint) as latency_ms, {stamp('c.timestamp')} as timestamp
- from calls c join sessions s on s.id = c.session_id where c.session_id = 's8-1' order by c.timestamp, c.id""")
+ from calls c join sessions s on s.id = c.session_id where c.session_id = (select session_id from calls order by id limit 1) order by c.timestamp, c.id""")
 def _replay(spark, sf):
-    return ops.replay(testdata.sessions(spark, sf), testdata.calls(spark, sf), "s8-1").select(
+    calls = testdata.calls(spark, sf)
+    return ops.replay(testdata.sessions(spark, sf), calls, testdata.first_session(calls)).select(
         "id", "session_id", "session_server_name", "started_at", "tool_name", "status", "latency_ms", "timestamp")
 
 

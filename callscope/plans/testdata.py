@@ -63,7 +63,17 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_of(df: DataFrame, column: str = "timestamp"):
     """Newest time in the table (one value), the reports' reference time."""
-    return df.agg(F.max(column)).first()[0]
+    return one(df, F.max(column))
+
+
+def first_session(df: DataFrame) -> str:
+    """The session of the first call (one value)."""
+    return one(df, F.min_by("session_id", "id"))
+
+
+def one(df: DataFrame, aggregate: Column):
+    """A single aggregated value."""
+    return df.agg(aggregate).first()[0]
 
 
 def flat(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -35,6 +35,12 @@ def test_initialize_splits_and_connections_are_apart(make_calls):
     assert split(make_calls, rows, method) == {0: "a#1", 1: "a#2", 2: "a#2", 3: "b#1"}
 
 
+def test_ids_of_different_connections_may_repeat(make_calls):
+    df = make_calls([call(1, 0), call(1, 5, server="b"), call(2, 9 * MINUTES)]).drop("session_id").withColumn("method", F.lit("x"))
+    got = sorted((r.server_name, r.id, r.session_id) for r in sessions.sessionize(df).collect())
+    assert got == [("a", 1, "a#1"), ("a", 2, "a#2"), ("b", 1, "b#1")]
+
+
 def test_session_override(make_calls):
     df = make_calls([call(0, 0), call(1, 1)]).withColumns({
         "method": F.lit("x"), "session_id": F.when(F.col("id") == 0, "mine")})
