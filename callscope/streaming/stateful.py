@@ -193,7 +193,8 @@ def stream_pair_rpc(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Requests with their responses as lines arrive (see ``pair_rpc_log``).
 
     The open request is kept per (connection, id), so ids may be reused at any
-    time. ``ttl_ms`` forgets requests that stay unanswered that long.
+    time. ``ttl_ms`` forgets requests that stay unanswered that long (by the
+    wall clock, so such a query keeps running and cannot use ``available_now``).
     """
     use_rocksdb(log.sparkSession)
     message = F.col("_message")

@@ -62,6 +62,19 @@ def test_pair_stream_equals_batch(spark, pieces):
     assert pairs.select(columns).exceptAll(whole).count() == 0
 
 
+def test_pairing_with_a_time_limit(spark, pieces):
+    # With a time limit the query has to keep running, so it is stopped here.
+    log = wiredata.as_log(wiredata.as_exchanges(streamed(spark, pieces)))
+    out = new_folder(spark, "limited")
+    query = sinks.to_parquet(stateful.stream_pair_rpc(log, ttl_ms=3_600_000), out, new_folder(spark, "state"))
+    for _ in range(60):
+        if query.awaitTermination(1) or sum(p.numInputRows > 0 for p in query.recentProgress) == 5:
+            break
+    query.stop()
+    assert query.exception() is None
+    assert spark.read.parquet(out).count() > 5000
+
+
 def event(i, session="s", **more):
     return {"sessionId": session, "toolName": "t", "serverName": "a", "agentType": "other", "method": "tools/call",
             "status": "success", "latencyMs": 5, "timestamp": f"2026-01-01T00:00:{i:02d}Z",
