@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def texts_in_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) ->
     """Slices of the batches holding about ``limit`` bytes of text each, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         block = np.cumsum(sizes) // limit
         cuts = np.flatnonzero(np.diff(block)) + 1
         begin = 0
