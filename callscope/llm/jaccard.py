@@ -5,10 +5,10 @@ on distinct sets, one per group of equal texts, and never lists all pairs:
 
 1. *Order.* A table of 2**18 counters over all shingles (fixed size, so it may be
    broadcast) orders every set from rare to common.
-2. *Prefixes.* Sets that reach the threshold share a shingle in their first
-   ``n - ceil(t * n) + 1`` places. Only prefixes move, and only shingles that
-   occur in the prefixes of two different sets go on. The few sets that hold
-   one are the candidates.
+2. *Prefixes.* Sets that reach the threshold share ``s`` shingles in their first
+   ``n - ceil(t * n) + s`` places. Only prefixes move, and only shingles that
+   occur in the prefixes of two different sets count. The few sets that hold
+   enough of them (``s`` is one in twenty of the smaller set) are the candidates.
 3. *Exact order.* Among the candidates every shingle is counted exactly. A
    set's own shingles come first and fill places without joining anything, so
    the positional filter becomes sharp; sets are joined anew on this order.
@@ -83,8 +83,14 @@ def _first_rows(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.sort(first[sizes[first] > 0])
 
 
-def prefix_length(n, num: int, den: int):
-    return n - -(-num * n // den) + 1
+def prefix_length(n, num: int, den: int, shared: int | np.ndarray = 1):
+    """Places among which a set has ``shared`` shingles in common with every set it links to."""
+    return np.minimum(n, n - -(-num * n // den) + shared)
+
+
+def shared_in_prefix(n):
+    """How many shingles of its first prefix a set is to share; one in twenty, one at least."""
+    return 1 + n // 20
 
 
 def _prefixes(batches, text, width, num, den, classes) -> Iterator[pa.RecordBatch]:
@@ -98,8 +104,8 @@ def _prefixes(batches, text, width, num, den, classes) -> Iterator[pa.RecordBatc
         wanted = np.zeros(block.num_rows, bool)
         wanted[_first_rows(keys, sizes)] = True
         place = np.arange(len(values)) - starts[texts]
-        taken = wanted[texts] & (place < prefix_length(sizes, num, den)[texts])
-        yield pa.RecordBatch.from_arrays([pa.array(values[taken].view(np.int64)), pa.array(keys[texts[taken]])], ["h", "k"])
+        taken = wanted[texts] & (place < prefix_length(sizes, num, den, shared_in_prefix(sizes))[texts])
+        yield pa.RecordBatch.from_arrays([pa.array(values[taken].view(np.int64)), pa.array(keys[texts[taken]]), pa.array(sizes[texts[taken]])], ["h", "k", "n"])
 
 
 def _members(batches, text, width, bloom) -> Iterator[pa.RecordBatch]:
@@ -228,9 +234,12 @@ def components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
         partial(_sets, text="text", width=width), f"id {df.schema[id].dataType.simpleString()}, n long, k long")
     thin = cut_lineage(thin)
 
-    prefixes = texts.mapInArrow(partial(_prefixes, text="text", width=width, num=num, den=den, classes=classes), "h long, k long")
+    prefixes = texts.mapInArrow(partial(_prefixes, text="text", width=width, num=num, den=den, classes=classes), "h long, k long, n long")
     several = prefixes.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("h")
-    candidates = cut_lineage(prefixes.join(several, "h", "left_semi").select("k").distinct())
+    # the partner may be smaller, down to the threshold, and both need to share as many as the smaller one asks for
+    asked = F.expr(f"1 + ceil(n * {num} / {den}) div 20")
+    candidates = prefixes.join(several, "h", "left_semi").groupBy("k", "n").agg(F.countDistinct("h").alias("shared"))
+    candidates = cut_lineage(candidates.where(F.col("shared") >= asked).select("k").distinct())
     # a fixed number of bits: past a few million candidates it lets more through, and the join below stays exact
     filled = candidates.select(F.expr(f"cast((k & {BLOOM_BITS - 1}) >> 3 as int)").alias("byte"), F.expr("cast(1 << cast(k & 7 as int) as int)").alias("bit"))
     filled = filled.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
