@@ -6,6 +6,6 @@ from callscope.llm.common import ORACLES, QUERIES
 
 
 def load():
-    from callscope.llm import jaccard, quality  # noqa: F401
+    from callscope.llm import jaccard, quality, repeats  # noqa: F401
 
     return QUERIES, ORACLES
