@@ -4,10 +4,10 @@ Documents over the size are cut into pieces; only their first piece may be
 shorter. Whole pieces fill a sequence each. The others are packed by best-fit
 decreasing, partition by partition. Dual feasible functions give a lower bound
 for the number of sequences of a partition; one that meets its bound is
-certified and done. Of the others, sequences that are not filled well are taken
-apart, their pieces move to half as many partitions, and best-fit decreasing
-runs again, until every partition is certified, a round brings nothing, or
-``rounds`` is reached. What moves shrinks by each round, and no task ever holds
+certified and done, but for sequences that are far from full. Those, and all
+that are not filled well where there is a gap, are taken apart; their pieces
+move to half as many partitions, and best-fit decreasing runs again. A round
+that saves no sequence is not used. What moves shrinks by each round, and no task ever holds
 more than ``per_partition`` pieces times two to the number of rounds.
 
 Defined results: a NULL text counts as empty and is one end token; repeated
@@ -147,18 +147,17 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1024
 
     now = packing(todo, parts, 0)
     for round_no in range(1, rounds + 1):
-        loose = now.where((F.col("gap") > 0) & (F.col("left") > slack))
-        before = loose.select("bin").distinct().count()
+        # gaps, and what rounding up costs: sequences that are far from full even where the bound is met
+        loose = ((F.col("gap") > 0) & (F.col("left") > slack)) | (F.col("left") * 8 >= size)
+        before = now.where(loose).select("bin").distinct().count()
+        parts = math.ceil(parts / 2)
         if before < 2:
             break
-        parts = max(1, math.ceil(parts / 2))
-        after = packing(loose, parts, round_no)
-        if after.select("bin").distinct().count() >= before:
-            break
-        done = now.where((F.col("gap") <= 0) | (F.col("left") <= slack))
-        out = out.union(answer(done, F.col("bin") * 2 + 1, F.col("offset")))
-        now = after
-        if round_no == rounds or not now.where("gap > 0").limit(1).count():
+        after = packing(now.where(loose), parts, round_no)
+        if after.select("bin").distinct().count() < before:
+            out = out.union(answer(now.where(~loose), F.col("bin") * 2 + 1, F.col("offset")))
+            now = after
+        if parts == 1:
             break
     return out.union(answer(now, F.col("bin") * 2 + 1, F.col("offset")))
 
