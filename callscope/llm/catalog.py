@@ -6,6 +6,6 @@ from callscope.llm.common import ORACLES, QUERIES
 
 
 def load():
-    from callscope.llm import jaccard, packing, quality, repeats  # noqa: F401
+    from callscope.llm import jaccard, packing, pii, quality, repeats  # noqa: F401
 
     return QUERIES, ORACLES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.session import cut_lineage
+
 #: Words are runs of characters outside this set (ASCII white space).
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -37,6 +40,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder (see :func:`cut_lineage`), its shuffle files let go.
+
+    Spark removes shuffle files once the driver has collected the plans that
+    made them. Long jobs of several steps would keep the files of all steps
+    until then, so the driver is asked to collect its garbage here.
+    """
+    out = cut_lineage(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def texts_in_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding about ``limit`` bytes of text each, one row at least."""
     for batch in batches:
