@@ -6,6 +6,10 @@ from callscope.llm.common import ORACLES, QUERIES
 
 
 def load():
+    import corpus_pipeline
     from callscope.llm import jaccard, packing, pii, quality, repeats  # noqa: F401
 
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
     return QUERIES, ORACLES
