@@ -40,8 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import mix, query, table, text_bytes
-from callscope.session import cut_lineage
+from callscope.llm.common import mix, query, table, text_bytes, written
 
 WINDOW = 100
 GRAM = 32
@@ -341,8 +340,8 @@ def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text", group_
     def resolved(runs: DataFrame) -> DataFrame:
         return runs.repartition("a").sortWithinPartitions("a", "c", "id", "lo").mapInArrow(_resolve, "a long, id long, lo long, nw long")
 
-    found = cut_lineage(resolved(texts.mapInArrow(_runs, schema)))
-    anchors = cut_lineage(found.where("a is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    found = written(resolved(texts.mapInArrow(_runs, schema)))
+    anchors = written(found.where("a is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     hot = anchors.where(F.col("n") > group_limit).select("a")
     several = anchors.where(F.col("n") <= group_limit).select("a")
     out = found.where("a is null").select("id", "lo", (F.col("nw") + WINDOW - 1).alias("length"))
