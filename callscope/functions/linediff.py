@@ -9,14 +9,53 @@ sqrt(n) * m bits and payloads of any length are diffed whole.
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from math import isqrt
 
 EQUAL, ADDED, DELETED = "eq", "add", "del"
 
 
-def _number(text: str):
+def number_text(text: str) -> str:
+    """A JSON number as a script prints it: shortest digits of the double, plain from 1e-6 to below 1e21."""
     value = float(text)
-    return int(value) if value.is_integer() and abs(value) < 1e21 else value
+    if value == 0 or value != value or value in (float("inf"), float("-inf")):
+        return "0" if value == 0 else "null"
+    sign, digits, exponent = Decimal(repr(value)).normalize().as_tuple()
+    digits, point = "".join(map(str, digits)), len(digits) + exponent
+    if point > 21 or point < -5:
+        tail = f".{digits[1:]}" if len(digits) > 1 else ""
+        out = f"{digits[0]}{tail}e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    elif point <= 0:
+        out = "0." + "0" * -point + digits
+    else:
+        out = digits[:point].ljust(point, "0") + ("." + digits[point:] if len(digits) > point else "")
+    return "-" * sign + out
+
+
+class _Number(str):
+    """The text of a number."""
+
+
+def _number(text: str) -> _Number:
+    return _Number(number_text(text))
+
+
+def _printed(value, line: str):
+    """The text of a value in parts, members indented by two blanks."""
+    if isinstance(value, _Number):
+        yield str(value)
+    elif isinstance(value, (dict, list)) and value:
+        ends, inner = "{}" if isinstance(value, dict) else "[]", line + "  "
+        yield ends[0]
+        for i, item in enumerate(value):
+            yield ("," if i else "") + inner
+            if isinstance(value, dict):
+                yield json.dumps(item, ensure_ascii=False) + ": "
+                item = value[item]
+            yield from _printed(item, inner)
+        yield line + ends[1]
+    else:
+        yield json.dumps(value, ensure_ascii=False)
 
 
 def pretty_lines(payload: str | None) -> list[str]:
@@ -24,10 +63,10 @@ def pretty_lines(payload: str | None) -> list[str]:
     if payload is None:
         return ["null"]
     try:
-        value = json.loads(payload, parse_float=_number)
+        value = json.loads(payload, parse_float=_number, parse_int=_number)
     except ValueError:
         return payload.split("\n")
-    return json.dumps(value, indent=2, ensure_ascii=False).split("\n")
+    return "".join(_printed(value, "\n")).split("\n")
 
 
 def line_diff(left: list[str], right: list[str]) -> list[tuple[str, str]]:

@@ -86,18 +86,25 @@ def redact(json_text: str, max_depth: int = REDACTION_DEPTH, words: tuple[str, .
 
     Objects and arrays are walked down to ``max_depth`` (the top level is 0);
     anything deeper is returned as it is. Strings that hold JSON are not
-    opened. Texts without any secret word skip the walk.
+    opened. The result is compact JSON either way, so its size does not depend
+    on how the text was laid out; a text that is not JSON stays as it is.
+    Texts without a secret word in a key skip the walk.
     """
     if any(not word.replace("_", "").isalnum() for word in words):
         raise ValueError("secret words may hold letters, digits and underscores only")
     column = f"`{json_text}`"
-    # The prefilter must let an escaped key (token) through as well.
-    candidate = f"lower({column}) rlike '{'|'.join(words)}|[\\\\\\\\]u'"
+    # A key is a string that a colon follows. Escaped characters may hide a word, and escaped
+    # quotes the end of its string, so a text with those passes on any word in it.
+    words_or_escape = f"{'|'.join(words)}|[\\\\\\\\]u"
+    candidate = (
+        f"(lower({column}) rlike '(?:{words_or_escape})[^\"]*+\"[ \\t\\n\\r]*+:'"
+        f" or (instr({column}, '\\\\\"') > 0 and lower({column}) rlike '{words_or_escape}'))"
+    )
     walked = _redacted("root", 0, max_depth, tuple(words))
     return F.expr(
         f"if({candidate}, "
         f"coalesce(to_json(element_at(transform(array(try_parse_json({column})), root -> {walked}), 1)), {column}), "
-        f"{column})"
+        f"coalesce(to_json(try_parse_json({column})), {column}))"
     )
 
 

@@ -152,11 +152,12 @@ def _doubled(jump: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def alert_rows(fired: DataFrame) -> DataFrame:
-    """Alert table rows. The id follows arrival order: two slots per call,
-    latency before error rate."""
-    slot = F.when(F.col("metric") == METRICS[0], 0).otherwise(1)
+    """Alert table rows. A call can fire one alert per metric: the latency
+    alert has the call's id, the error rate alert its bitwise complement, so
+    ids are unique whatever the range of call ids."""
+    number = F.when(F.col("metric") == METRICS[0], F.col("id")).otherwise(F.bitwise_not("id"))
     return fired.select(
-        (F.col("id") * 2 + slot).alias("id"), "tool_name", "server_name", "metric", "value", "threshold",
+        number.alias("id"), "tool_name", "server_name", "metric", "value", "threshold",
         F.col("timestamp").alias("fired_at"),
     )
 

@@ -61,8 +61,14 @@ def previous_same_tool(calls: DataFrame) -> DataFrame:
 
 def pairs_of(calls: DataFrame, chosen: DataFrame) -> DataFrame:
     """The payloads of chosen pairs of calls, ``(previous_id, id)``, ready for
-    :func:`diff_calls`; a row without a previous call is left out."""
-    payloads = calls.select("id", "tool_name", "arguments", shown_response().alias("response"))
+    :func:`diff_calls` and :func:`diff_summary`; a row without a previous call
+    is left out. Payloads are canonical JSON, so the order of keys is no
+    difference for either."""
+    def canonical(payload: Column) -> Column:
+        return F.coalesce(compact(payload), payload)
+
+    payloads = calls.select(
+        "id", "tool_name", canonical(F.col("arguments")).alias("arguments"), canonical(shown_response()).alias("response"))
 
     def side(key: str, name: str) -> DataFrame:
         return payloads.select(
@@ -105,11 +111,9 @@ def diff_vs_previous(calls: DataFrame, changed_only: bool = False) -> DataFrame:
 
 def diff_summary(pairs: DataFrame, keys: Sequence[str] = ("previous_id", "id")) -> DataFrame:
     """Per pair: did arguments or response change, are the tools different.
-    Compares canonical JSON, so no line diff is needed."""
+    Canonical texts are compared, so no line diff is needed."""
     def changed(section: str) -> Column:
-        before, after = F.col(f"{section}_before"), F.col(f"{section}_after")
-        canonical = F.coalesce(compact(before), before), F.coalesce(compact(after), after)
-        return (~canonical[0].eqNullSafe(canonical[1])).alias(f"{section}_changed")
+        return (~F.col(f"{section}_before").eqNullSafe(F.col(f"{section}_after"))).alias(f"{section}_changed")
 
     return pairs.select(
         *keys, *[changed(s) for s in SECTIONS],

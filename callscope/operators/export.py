@@ -6,11 +6,13 @@ in one file, a large one in several. CSV fields are quoted when needed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators.metrics import (
-    TOOL, cost_by_node, tool_error_series, tool_latency_series, tool_stats,
+    TOOL, cost_by_node, cost_by_session, cost_series, cost_totals, tool_error_series, tool_latency_series, tool_stats,
 )
 
 # Column names of the exported files.
@@ -24,6 +26,16 @@ COST_COLUMNS = {
     "input_tokens": "inputTokens", "output_tokens": "outputTokens", "cost_usd": "costUsd",
 }
 
+SESSION_COST_COLUMNS = {
+    "session_id": "sessionId", "server_name": "serverName", "started_at": "startedAt", "label": "label",
+    "call_count": "callCount", "cost_usd": "costUsd", "total_tokens": "totalTokens",
+}
+SERIES_COLUMNS = {"bucket": "bucket", "cost_usd": "costUsd"}
+TOTAL_COLUMNS = {
+    "total_cost_usd": "totalCostUsd", "total_tokens": "totalTokens", "active_nodes": "activeNodes",
+    "top_server_name": "topServerName", "top_tool_name": "topToolName",
+}
+
 
 def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for old, new in names.items()])
@@ -54,9 +66,30 @@ def export_tool_stats(calls: DataFrame, fmt: str, path: str) -> None:
     _write(_renamed(tool_stats(calls), TOOL_COLUMNS) if fmt == "csv" else tools_with_series(calls), fmt, path)
 
 
-def export_cost(calls: DataFrame, fmt: str, path: str) -> None:
-    """Cost per node, most expensive first; six decimals in CSV."""
-    costs = cost_by_node(calls)
+def cost_sections(calls: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The JSON form of the cost report as rows ``(section, entry)``:
+    totals, nodes, sessions and the 15-minute series. A row per entry, so a
+    report with many nodes is written by many tasks."""
+    def section(rows: DataFrame, name: str, names: dict[str, str]) -> DataFrame:
+        fields = F.to_json(F.struct(*[F.col(old).alias(new) for old, new in names.items()]), {"ignoreNullFields": "false"})
+        return rows.select(F.lit(name).alias("section"), fields.alias("entry"))
+
+    parts = [
+        section(cost_totals(calls), "totals", TOTAL_COLUMNS),
+        section(cost_by_node(calls), "byNode", COST_COLUMNS),
+        section(cost_by_session(calls, sessions), "bySession", SESSION_COST_COLUMNS),
+        section(cost_series(calls), "timeseries", SERIES_COLUMNS),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def export_cost(calls: DataFrame, fmt: str, path: str, sessions: DataFrame | None = None) -> None:
+    """CSV: cost per node, most expensive first, six decimals. JSON: all
+    sections of the cost report, one line per entry; it needs the sessions."""
     if fmt == "csv":
-        costs = costs.withColumn("cost_usd", F.format_string("%.6f", "cost_usd"))
-    _write(_renamed(costs, COST_COLUMNS), fmt, path)
+        costs = cost_by_node(calls).withColumn("cost_usd", F.format_string("%.6f", "cost_usd"))
+        _write(_renamed(costs, COST_COLUMNS), fmt, path)
+    elif sessions is None:
+        raise ValueError("the JSON form lists sessions; pass the sessions table")
+    else:
+        _write(cost_sections(calls, sessions), fmt, path)

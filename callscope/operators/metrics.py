@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.config import (
@@ -181,8 +181,11 @@ def cost_totals(df: DataFrame) -> DataFrame:
 # -- errors and counts --------------------------------------------------------
 
 def errors_by_class(df: DataFrame) -> DataFrame:
+    """Failed calls per class, and the class's share of them in percent."""
     label = F.coalesce(F.col("error_class"), F.lit("unclassified"))
-    return failed(df).groupBy(label.alias("error_class")).agg(call_count().alias("count"))
+    counts = failed(df).groupBy(label.alias("error_class")).agg(call_count().alias("count"))
+    # there are as many rows as classes, four at most
+    return counts.withColumn("share_pct", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100)
 
 
 def sessions_total(sessions: DataFrame, server_name: str | None = None) -> DataFrame:

@@ -160,8 +160,11 @@ def activity_points(
     calls: DataFrame, connection: str = "server_name", request_activity: bool = True, touches: DataFrame | None = None,
 ) -> DataFrame:
     """The times at which calls touch their connection: ``(conn, id, at, kind,
-    opens)``, kind 0 for a request and 1 for a response."""
+    opens)``, kind 0 for a request and 1 for a response. An ``initialize`` that
+    was ``lost`` on the way (see ``calls_from_http``) opens nothing."""
     is_init = F.col("method") == "initialize"
+    if "lost" in calls.columns:
+        is_init = is_init & ~F.coalesce("lost", F.lit(False))
     own_requests = request_activity and touches is None
     opens_late = is_init if not request_activity and touches is None else F.lit(False)
     at = epoch_ms("timestamp")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from callscope.operators.filters import failed
 
+# The columns of an error listing, and the names by which lists may be sorted.
 ERROR_COLUMNS = (
     "id", "session_id", "server_name", "tool_name", "status", "error_class", "error_code", "error_msg", "timestamp",
 )

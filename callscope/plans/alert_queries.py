@@ -43,7 +43,7 @@ def _alerts_sql(p95: float, rate: float, cooldown_ms: int) -> str:
   on a.tool_name = b.tool_name and a.metric = b.metric and a.t + {cooldown_ms} <= b.t group by all),
  chain as (select tool_name, metric, min(t) as t from firsts group by tool_name, metric
   union all select s.tool_name, s.metric, s.next from chain c join successors s on s.tool_name = c.tool_name and s.metric = c.metric and s.t = c.t),
- fired as (select f.id * 2 + case when f.metric = 'latency_p95' then 0 else 1 end as id, f.tool_name, f.server_name, f.metric, f.value, f.threshold,
+ fired as (select case when f.metric = 'latency_p95' then f.id else -1 - f.id end as id, f.tool_name, f.server_name, f.metric, f.value, f.threshold,
   f.timestamp as fired_at from firsts f join chain c on c.tool_name = f.tool_name and c.metric = f.metric and c.t = f.t) """
 
 

@@ -282,7 +282,8 @@ def _cost_totals(spark, sf):
     return metrics.cost_totals(testdata.calls(spark, sf))
 
 
-@query("errors_by_class", WITH_CALLS + "select coalesce(error_class, 'unclassified') as error_class, count(*) as count from calls where status <> 'success' group by 1")
+@query("errors_by_class", WITH_CALLS + """select coalesce(error_class, 'unclassified') as error_class, count(*) as count,
+ round(count(*) * 100.0 / sum(count(*)) over (), 6) as share_pct from calls where status <> 'success' group by 1""")
 def _errors_class(spark, sf):
     return metrics.errors_by_class(testdata.calls(spark, sf))
 

@@ -92,12 +92,16 @@ def _truncate_object(spark, sf):
 
 # -- diffs -----------------------------------------------------------------------
 
+# A number for each (conversation, turn), without a bound on either.
+TURN_ID = "(cast((conv_id + turn) * (conv_id + turn + 1) / 2 as bigint) + turn)"
+
+
 def _conversation_calls(spark, sf):
     """Turns as calls: conversation = session, role = tool, turn = order."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     data = F.to_json(F.split("text", " "))
     return turns.select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("id"),
+        F.expr(TURN_ID).alias("id"),
         F.col("conv_id").cast("string").alias("session_id"), F.col("role").alias("tool_name"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60).alias("timestamp"),
         F.to_json(F.split("text", "\n")).alias("arguments"),
@@ -105,8 +109,8 @@ def _conversation_calls(spark, sf):
     )
 
 
-_TURNS = """with turns as (select conv_id * 100000 + turn as id, conv_id, role, turn, text,
-  lag(conv_id * 100000 + turn) over w as previous_id, lag(text) over w as previous_text from conversations
+_TURNS = f"""with turns as (select {TURN_ID} as id, conv_id, role, turn, text,
+  lag({TURN_ID}) over w as previous_id, lag(text) over w as previous_text from conversations
   window w as (partition by conv_id, role order by turn)),
  pairs as (select * from turns where previous_id is not null) """
 
@@ -125,9 +129,30 @@ def _previous_turn(spark, sf):
     return diff.previous_same_tool(_conversation_calls(spark, sf)).select("id", "previous_id")
 
 
-@query("diff_vs_previous")
+# Lines of these payloads are unique, so the diff has a closed form: before the next
+# common line, what was only before is deleted, then what is only after is added.
+@query("diff_vs_previous", WITH_CALLS + """, pairs as (select id, lag(id) over w as previous_id, arguments, response_bytes,
+  lag(arguments) over w as old_arguments, lag(response_bytes) over w as old_bytes from calls
+  window w as (partition by session_id, tool_name order by timestamp, id)),
+ sides as (
+  select previous_id, id, 'arguments' as section, ['{', concat('  "k": ', json_extract_string(old_arguments, '$.k')), '}'] as l,
+   ['{', concat('  "k": ', json_extract_string(arguments, '$.k')), '}'] as r from pairs where previous_id is not null
+  union all select previous_id, id, 'response',
+   case when old_bytes is null then ['null'] else ['{', '  "data": null,', concat('  "sizeBytes": ', cast(old_bytes as bigint), ','), '  "truncated": false', '}'] end,
+   case when response_bytes is null then ['null'] else ['{', '  "data": null,', concat('  "sizeBytes": ', cast(response_bytes as bigint), ','), '  "truncated": false', '}'] end
+  from pairs where previous_id is not null),
+ shared as (select *, list_filter(l, lambda x: list_contains(r, x)) as c from sides),
+ lines as (
+  select previous_id, id, section, c, unnest(l) as line, generate_subscripts(l, 1) as pos, 'l' as side from shared
+  union all select previous_id, id, section, c, unnest(r), generate_subscripts(r, 1), 'r' from shared),
+ kinds as (select *, case when list_contains(c, line) then 'eq' when side = 'l' then 'del' else 'add' end as type from lines),
+ placed as (select *, coalesce(sum(case when type = 'eq' then 1 else 0 end) over (partition by previous_id, id, section, side order by pos), 0) as run from kinds),
+ kept as (select * from placed where type <> 'eq' or side = 'l')
+select previous_id, id, section, row_number() over (partition by previous_id, id, section
+  order by run, case type when 'eq' then 0 when 'del' then 1 else 2 end, pos) - 1 as line_no, type, line,
+ case type when 'add' then '+' when 'del' then '-' else ' ' end as gutter from kept""")
 def _diff_previous(spark, sf):
-    return diff.unified(diff.diff_vs_previous(_conversation_calls(spark, sf)))
+    return diff.unified(diff.diff_vs_previous(testdata.calls(spark, sf)))
 
 
 # Both sides of every diff must read like the payloads: '[', one line per item, ']'.
@@ -171,7 +196,7 @@ def _summary_calls(spark, sf):
 
 
 # Any two calls can be compared, also calls of different tools: here each turn with the next one.
-@query("diff_summary_across_tools", """with pairs as (select conv_id * 100000 + turn as id, role, text, lag(conv_id * 100000 + turn) over w as previous_id,
+@query("diff_summary_across_tools", f"""with pairs as (select {TURN_ID} as id, role, text, lag({TURN_ID}) over w as previous_id,
   lag(role) over w as previous_role, lag(text) over w as previous_text from conversations window w as (partition by conv_id order by turn))
 select previous_id, id, string_split(previous_text, chr(10)) <> string_split(text, chr(10)) as arguments_changed,
  string_split(previous_text, ' ') <> string_split(text, ' ') as response_changed, previous_role <> role as different_tools

@@ -29,7 +29,7 @@ def _tools_csv(spark, sf):
 def _tools_json(spark, sf):
     folder = new_folder(spark, "tools-json")
     export.export_tool_stats(testdata.calls(spark, sf), "json", folder)
-    series = ", timeseriesLatency array<struct<bucket:string,p50:int,p95:int>>, timeseriesErrors array<struct<bucket:string,errorRatePct:double>>"
+    series = ", timeseriesLatency array<struct<bucket:string,p50:bigint,p95:bigint>>, timeseriesErrors array<struct<bucket:string,errorRatePct:double>>"
     stored = spark.read.schema(_TOOL_TYPES + series).json(folder)
     return stored.select(
         *[F.col(c) for c in stored.columns[:7]],
@@ -46,6 +46,27 @@ def _cost_csv(spark, sf):
     return spark.read.schema(types).csv(folder, header=True)
 
 
+@query("export_cost_json", WITH_CALLS + """
+select 'totals' as section, '' as key, round(sum(cost_usd), 6) as cost, cast(sum(input_tokens + output_tokens) as bigint) as tokens from calls
+union all select 'byNode', concat(server_name, '/', tool_name), round(sum(cost_usd), 6), cast(sum(input_tokens + output_tokens) as bigint)
+ from calls group by server_name, tool_name
+union all select 'bySession', session_id, round(c, 6), t from (select session_id, sum(cost_usd) as c, cast(sum(input_tokens + output_tokens) as bigint) as t
+ from calls group by 1 order by c desc, session_id limit 50)
+union all select 'timeseries', strftime(time_bucket(interval '15 minutes', timestamp), '%Y-%m-%dT%H:%M:%S'), round(sum(cost_usd), 6), null
+ from calls group by 2""")
+def _cost_json(spark, sf):
+    folder = new_folder(spark, "cost-json")
+    export.export_cost(testdata.calls(spark, sf), "json", folder, testdata.sessions(spark, sf))
+    entry = "serverName string, toolName string, sessionId string, bucket string, costUsd double, totalCostUsd double, inputTokens bigint, outputTokens bigint, totalTokens bigint"
+    rows = spark.read.schema("section string, entry string").json(folder).select("section", F.from_json("entry", entry).alias("e"))
+    node = F.concat_ws("/", "e.serverName", "e.toolName")
+    key = F.when(F.col("section") == "byNode", node).when(F.col("section") == "bySession", F.col("e.sessionId"))
+    return rows.select(
+        "section", F.coalesce(key, F.substring("e.bucket", 1, 19), F.lit("")).alias("key"),
+        F.coalesce("e.costUsd", "e.totalCostUsd").alias("cost"),
+        F.coalesce("e.totalTokens", F.col("e.inputTokens") + F.col("e.outputTokens")).alias("tokens"))
+
+
 # -- reports: one JSON array per section; the rows of each are checked by their own queries --
 
 _DAY = "(select * from calls where timestamp > (select max(timestamp) from calls) - interval 24 hours) d"

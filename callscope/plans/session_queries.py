@@ -59,7 +59,7 @@ def _valid(spark, sf):
 
 
 @query("validate_events_rejected", WITH_CALLS + f"""select id, session_id, tool_name,
- 'missing required fields: sessionId, toolName, timestamp' as reason from ({_EVENT_SQL}) where not ({_OK})""")
+ 'an event needs a session, a tool and a time' as reason from ({_EVENT_SQL}) where not ({_OK})""")
 def _rejected(spark, sf):
     _, rejected = events.validate_events(events.parse_events(_event_lines(spark, sf), keep=("id",)))
     return rejected.select("id", "session_id", "tool_name", "reason")
@@ -142,7 +142,8 @@ select id, 'mcp-http' as agent_type, server as server_name, method,
  case when proxy_error is not null or json_extract(response_body, '$.error') is not null then 'error' else 'success' end as status,
  (epoch_us(t1) // 1000) - (epoch_us(t0) // 1000) as latency_ms, {stamp('t0')} as timestamp,
  case when proxy_error is not null then proxy_error else json_extract_string(response_body, '$.error.message') end as error_msg,
- case when proxy_error is null then cast(json_extract(response_body, '$.error.code') as bigint) end as error_code
+ case when proxy_error is null then cast(json_extract(response_body, '$.error.code') as bigint) end as error_code,
+ proxy_error is not null as lost
 from parsed where method <> ''""".replace("response_body, '$", "case when response_body <> '' then response_body end, '$"))
 def _http(spark, sf):
     return capture.calls_from_http(wiredata.exchanges(spark, sf))
@@ -264,6 +265,18 @@ def _sessionize_http(spark, sf):
     return ops.sessionize(_with_init(spark, sf), request_activity=False).select("id", "session_id")
 
 
+# The recorded exchanges themselves: an initialize that never reached the server opens no session.
+@query("sessionize_http_log", f"with exchanges as ({wiredata.EXCHANGES_SQL})" + """, points as (
+  select id, server, epoch_us(t1) // 1000 as t, json_extract_string(request_body, '$.method') = 'initialize' and proxy_error is null as init
+  from (select * replace (case when json_valid(request_body) then request_body end as request_body) from exchanges) where request_body is not null),
+ flagged as (select *, case when lag(t) over w is null or init or t - lag(t) over w > 300000 then 1 else 0 end as opened
+  from points window w as (partition by server order by t, id))
+select id, concat(server, '#', cast(sum(opened) over (partition by server order by t, id rows unbounded preceding) as bigint)) as session_id from flagged""")
+def _sessionize_http_log(spark, sf):
+    calls = capture.calls_from_http(wiredata.exchanges(spark, sf))
+    return ops.sessionize(calls, request_activity=False).select("id", "session_id")
+
+
 # Closing a connection: here each timed-out call closes it at its end.
 _ENDS = """, methods as (select *, case when id % 11 = 0 then 'initialize' else method end as m from calls),
  points as (select server_name as conn, id, epoch_us(timestamp) // 1000 as t, 0 as kind, m = 'initialize' as init from methods

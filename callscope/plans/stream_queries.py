@@ -117,13 +117,27 @@ def _ingest_calls(spark, sf):
         "session_id", "tool_name", "arguments", "timestamp", "status", "error_class", "input_tokens", "output_tokens")
 
 
-@query("ingest_stream_sessions", WITH_CALLS + f"""select session_id as id, count(*) as sessions from
- (select distinct session_id from ({_EVENT_SQL}) where {_OK}) group by 1""")
+# The stored call and the enriched call of the same event agree in tokens and cost (the response differs, see _event_lines).
+@query("ingest_agrees_with_enrich", WITH_CALLS + f"""select c.session_id, c.tool_name, {stamp('c.timestamp')} as timestamp, c.input_tokens as stored_tokens, c.input_tokens as enriched_tokens,
+ round(c.input_tokens / 1e6 * case when c.server_name = 'srv1' then 1.0 else 3.0 end, 6) as stored_cost
+ from ({_EVENT_SQL}) s join calls c on c.id = s.id where {_OK.replace('session_id', 's.session_id').replace('tool_name', 's.tool_name')}""")
+def _ingest_agrees(spark, sf):
+    stored = read_tool_calls(spark, _ingested(spark, sf).calls)
+    output_rate = F.when(F.col("server_name") == "srv1", 5.0).otherwise(15.0)
+    stored = stored.select("session_id", "tool_name", "timestamp", F.col("input_tokens").alias("stored_tokens"),
+                           (F.col("cost_usd") - F.col("output_tokens") / 1e6 * output_rate).alias("stored_cost"))
+    enriched = testdata.calls(spark, sf).select("session_id", "tool_name", "timestamp", F.col("input_tokens").alias("enriched_tokens"))
+    return stored.join(enriched, ["session_id", "tool_name", "timestamp"])
+
+
+@query("ingest_stream_sessions", WITH_CALLS + f"""select s.session_id as id, arg_min(c.server_name, c.id) as server_name,
+ {stamp('arg_min(c.timestamp, c.id)')} as started_at from ({_EVENT_SQL}) s join calls c on c.id = s.id
+ where {_OK.replace('session_id', 's.session_id').replace('tool_name', 's.tool_name')} group by 1""")
 def _ingest_sessions(spark, sf):
-    return ingest.read_sessions(spark, _ingested(spark, sf).sessions).groupBy("id").agg(F.count(F.lit(1)).alias("sessions"))
+    return ingest.read_sessions(spark, _ingested(spark, sf).sessions).select("id", "server_name", "started_at")
 
 
 @query("ingest_stream_rejected", WITH_CALLS + f"""select session_id, tool_name, timestamp,
- 'missing required fields: sessionId, toolName, timestamp' as reason from ({_EVENT_SQL}) where not ({_OK})""")
+ 'an event needs a session, a tool and a time' as reason from ({_EVENT_SQL}) where not ({_OK})""")
 def _ingest_rejected(spark, sf):
     return spark.read.parquet(_ingested(spark, sf).rejected).select("session_id", "tool_name", "timestamp", "reason")

@@ -22,7 +22,7 @@ CALL_COLUMNS = {
     "method": "'tools/call'",
     "arguments": "props",
     "status": "case when event_type <> 'error' then 'success' when event_id % 6 = 0 then 'timeout' else 'error' end",
-    "latency_ms": "cast(floor(value * 20) as int)",
+    "latency_ms": "cast(floor(value * 20) as bigint)",
     "timestamp": "ts",
     "error_code": (
         "case when event_type <> 'error' then null when event_id % 6 = 1 then -32601"
@@ -97,7 +97,7 @@ def flat(df: DataFrame, digits: int = 6) -> DataFrame:
 CALLS_SQL = "select " + ", ".join(f"{sql} as {name}" for name, sql in CALL_COLUMNS.items()) + " from events"
 
 ENRICHED_SQL = """
-select id, session_id, agent_type, server_name, tool_name, method, arguments, status, latency_ms, timestamp,
+select id, session_id, agent_type, server_name, tool_name, method, cast(json(arguments) as varchar) as arguments, status, latency_ms, timestamp,
  error_code, error_msg, response_bytes, input_tokens, output_tokens,
  input_tokens / 1e6 * case when server_name = 'srv1' then 1.0 else 3.0 end
  + output_tokens / 1e6 * case when server_name = 'srv1' then 5.0 else 15.0 end as cost_usd,
@@ -106,7 +106,7 @@ select id, session_id, agent_type, server_name, tool_name, method, arguments, st
   when regexp_matches(lower(coalesce(error_msg, '')), 'unknown tool|tool not found|no such tool|unknown method|method not found|unrecognized') then 'hallucination'
   when regexp_matches(lower(coalesce(error_msg, '')), 'timed?\\s*out|timeout|deadline exceeded') then 'timeout'
   else 'tool_failure' end as error_class
-from (select *, cast(ceil(octet_length(encode(coalesce(arguments, 'null'))) / 4.0) as bigint) as input_tokens,
+from (select *, cast(ceil(octet_length(encode(coalesce(cast(json(arguments) as varchar), 'null'))) / 4.0) as bigint) as input_tokens,
   cast(ceil(coalesce(response_bytes, 0) / 4.0) as bigint) as output_tokens from raw_calls)
 """
 

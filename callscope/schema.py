@@ -22,7 +22,7 @@ TOOL_CALLS = T.StructType([
     T.StructField("arguments", T.StringType()),
     T.StructField("response", RESPONSE),
     T.StructField("status", T.StringType()),
-    T.StructField("latency_ms", T.IntegerType()),
+    T.StructField("latency_ms", T.LongType()),
     T.StructField("timestamp", T.TimestampType()),
     T.StructField("error_msg", T.StringType()),
     T.StructField("error_code", T.IntegerType()),

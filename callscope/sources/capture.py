@@ -24,6 +24,13 @@ def _text(value: Column) -> Column:
     return F.to_json(value)
 
 
+def _id_text(value: Column) -> Column:
+    """An id as text that is equal for equal ids: numbers by their value (``1e2`` is ``100``)."""
+    number = F.when(~F.to_json(value).startswith('"'), F.try_variant_get(value, "$", "double"))
+    whole = (number == F.floor(number)) & (F.abs(number) < 2.0**53)
+    return F.coalesce(F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string")), _text(value))
+
+
 def rpc_messages(log: DataFrame) -> DataFrame:
     """The log lines that can take part in a pair, with their id and role.
 
@@ -40,7 +47,7 @@ def rpc_messages(log: DataFrame) -> DataFrame:
     # The filter runs below the projection and parses for itself, once.
     messages = log.where(bound(F.try_parse_json("line"), takes_part)).withColumn("_message", F.try_parse_json("line"))
     return messages.withColumns({
-        "rpc_id": _text(field(F.col("_message"), "$.id")),
+        "rpc_id": _id_text(field(F.col("_message"), "$.id")),
         "is_request": F.col("direction") == "agent",
     })
 
@@ -159,7 +166,7 @@ def calls_from_http(exchanges: DataFrame) -> DataFrame:
     A request that is not JSON, or has no method, gives nothing. A response
     that is not JSON counts as a success without response. When the upstream
     could not be reached, the call is an error named after its method (or
-    ``unknown``), with the whole params as arguments.
+    ``unknown``), with the whole params as arguments, and ``lost`` is true.
     """
     allow_duplicate_json_keys(exchanges.sparkSession)
     request, response = F.col("_request"), F.col("_response")
@@ -177,7 +184,7 @@ def calls_from_http(exchanges: DataFrame) -> DataFrame:
         *kept, F.col("t0").alias("timestamp"), elapsed_ms("t0", "t1").alias("latency_ms"),
         *request_fields(request), *response_fields(response), _text(field(request, "$.params")).alias("_whole"),
     ).withColumn("method", F.coalesce("method", F.lit("unknown")))
-    calls = map_capture_fields(messages, "http", "server")
+    calls = map_capture_fields(messages, "http", "server").withColumn("lost", lost)
     of_lost = {
         "tool_name": F.col("method"), "arguments": F.col("_whole"), "response": F.lit(None), "status": F.lit("error"),
         "error_msg": F.col("proxy_error"), "error_code": F.lit(None),

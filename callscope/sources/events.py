@@ -9,10 +9,10 @@ from callscope.schema import EVENT_JSON
 from callscope.session import allow_duplicate_json_keys
 
 REQUIRED = ("session_id", "tool_name", "timestamp_text")
-REJECT_REASON = "missing required fields: sessionId, toolName, timestamp"
+REJECT_REASON = "an event needs a session, a tool and a time"
 # Columns of the calls table that may be empty but never NULL.
 NOT_NULL = ("agent_type", "server_name", "method", "status", "latency_ms")
-INCOMPLETE_REASON = "missing values: one of agentType, serverName, method, status, latencyMs"
+INCOMPLETE_REASON = "a value the table needs is missing or unreadable: agentType, serverName, method, status or latencyMs"
 
 _NAMES = {
     "sessionId": "session_id", "agentType": "agent_type", "serverName": "server_name", "toolName": "tool_name",
@@ -24,7 +24,7 @@ _NAMES = {
 def _to_calls(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Event fields under table names; payloads become compact JSON text.
 
-    Latencies are whole milliseconds. ``unparsed`` is the line itself when it
+    Latencies are whole milliseconds; one that is no number a bigint holds reads as missing. ``unparsed`` is the line itself when it
     is not JSON, so that nothing is lost in quarantine. ``timestamp_text`` keeps the received text for validation; ``timestamp``
     is the instant it stands for, whatever offset it was written with.
     """
@@ -34,7 +34,7 @@ def _to_calls(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(
         *keep,
         *[F.col(source).alias(name) for source, name in _NAMES.items()],
-        F.round("latencyMs").cast("int").alias("latency_ms"),
+        F.round("latencyMs").try_cast("long").alias("latency_ms"),
         payload_text("arguments"),
         payload_text("response"),
         F.col("timestamp").alias("timestamp_text"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +10,6 @@ from callscope.operators.filters import DATE
 from callscope.schema import ALERT_EVENTS, TOOL_CALLS, normalize_schema
 
 
-
-
 def write_tool_calls(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append enriched calls, partitioned by day.
 
@@ -38,6 +37,17 @@ def read_tool_calls(spark: SparkSession, path: str) -> DataFrame:
     return normalize_schema(spark.read.schema(TOOL_CALLS).parquet(path))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was ever written to ``path``."""
+    try:
+        spark.read.schema("x int").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_alerts(df: DataFrame, path: str, mode: str = "append") -> None:
     df.select(*[f.name for f in ALERT_EVENTS.fields if f.name in df.columns]).write.mode(mode).parquet(path)
 

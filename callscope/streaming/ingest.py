@@ -15,10 +15,9 @@ from callscope.operators.enrich import enrich
 from callscope.operators.sessions import derive_sessions
 from callscope.schema import SESSIONS
 from callscope.sources.events import stream_events, validate_events
-from callscope.sources.tables import write_tool_calls
+from callscope.sources.tables import path_exists, write_tool_calls
 
 BATCH = "batch"
-BATCH_BITS = 40  # ids of one batch: up to 2^40 rows
 _SESSION_INPUT = "id bigint, session_id string, server_name string, timestamp timestamp"
 
 
@@ -29,6 +28,11 @@ class IngestPaths:
     rejected: str
     checkpoint: str
 
+    @property
+    def marks(self) -> str:
+        """Where each batch notes the ids it gave out."""
+        return self.calls.rstrip("/") + "-ids"
+
 
 def run_ingest_stream(
     spark: SparkSession, events_path: str, paths: IngestPaths, pricing: Pricing = Pricing(),
@@ -53,10 +57,14 @@ def ingest_batch(batch: DataFrame, batch_id: int, paths: IngestPaths, pricing: P
     batch.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once for both outputs
     try:
         valid, rejected = validate_events(batch)
-        calls = enrich(_with_arrival_id(valid, batch_id), pricing)
+        first = _first_id(batch.sparkSession, paths.marks, batch_id)
+        numbered, rows = _with_arrival_id(valid, first)
+        calls = enrich(numbered, pricing)
         folder = f"/{BATCH}={batch_id}"
         write_tool_calls(calls, paths.calls + folder, mode="overwrite")
         rejected.write.mode("overwrite").parquet(paths.rejected + folder)
+        mark = batch.sparkSession.range(1).selectExpr(f"{first}L as first", f"{rows}L as rows")
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{paths.marks}{folder}")
     finally:
         batch.unpersist()
     stored = batch.sparkSession.read.schema(_SESSION_INPUT).parquet(paths.calls + folder)
@@ -77,17 +85,33 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return first.select("id", "first.*")
 
 
-def _with_arrival_id(df: DataFrame, batch_id: int) -> DataFrame:
-    """A unique ``id`` that rises with the batch and, inside it, with the input
-    split and line. It breaks ties of equal times.
+def _first_id(spark: SparkSession, marks: str, batch_id: int) -> int:
+    """The id after those of all earlier batches, from the note of the batch
+    before; a batch that runs again starts where it started. Batches follow
+    each other, so the other notes are only looked through when one is missing."""
+    schema = "first bigint, rows bigint"
+    for folder, after in ((f"{marks}/{BATCH}={batch_id}", False), (f"{marks}/{BATCH}={batch_id - 1}", True)):
+        if path_exists(spark, folder):
+            row = spark.read.schema(schema).parquet(folder).first()
+            if row is not None:
+                return row["first"] + (row["rows"] if after else 0)
+    if not path_exists(spark, marks):
+        return 0
+    noted = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(marks).where(F.col(BATCH) < batch_id)
+    return noted.agg(F.max(F.col("first") + F.col("rows"))).first()[0] or 0
+
+
+def _with_arrival_id(df: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """The rows with ids that count on from ``first`` in the order of input
+    split and line, and how many there are. The id breaks ties of equal times.
 
     Splits are numbered by adding up their row counts, one row per split.
     """
     line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = df.withColumns({"_split": F.spark_partition_id(), "_line": line})
     counts = placed.groupBy("_split").agg((F.max("_line") + 1).alias("rows"))
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_split", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_start"))
-    first = batch_id << BATCH_BITS
-    return placed.join(starts, "_split").withColumn("id", F.lit(first) + F.col("_start") + F.col("_line")).drop(
-        "_split", "_line", "_start")
+    numbered = placed.join(starts, "_split").withColumn("id", F.lit(first).cast("long") + F.col("_start") + F.col("_line"))
+    return numbered.drop("_split", "_line", "_start"), total

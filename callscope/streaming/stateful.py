@@ -32,7 +32,7 @@ class _RollingState(StatefulProcessor):
     """Buffer of one (server, tool) node; one output row per call."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("buffer", "latencies array<int>, errors bigint")
+        self._state = handle.getValueState("buffer", "latencies array<bigint>, errors bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = pd.concat(rows).sort_values(["timestamp", "id"], kind="stable")
@@ -91,7 +91,7 @@ class _Cooldown(StatefulProcessor):
 
 
 _STATE = ("id bigint, server_name string, tool_name string, timestamp timestamp, buffer_calls bigint,"
-          " p95_latency_ms int, error_count bigint, error_rate_pct double")
+          " p95_latency_ms bigint, error_count bigint, error_rate_pct double")
 _CANDIDATE = ("id bigint, server_name string, tool_name string, timestamp timestamp, metric string,"
               " value double, threshold double")
 

@@ -59,7 +59,7 @@ def test_cooldown_equals_greedy_model(spark, cooldown):
         rows.append((i, "s", rng.choice(["a", "a", "a", "b"]), rng.choice(["latency_p95", "error_rate"]), ms))
     df = spark.createDataFrame(rows, "id long, server_name string, tool_name string, metric string, ms long").selectExpr(
         "id", "server_name", "tool_name", "metric", "timestamp_millis(ms) as timestamp", "1d as value", "0d as threshold")
-    got = {(r.id // 2, r.metric) for r in alerts.fire_alerts(df, cooldown).collect()}
+    got = {(r.id if r.id >= 0 else ~r.id, r.metric) for r in alerts.fire_alerts(df, cooldown).collect()}
     assert got == greedy([(i, t, m, ms) for i, _, t, m, ms in rows], cooldown)
 
 

@@ -110,3 +110,11 @@ def test_envelope_without_data_is_shown_whole(spark):
     df = calls(spark, [(1, "s", "t", 0, "1", "null")])
     shown = df.select(diff.shown_response().alias("r")).first().r
     assert shown == '{"data":null,"truncated":false,"sizeBytes":1}'
+
+
+def test_numbers_print_as_in_scripts():
+    from callscope.functions.linediff import number_text
+
+    shown = {"1e-7": "1e-7", "0.00001": "0.00001", "1e21": "1e+21", "123456789012345678901": "123456789012345680000",
+             "1.50": "1.5", "-0.0": "0", "1e2": "100", "-2.5e-9": "-2.5e-9", "100": "100"}
+    assert {text: number_text(text) for text in shown} == shown

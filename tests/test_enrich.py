@@ -44,7 +44,7 @@ def test_redaction_matches_recursive_model(spark):
 
 def test_redaction_of_odd_text(spark):
     assert redacted(spark, [None, "not json token", r'{"token":"s"}', '{"b": 1}']) == [
-        None, "not json token", '{"token":"[REDACTED]"}', '{"b": 1}']
+        None, "not json token", '{"token":"[REDACTED]"}', '{"b":1}']
 
 
 def enveloped(spark, responses):
@@ -124,3 +124,14 @@ def test_schema_upgrade_is_idempotent(spark):
     assert once.first().asDict() == {
         "id": 1, "input_tokens": 0, "error_code": None, "output_tokens": 0, "cost_usd": 0.0, "error_class": None}
     assert normalize_schema(once).schema == once.schema
+
+
+def test_sizes_do_not_depend_on_the_layout_of_arguments(spark):
+    texts = ['{"a": [1, 2, 3], "note": "the key is here"}', '{"a":[1,2,3],"note":"the key is here"}', '{ "a" : [1,2 ,3], "note":"the key is here" }']
+    secret = ['{"to\\"ken" : 1, "x": 2}', '{"to\\"ken_key": "s"}', '{"\\u0074oken": "s"}', '{"token"\n: "s"}']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts + secret)], "i int, arguments string")
+    df = df.selectExpr("*", "named_struct('data', cast(null as string), 'truncated', false, 'size_bytes', 0L) as response")
+    rows = enrich.estimate_tokens(enrich.redact_arguments(df)).orderBy("i").collect()
+    assert len({r.input_tokens for r in rows[:3]}) == 1 and len({r.arguments for r in rows[:3]}) == 1
+    assert [r.arguments for r in rows[3:]] == [
+        '{"to\\"ken":1,"x":2}', '{"to\\"ken_key":"[REDACTED]"}', '{"token":"[REDACTED]"}', '{"token":"[REDACTED]"}']

@@ -118,9 +118,26 @@ def test_ingest_stream(spark, tmp_path):
 
 def test_arrival_ids_are_unique_and_dense(spark):
     df = spark.range(1000).repartition(7).where("id % 3 > 0").withColumnRenamed("id", "n")
-    ids = [r.id for r in ingest._with_arrival_id(df, 5).collect()]
-    assert sorted(ids) == sorted(set(ids)) and len(ids) == df.count()
-    assert min(ids) == 5 << 40 and max(ids) == (5 << 40) + len(ids) - 1
+    numbered, rows = ingest._with_arrival_id(df, 5)
+    ids = [r.id for r in numbered.collect()]
+    assert sorted(ids) == list(range(5, 5 + rows)) and rows == df.count()
+
+
+def test_arrival_ids_go_on_in_any_batch(spark, tmp_path):
+    paths = ingest.IngestPaths(*(str(tmp_path / x) for x in ("calls", "sessions", "rejected", "state")))
+    event = '{"sessionId":"s","agentType":"a","serverName":"v","toolName":"t","method":"m","status":"success","latencyMs":%s,"timestamp":"2026-03-09T10:00:00Z"}'
+
+    def store(batch_id, *latencies):
+        lines = spark.createDataFrame([(event % ms,) for ms in latencies], "value string")
+        ingest.ingest_batch(ingest.stream_events.__globals__["parse_events"](lines), batch_id, paths)
+
+    store(0, "1", "2")
+    store(2**23, "3e9", "NaN", "4")  # no bound on batches; one bad latency is put aside
+    store(2**23 + 1, "5")
+    store(2**23, "3e9", "NaN", "4")  # again
+    calls = tables.read_tool_calls(spark, paths.calls)
+    assert sorted((r.id, r.latency_ms) for r in calls.collect()) == [(0, 1), (1, 2), (2, 3_000_000_000), (3, 4), (4, 5)]
+    assert spark.read.parquet(paths.rejected).count() == 1
 
 
 def test_stored_calls_round_trip(spark, sf, tmp_path):
