@@ -44,7 +44,9 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def _chunk_window(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    # EDGE is the same for all rows of a group in a chunk. As a key it lets a filter on it
+    # sink below the window, so what is carried on is computed from border groups alone.
+    return Window.partitionBy(*keys, CHUNK, EDGE).orderBy(*order)
 
 
 def _earlier_chunks(keys: Sequence[str]):
@@ -54,7 +56,7 @@ def _earlier_chunks(keys: Sequence[str]):
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     # The rows already are partitioned by these columns for the window, so
     # only the small side moves, if it is not broadcast anyway.
-    return df.join(carry, [*keys, CHUNK], "left")
+    return df.join(carry.withColumn(EDGE, F.lit(True)), [*keys, CHUNK, EDGE], "left")
 
 
 def previous(chunked: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:

@@ -23,6 +23,7 @@ def nearest_rank(
     ranks: Mapping[str, float],
     sums: Mapping[str, Column] | None = None,
     latest: Mapping[str, str] | None = None,
+    count: Column | None = None,
 ) -> DataFrame:
     """Percentiles of ``value`` per ``keys``: the value at sorted position
     ``min(floor(n * p), n - 1)``, plus the row count as ``call_count``.
@@ -31,11 +32,12 @@ def nearest_rank(
     map-side, so only the histogram is shuffled and a hot key costs no more
     than its distinct values (whole milliseconds here). A running count over
     the histogram then finds each rank. ``sums`` (additive) and ``latest``
-    (maximum) measures ride along in the same pass.
+    (maximum) measures ride along in the same pass. ``count`` adds up the rows
+    that each row stands for, where ``df`` is a histogram itself.
     """
     sums, latest = dict(sums or {}), dict(latest or {})
     histogram = df.groupBy(*keys, F.col(value).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_n"),
+        (F.count(F.lit(1)) if count is None else count).alias("_n"),
         *[F.sum(expr).alias(name) for name, expr in sums.items()],
         *[F.max(column).alias(name) for name, column in latest.items()],
     )

@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.operators.metrics import (
-    TOOL, cost_by_node, cost_by_session, cost_series, cost_totals, tool_error_series, tool_latency_series, tool_stats,
-)
+from callscope.functions.measures import bucket, call_count, error_rate, is_error
+from callscope.functions.percentile import P50_95, P50_95_99, nearest_rank
+from callscope.operators.metrics import TOOL, cost_by_node, cost_by_session, cost_series, cost_totals, tool_stats
+from callscope.session import cut_lineage
 
 # Column names of the exported files.
 TOOL_COLUMNS = {
@@ -52,13 +53,20 @@ def _write(df: DataFrame, fmt: str, path: str) -> None:
 
 def tools_with_series(calls: DataFrame) -> DataFrame:
     """Statistics per tool and server with their nested 15-minute series. An
-    array holds one entry per bucket of the window, never calls."""
-    latency = tool_latency_series(calls).groupBy(*TOOL).agg(F.sort_array(F.collect_list(F.struct(
-        "bucket", F.col("p50_latency_ms").alias("p50"), F.col("p95_latency_ms").alias("p95")))).alias("timeseriesLatency"))
-    errors = tool_error_series(calls).groupBy(*TOOL).agg(F.sort_array(F.collect_list(F.struct(
-        "bucket", F.col("error_rate_pct").alias("errorRatePct")))).alias("timeseriesErrors"))
-    joined = tool_stats(calls).join(latency, [*TOOL]).join(errors, [*TOOL])
-    return _renamed(joined, {**TOOL_COLUMNS, "timeseriesLatency": "timeseriesLatency", "timeseriesErrors": "timeseriesErrors"})
+    array holds one entry per bucket of the window, never calls. Calling this
+    starts a job."""
+    # One histogram answers all of it, so calls are read once.
+    histogram = cut_lineage(calls.withColumn("bucket", bucket()).groupBy(*TOOL, "bucket", "latency_ms").agg(
+        call_count().alias("calls"), F.sum(is_error()).alias("errors")))
+    ranks = {"sums": {"errors": F.col("errors")}, "count": F.sum("calls")}
+    rate = error_rate("errors", "call_count")
+    by_bucket = nearest_rank(histogram, [*TOOL, "bucket"], "latency_ms", P50_95, **ranks).groupBy(*TOOL).agg(
+        F.sort_array(F.collect_list(F.struct(
+            "bucket", F.col("p50_latency_ms").alias("p50"), F.col("p95_latency_ms").alias("p95")))).alias("timeseriesLatency"),
+        F.sort_array(F.collect_list(F.struct("bucket", rate.alias("errorRatePct")))).alias("timeseriesErrors"))
+    stats = nearest_rank(histogram, TOOL, "latency_ms", P50_95_99, **ranks).withColumn("error_rate_pct", rate)
+    return _renamed(stats.join(by_bucket, [*TOOL]), {
+        **TOOL_COLUMNS, "timeseriesLatency": "timeseriesLatency", "timeseriesErrors": "timeseriesErrors"})
 
 
 def export_tool_stats(calls: DataFrame, fmt: str, path: str) -> None:

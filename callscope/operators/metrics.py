@@ -91,14 +91,14 @@ def server_health(df: DataFrame, as_of: datetime | str | Column, width: str = HE
 # -- time series --------------------------------------------------------------
 
 def timeseries(df: DataFrame, aggs: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
-    """15-minute buckets, ascending. Empty buckets are not filled in."""
+    """15-minute buckets, in no order. Empty buckets are not filled in."""
     grouped = df.withColumn("bucket", bucket()).groupBy(*keys, "bucket")
-    return grouped.agg(*[expr.alias(name) for name, expr in aggs.items()]).orderBy("bucket", *keys)
+    return grouped.agg(*[expr.alias(name) for name, expr in aggs.items()])
 
 
 def tool_latency_series(df: DataFrame) -> DataFrame:
     series = nearest_rank(df.withColumn("bucket", bucket()), [*TOOL, "bucket"], "latency_ms", P50_95)
-    return series.drop("call_count").orderBy("bucket", *TOOL)
+    return series.drop("call_count")
 
 
 def tool_error_series(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from callscope.config import SESSION_GAP
 from callscope.functions.measures import call_count, epoch_ms
 from callscope.functions.ordered import in_chunks, previous, running
 from callscope.operators.filters import by_agent_type, by_server
+from callscope.session import cut_lineage
 
 
 def derive_sessions(events: DataFrame) -> DataFrame:
@@ -108,6 +109,7 @@ def sessionize(
     the previous one, or after the connection was closed. A call belongs to
     the session current at its response. A non-null ``session_id`` column
     overrides the computed id. ``id`` must be unique within a connection.
+    Calling this starts jobs, which write the thin points down.
 
     ``touches`` replaces the calls' own request points by all requests of the
     log, also unanswered ones: ``(conn, timestamp, opens)``. ``ends`` are the
@@ -149,7 +151,8 @@ def _numbered_points(calls, connection, gap, request_activity, touches, ends) ->
         points = points.unionByName(ends.select(
             "conn", F.lit(None).cast("long").alias("id"), epoch_ms("ended_at").alias("at"),
             F.lit(END).alias("kind"), F.lit(False).alias("opens")))
-    chunked = in_chunks(points, keys, order)
+    # Written down first: the payload joins behind the points would run again for sampling the sort ranges.
+    chunked = in_chunks(cut_lineage(points), keys, order)
     seen = previous(chunked, keys, order, F.struct("at", "kind"), "before")
     fresh = F.col("before").isNull() | (F.col("before.kind") == END)
     opens = (F.col("kind") != END) & (fresh | F.col("opens") | (F.col("at") - F.col("before.at") > gap_ms))
