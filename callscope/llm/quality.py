@@ -116,9 +116,16 @@ def symbols(percent: int = 5) -> Rule:
     return Rule("symbols", lambda text, tokens: n_symbols(text) * 100 > word_chars(text) * percent)
 
 
-def repeated_lines(percent: int = 30) -> Rule:
-    return Rule("repeated_lines", lambda text, tokens: _bound(
-        lines(text), lambda kept: (F.size(kept) - F.size(F.array_distinct(kept))) * 100 > F.size(kept) * percent))
+def repeated_lines(percent: int = 30, least: int = 3) -> Rule:
+    """Repeated lines are more than ``percent`` of the lines, and ``least`` at least: a short text may open and close with one line."""
+    return Rule("repeated_lines", lambda text, tokens: _bound(lines(text), lambda kept: _bound(
+        F.size(kept) - F.size(F.array_distinct(kept)), lambda n: (n >= least) & (n * 100 > F.size(kept) * percent))))
+
+
+def stuttering(percent: int = 30) -> Rule:
+    """More than ``percent`` of the words equal the word before them."""
+    return Rule("stuttering", lambda text, tokens: F.size(
+        F.filter(tokens, lambda word, i: F.coalesce(F.get(tokens, i - 1) == word, F.lit(False)))) * 100 > F.size(tokens) * percent)
 
 
 def shouting(percent: int = 60) -> Rule:
@@ -137,7 +144,7 @@ def word_length(least: int = 2, most: int = 15) -> Rule:
 
 #: What every document has to pass, and what the method judges beyond it.
 BASE = (too_short(), repeated_words())
-MORE = (symbols(), repeated_lines(), shouting(), few_letters(), word_length())
+MORE = (symbols(), repeated_lines(), stuttering(), shouting(), few_letters(), word_length())
 
 
 def estimate(df: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 1000, seed: int = 7,
@@ -202,7 +209,7 @@ rep as (
 cov as (
   select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 8)) as p from rep) group by rid),
 m as (
-  select doc_id, text, len(ws) as n_words,
+  select doc_id, text, ws, len(ws) as n_words,
          length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls,
@@ -214,7 +221,8 @@ b as (
   from m)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
        n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-       not (base_failed or 100 * n_symbols > 5 * word_chars or 100 * n_dup_lines > 30 * len(ls)
+       not (base_failed or 100 * n_symbols > 5 * word_chars or (n_dup_lines >= 3 and 100 * n_dup_lines > 30 * len(ls))
+            or 100 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) > 30 * n_words
             or 100 * length(regexp_replace(text, '[^\\p{Lu}]+', '', 'g')) > 60 * word_chars
             or 100 * length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) < 50 * word_chars
             or word_chars not between 2 * n_words and 15 * n_words) as kept

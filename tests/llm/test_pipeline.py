@@ -13,9 +13,11 @@ from callscope.llm.common import table
 
 def passes(text):
     n, chars, symbols, dup_lines, repeated = test_quality.brute(text)
+    words = test_quality.WORD.findall(text or "")
     lines = sum(1 for x in (text or "").split("\n") if test_quality.WORD.search(x))
     return not (
-        n < 20 or 100 * repeated > 30 * n or 100 * symbols > 5 * chars or 100 * dup_lines > 30 * lines
+        n < 20 or 100 * repeated > 30 * n or 100 * symbols > 5 * chars or dup_lines >= 3 and 100 * dup_lines > 30 * lines
+        or 100 * sum(a == b for a, b in zip(words, words[1:])) > 30 * n
         or 100 * len(regex.findall(r"\p{Lu}", text)) > 60 * chars or 100 * len(regex.findall(r"\p{L}", text)) < 50 * chars
         or not 2 * n <= chars <= 15 * n)
 
