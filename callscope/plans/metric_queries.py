@@ -10,6 +10,7 @@ from callscope.plans import testdata
 from callscope.plans.catalog import query
 from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
 from callscope.schema import normalize_schema
+from callscope.session import new_folder
 
 _DAY = "(select * from calls where timestamp > (select max(timestamp) from calls) - interval 24 hours)"
 
@@ -349,22 +350,26 @@ def _top_cost(spark, sf):
 
 
 _STATS = ranks_sql("tool_name, server_name", _P, extra=_RATE)
+
+
+def _positioned(spark, rows):
+    """Rows with the position in which the operator put them: written in that order, and numbered as they are read."""
+    folder = new_folder(spark, "listing")
+    rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(folder)
+    read = spark.read.text(folder, wholetext=False).withColumn("position", F.monotonically_increasing_id() + 1)
+    return read.select("position", F.from_json("value", rows.schema).alias("r")).select("position", "r.*")
+
+
 for _by, _column in topk.TOOL_STAT_ORDER.items():
     query(f"sort_tool_stats_{_by}", WITH_CALLS + f"""select cast(row_number() over (order by {_column} desc, tool_name, server_name) as bigint) as position,
      tool_name, server_name, {_column} from ({_STATS})""")(
-        lambda spark, sf, by=_by, column=_column: _positioned(topk.sort_tool_stats(metrics.tool_stats(testdata.calls(spark, sf)), by), column)
+        lambda spark, sf, by=_by, column=_column: _positioned(
+            spark, topk.sort_tool_stats(metrics.tool_stats(testdata.calls(spark, sf)), by).select("tool_name", "server_name", column))
     )
 
 
-def _positioned(stats, column):
-    # The report is one row per node; its order is checked through a position column.
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc(column), "tool_name", "server_name")
-    return stats.select(F.row_number().over(order).alias("position"), "tool_name", "server_name", column)
-
-
-@query("sort_calls", WITH_CALLS + f"select {_LISTED} from calls where session_id = {_FIRST} order by latency_ms desc, id")
+@query("sort_calls", WITH_CALLS + f"""select cast(row_number() over (order by latency_ms desc, id) as bigint) as position, id, session_id, cast(latency_ms as bigint) as latency_ms
+ from calls where server_name = 'srv3'""")
 def _sort_calls(spark, sf):
-    calls = testdata.calls(spark, sf)
-    return _listed(topk.sort_calls(filters.session_calls(calls, testdata.first_session(calls)), "latencyMs"))
+    calls = filters.by_server(testdata.calls(spark, sf), "srv3").select("id", "session_id", "timestamp", "tool_name", "status", "latency_ms")
+    return _positioned(spark, topk.sort_calls(calls, "latencyMs").select("id", "session_id", "latency_ms"))

@@ -15,7 +15,7 @@ from callscope.plans.session_queries import _EVENT_SQL, _OK, _PAIRS, _REQUEST_PO
 from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
 from callscope.plans.wiredata import WITH_LOG
 from callscope.session import new_folder
-from callscope.sources.tables import read_tool_calls
+from callscope.sources.tables import read_alerts, read_tool_calls
 from callscope.streaming import ingest, series, sinks, stateful
 
 
@@ -73,6 +73,14 @@ def _alerts(spark, sf):
     return _run(spark, stateful.stream_alerts(_calls_stream(spark, sf), _HOURLY), "alerts")
 
 
+@query("ingest_stream_alerts", _HOURLY_SQL + f"select {_OUT} from fired")
+def _stored_alerts(spark, sf):
+    out = new_folder(spark, "alert-events")
+    fired = stateful.stream_alerts(_calls_stream(spark, sf), _HOURLY)
+    sinks.run_alert_stream(fired, out, new_folder(spark, "alert-state"), available_now=True).awaitTermination()
+    return read_alerts(spark, out).drop("batch")
+
+
 @query("stream_sessionize", _gap_sql(300_000, _REQUEST_POINTS, "false"))
 def _sessionize(spark, sf):
     method = F.when(F.col("id") % 11 == 0, "initialize").otherwise(F.col("method"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,16 @@ from callscope.operators.filters import DATE
 from callscope.schema import ALERT_EVENTS, TOOL_CALLS, normalize_schema
 
 
-def write_tool_calls(df: DataFrame, path: str, mode: str = "append") -> None:
+BATCH = "batch"
+
+
+def write_tool_calls(df: DataFrame, path: str, mode: str = "append", batch_id: int | None = None) -> None:
     """Append enriched calls, partitioned by day.
 
+    With ``batch_id`` each day has a folder per batch, and a batch that is
+    written again replaces its own folders only.
+
+
     Rows are rebalanced by day: small days are gathered into few files and a
     busy day is split over many tasks. Inside a file rows are sorted by server,
     tool and time, so the Parquet statistics serve the usual filters.
@@ -20,21 +29,42 @@ def write_tool_calls(df: DataFrame, path: str, mode: str = "append") -> None:
     full = normalize_schema(df)
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TOOL_CALLS.fields if f.name in full.columns]
     dated = full.select(*columns).withColumn(DATE, F.to_date("timestamp"))
-    (
-        dated.hint("rebalance", F.col(DATE))
-        .sortWithinPartitions(DATE, "server_name", "tool_name", "timestamp")
-        .write.mode(mode).partitionBy(DATE).parquet(path)
-    )
+    arranged = dated.hint("rebalance", F.col(DATE)).sortWithinPartitions(DATE, "server_name", "tool_name", "timestamp")
+    if batch_id is None:
+        arranged.write.mode(mode).partitionBy(DATE).parquet(path)
+    else:
+        writer = arranged.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(DATE, BATCH).parquet(path)
 
 
-def read_tool_calls(spark: SparkSession, path: str) -> DataFrame:
+def read_tool_calls(spark: SparkSession, path: str, dates: Sequence[str] | None = None) -> DataFrame:
     """The stored calls with current columns, whenever a file was written.
+    Of ``dates`` (``yyyy-MM-dd``) alone, only their folders are listed.
 
     The schema is given, so no file footers are read for it; a column that an
     old file lacks reads as NULL and then gets its default. The time filters
     prune whole days through the ``date`` partitions.
     """
-    return normalize_schema(spark.read.schema(TOOL_CALLS).parquet(path))
+    reader = spark.read.schema(TOOL_CALLS).option("basePath", path)
+    if dates is None:
+        stored = reader.parquet(path)
+    else:
+        folders = [f"{path}/{DATE}={d}" for d in dates]
+        present = [f for f in folders if path_exists(spark, f)]
+        if not present:
+            return normalize_schema(spark.createDataFrame([], TOOL_CALLS))
+        stored = reader.parquet(*present)
+    return normalize_schema(stored.drop(BATCH))
+
+
+def compact_day(spark: SparkSession, path: str, date: str, into: str) -> None:
+    """One day's calls of many batches, written to the table ``into`` as few
+    sorted files. Run it for days that receive no more batches; readers move
+    over when it is done, so a job that dies half-way leaves ``path`` as it was."""
+    day = read_tool_calls(spark, path, [date])
+    full = day.withColumn(DATE, F.lit(date).cast("date")).drop(BATCH)
+    arranged = full.hint("rebalance", F.col(DATE)).sortWithinPartitions("server_name", "tool_name", "timestamp")
+    arranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(into)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

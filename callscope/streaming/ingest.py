@@ -15,9 +15,8 @@ from callscope.operators.enrich import enrich
 from callscope.operators.sessions import derive_sessions
 from callscope.schema import SESSIONS
 from callscope.sources.events import stream_events, validate_events
-from callscope.sources.tables import path_exists, write_tool_calls
+from callscope.sources.tables import BATCH, path_exists, write_tool_calls
 
-BATCH = "batch"
 _SESSION_INPUT = "id bigint, session_id string, server_name string, timestamp timestamp"
 
 
@@ -40,9 +39,10 @@ def run_ingest_stream(
 ) -> StreamingQuery:
     """Validate, enrich and store events as they arrive.
 
-    Every micro-batch writes its own ``batch=<id>`` folder in overwrite mode,
-    so a batch that is retried after a failure replaces itself and nothing is
-    stored twice.
+    Every micro-batch writes its own ``batch=<id>`` folders in overwrite mode,
+    for calls below their day, so a batch that is retried after a failure
+    replaces itself, nothing is stored twice, and a report on one day lists
+    that day only.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, paths, pricing)
@@ -61,13 +61,17 @@ def ingest_batch(batch: DataFrame, batch_id: int, paths: IngestPaths, pricing: P
         numbered, rows = _with_arrival_id(valid, first)
         calls = enrich(numbered, pricing)
         folder = f"/{BATCH}={batch_id}"
-        write_tool_calls(calls, paths.calls + folder, mode="overwrite")
+        write_tool_calls(calls, paths.calls, batch_id=batch_id)
         rejected.write.mode("overwrite").parquet(paths.rejected + folder)
         mark = batch.sparkSession.range(1).selectExpr(f"{first}L as first", f"{rows}L as rows")
         mark.coalesce(1).write.mode("overwrite").parquet(f"{paths.marks}{folder}")
     finally:
         batch.unpersist()
-    stored = batch.sparkSession.read.schema(_SESSION_INPUT).parquet(paths.calls + folder)
+    if rows:
+        stored = batch.sparkSession.read.schema(f"{_SESSION_INPUT}, {BATCH} bigint").parquet(paths.calls)
+        stored = stored.where(F.col(BATCH) == batch_id)
+    else:
+        stored = batch.sparkSession.createDataFrame([], _SESSION_INPUT)
     derive_sessions(stored).write.mode("overwrite").parquet(paths.sessions + folder)
 
 

@@ -151,3 +151,17 @@ def test_stored_calls_round_trip(spark, sf, tmp_path):
     fired = alerts.alerts(calls)
     tables.write_alerts(fired, str(tmp_path / "alerts"))
     assert tables.read_alerts(spark, str(tmp_path / "alerts")).count() == fired.count()
+
+
+def test_one_day_is_read_and_compacted_by_itself(spark, sf, tmp_path):
+    calls = testdata.calls(spark, sf)
+    path, packed = str(tmp_path / "calls"), str(tmp_path / "packed")
+    for batch_id in range(3):
+        tables.write_tool_calls(calls.where(f"id % 3 = {batch_id}"), path, batch_id=batch_id)
+    tables.write_tool_calls(calls.where("id % 3 = 1"), path, batch_id=1)
+    assert tables.read_tool_calls(spark, path).count() == calls.count()
+    day = tables.read_tool_calls(spark, path, ["2024-01-05", "1999-01-01"])
+    assert day.inputFiles() and all("date=2024-01-05/" in f for f in day.inputFiles())
+    tables.compact_day(spark, path, "2024-01-05", packed)
+    assert tables.read_tool_calls(spark, packed).count() == day.count() == calls.where("to_date(timestamp) = '2024-01-05'").count()
+    assert tables.read_tool_calls(spark, path, ["1999-01-01"]).count() == 0
