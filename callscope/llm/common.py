@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
+from gc import collect as collect_garbage
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     out = cut_lineage(df)
     del df
-    gc.collect()
+    collect_garbage()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
