@@ -61,10 +61,13 @@ def test_percentiles_shuffle_the_histogram(stored):
 
 def test_library_never_collects():
     """No driver-side gathering, cross join or local checkpoint in the package.
-    ``first`` appears once, for the one newest timestamp of a report."""
+    ``first`` appears where one row is asked for: the newest timestamp of a
+    report, and the id mark of a batch. (The subpackage ``llm`` has its own test.)"""
     banned = {"collect", "toPandas", "toLocalIterator", "crossJoin", "localCheckpoint", "take", "head"}
     firsts, broadcasts = [], []
     for path in PACKAGE.rglob("*.py"):
+        if "llm" in path.parts:
+            continue
         for node in ast.walk(ast.parse(path.read_text())):
             if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
                 assert node.func.attr not in banned, f"{path.name}: {node.func.attr}"
@@ -72,5 +75,5 @@ def test_library_never_collects():
                     firsts.append(path.name)
                 if node.func.attr == "broadcast":
                     broadcasts.append(path.name)
-    assert firsts == ["testdata.py"]
+    assert sorted(firsts) == ["ingest.py"] * 3 + ["testdata.py"]
     assert broadcasts == ["ordered.py"]  # one row per chunk; everything else is left to Spark's size check
