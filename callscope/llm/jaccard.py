@@ -15,7 +15,7 @@ on distinct sets, one per group of equal texts, and never lists all pairs:
 4. *Pairs.* A prefix shingle with many sets is handled in rounds. In the first,
    only its set with the earliest place is paired with the others; links merge
    sets into groups, and later rounds pair only sets of different groups, with
-   eight times as many of them each round. A pair must pass the length filter,
+   64 times as many of them each round. A pair must pass the length filter,
    the positional filter and the suffix filter (what follows the shared shingle
    in eight ranges of values bounds the overlap), and is verified once.
 
@@ -38,14 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import mix, query, table, texts_in_blocks
+from callscope.llm.common import mix, query, table, texts_in_blocks, written
 from callscope.llm.shingles import distinct, shingles
 from callscope.session import cut_lineage
 
 COUNTERS = 1 << 18
-BLOOM_BITS = 1 << 23
+#: The most bits that tell candidates from other sets (4 MB).
+BLOOM_BITS = 1 << 25
 BLOCK = 1 << 20
 RANGES = 8
+#: Rows of (key, group) that may be broadcast or labelled in one task: a few MB.
+SMALL = 200_000
 
 
 def _count(batches, text, width):
@@ -115,7 +118,7 @@ def _members(batches, text, width, bloom) -> Iterator[pa.RecordBatch]:
         starts, sizes = _starts(texts, block.num_rows)
         keys = _set_numbers(values, starts)
         rows = _first_rows(keys, sizes)
-        bit = keys[rows].view(np.uint64) % np.uint64(BLOOM_BITS)
+        bit = keys[rows].view(np.uint64) % np.uint64(8 * len(bloom.value))
         rows = rows[(bloom.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         if len(rows):
             lists = [values[starts[r]:starts[r + 1]].view(np.int64) for r in rows.tolist()]
@@ -153,8 +156,31 @@ def _least_overlap(a, b, num: int, den: int):
     return F.ceil((a + b) * num / (num + den))
 
 
-def label_groups(edges: DataFrame) -> DataFrame:
-    """(k, c) for every end of an edge (a, b): c is the smallest number reachable."""
+def _union_find(batches) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up)), pa.array([top(k) for k in up])], ["k", "c"])
+
+
+def label_groups(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(k, c) for every end of an edge (a, b): c is the smallest number reachable.
+
+    Up to ``small`` edges go through one task; more are labelled by rounds of
+    joins in which every label also jumps to its label's label.
+    """
+    if edges.count() <= small:
+        return written(edges.select("a", "b").coalesce(1).mapInArrow(_union_find, "k long, c long"))
     both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:
@@ -162,37 +188,42 @@ def label_groups(edges: DataFrame) -> DataFrame:
         hop = labels.select(F.col("k").alias("c"), F.col("c").alias("up"))
         after = labels.join(near, "k", "left").join(hop, "c", "left").select(
             "k", F.least("c", "m", "up").alias("c"), (F.least("c", "m", "up") < F.col("c")).alias("moved"))
-        after = cut_lineage(after)
+        after = written(after)
         if not after.where("moved").limit(1).count():
             return after.select("k", "c")
         labels = after.select("k", "c")
 
 
-def _links(sets: DataFrame, places: DataFrame, num: int, den: int) -> DataFrame | None:
+def _maybe_broadcast(df: DataFrame, small: int) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= small else df
+
+
+def _links(sets: DataFrame, places: DataFrame, num: int, den: int, small: int) -> DataFrame:
     """Verified links between sets, enough of them to connect every group."""
     columns = places.columns
-    links = verified = labels = None
+    verified = labels = None
     pivots = 1
     least = F.col("n") - F.col("at") >= _least_overlap(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * num / den)), num, den)
     while True:
-        if labels is None:
-            marked = places.withColumn("c", F.col("k"))
-        else:
-            marked = places.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-        # Drop what no other set of the bucket can reach, then buckets of one group.
+        marked = places.withColumn("c", F.col("k"))
+        if labels is not None:
+            marked = places.join(_maybe_broadcast(labels, small), "k", "left").withColumn("c", F.coalesce("c", "k"))
+        # Drop buckets of one group, and what no other set of the bucket can reach.
         bounds = marked.groupBy("h").agg(F.min("n").alias("least_n"), F.min("c").alias("low"), F.max("c").alias("high"))
-        marked = marked.join(bounds.where("low < high").drop("low", "high"), "h").where(least).drop("least_n")
-        mixed = marked.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
-        active = cut_lineage(marked.join(mixed, "h", "left_semi"))
-        if not active.limit(1).count():
-            return links
-        order = Window.partitionBy("h").orderBy("at", "k")
+        marked = marked.join(bounds.where("low < high").select("h", "least_n"), "h").where(least).drop("least_n")
+        active = written(marked)
+        row = F.struct(*active.columns)
         if pivots == 1:
-            chosen = active
+            chosen = active.groupBy("h").agg(F.min_by(row, F.struct("at", "k")).alias("p")).select("p.*")
         else:
+            order = Window.partitionBy("h").orderBy("at", "k")
             largest = active.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
             chosen = active.join(largest, "h").where("c <> main").drop("main")
-        chosen = cut_lineage(chosen.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots).drop("_r"))
+            chosen = chosen.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots).drop("_r")
+        chosen = cut_lineage(chosen)
+        if not chosen.limit(1).count():
+            return verified.where("linked").select("a", "b") if verified is not None else chosen.select(F.col("k").alias("a"), F.col("k").alias("b"))
         x, y = chosen.alias("x"), active.alias("y")
         need = _least_overlap(F.col("x.n"), F.col("y.n"), num, den)
         suffix = sum((F.least(f"x.s{r}", f"y.s{r}") for r in range(1, RANGES)), F.least("x.s0", "y.s0"))
@@ -204,22 +235,25 @@ def _links(sets: DataFrame, places: DataFrame, num: int, den: int) -> DataFrame
         ).select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        sides = [sets.select(F.col("k").alias(s), F.col("n").alias(f"n{s}"), F.col("sh").alias(f"sh{s}")) for s in "ab"]
+        pairs = cut_lineage(pairs)
+        # few sets are in pairs, so only those move
+        named = cut_lineage(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
+        used = sets.join(_maybe_broadcast(named, small), "k", "left_semi")
+        sides = [used.select(F.col("k").alias(s), F.col("n").alias(f"n{s}"), F.col("sh").alias(f"sh{s}")) for s in "ab"]
         shared = F.size(F.array_intersect("sha", "shb"))
-        judged = cut_lineage(pairs.join(sides[0], "a").join(sides[1], "b").select(
-            "a", "b", (shared * den >= (F.col("na") + F.col("nb") - shared) * num).alias("linked")))
-        found = judged.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        verified = judged.select("a", "b") if verified is None else verified.union(judged.select("a", "b"))
-        labels = label_groups(links)
+        judged = pairs.join(sides[0], "a").join(sides[1], "b").select(
+            "a", "b", (shared * den >= (F.col("na") + F.col("nb") - shared) * num).alias("linked"))
+        verified = written(judged if verified is None else verified.union(judged))
+        labels = label_groups(verified.where("linked"), small)
         places = active.select(*columns).join(chosen.select("h", "k"), ["h", "k"], "left_anti")
-        pivots *= 8
+        pivots *= 64
 
 
-def components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100,
+               small: int = SMALL) -> DataFrame:
     """(id, n_shingles, component_id) per row: ``component_id`` is the smallest id of its group.
 
-    ``num`` / ``den`` is the least similarity. Ids are integers; a NULL id only
+    ``num`` / ``den`` is the least similarity; tables of up to ``small`` rows may be broadcast or go through one task. Ids are integers; a NULL id only
     stands for its group where no other id does.
     """
     spark = df.sparkSession
@@ -239,28 +273,32 @@ def components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
     # the partner may be smaller, down to the threshold, and both need to share as many as the smaller one asks for
     asked = F.expr(f"1 + ceil(n * {num} / {den}) div 20")
     candidates = prefixes.join(several, "h", "left_semi").groupBy("k", "n").agg(F.countDistinct("h").alias("shared"))
-    candidates = cut_lineage(candidates.where(F.col("shared") >= asked).select("k").distinct())
-    # a fixed number of bits: past a few million candidates it lets more through, and the join below stays exact
-    filled = candidates.select(F.expr(f"cast((k & {BLOOM_BITS - 1}) >> 3 as int)").alias("byte"), F.expr("cast(1 << cast(k & 7 as int) as int)").alias("bit"))
+    candidates = written(candidates.where(F.col("shared") >= asked).select("k").distinct())
+    del prefixes, several
+
+    # a bit for each candidate lets their sets be picked out without moving the others
+    found = candidates.count()
+    bits = min(max(1 << 16, 1 << (16 * found).bit_length()), BLOOM_BITS)
+    filled = candidates.select(F.expr(f"cast((k & {bits - 1}) >> 3 as int)").alias("byte"), F.expr("cast(1 << cast(k & 7 as int) as int)").alias("bit"))
     filled = filled.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
+    bloom = np.zeros(bits // 8, np.uint8)
     bloom[filled.column("byte").to_numpy()] = filled.column("bits").to_numpy()
     bloom = spark.sparkContext.broadcast(bloom)
-
     whole = texts.mapInArrow(partial(_members, text="text", width=width, bloom=bloom), "k long, n long, sh array<long>")
-    whole = whole.join(candidates, "k", "left_semi").dropDuplicates(["k"])
-    each = cut_lineage(whole).select("k", "n", F.explode("sh").alias("h"))
+    if 16 * found > BLOOM_BITS:  # too many for the bits to tell them apart
+        whole = whole.join(candidates, "k", "left_semi")
+    whole = written(whole.dropDuplicates(["k"]))
+    each = whole.select("k", F.explode("sh").alias("h"))
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    sets = each.join(common, "h").groupBy("k").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h")))["h"].alias("sh"))
-    sets = cut_lineage(sets)
+    shared = each.join(common, "h").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "h")))["h"].alias("sh"))
+    sets = written(shared.join(whole.select("k", "n"), "k").select("k", "n", "sh"))
+    del each, common, shared, whole
     places = sets.mapInArrow(partial(_places, num=num, den=den), "h long, k long, n long, at long, " + ", ".join(f"s{r} long" for r in range(RANGES)))
-    links = _links(sets, cut_lineage(places), num, den)
-
+    links = _links(sets, written(places), num, den, small)
     least = thin.where("k is not null").groupBy("k").agg(F.min("id").alias("least_id"))
-    if links is not None:
-        labels = label_groups(links)
-        grouped = cut_lineage(least.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k")))
-        least = grouped.select("k", "c").join(grouped.groupBy("c").agg(F.min("least_id").alias("least_id")), "c").select("k", "least_id")
+    labels = label_groups(links, small)
+    grouped = cut_lineage(least.join(_maybe_broadcast(labels, small), "k", "left").withColumn("c", F.coalesce("c", "k")))
+    least = grouped.select("k", "c").join(grouped.groupBy("c").agg(F.min("least_id").alias("least_id")), "c").select("k", "least_id")
     with_words = thin.where("k is not null").join(least, "k").select("id", "n", F.col("least_id").alias("component_id"))
     alone = thin.where("k is null").select("id", "n", F.col("id").alias("component_id"))
     return with_words.union(alone).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
