@@ -41,7 +41,7 @@ def test_the_order_of_the_rules_keeps_the_verdict(docs_of):
 
 
 def test_rules_are_ordered_by_rejections_per_second(docs_of):
-    df = docs_of(["one two three"] * 50 + [" ".join(f"w{i}" for i in range(40))])
+    df = docs_of(["one two three"] * 50 + [" ".join("word" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(40))])
     found = quality.estimate(df, [*quality.BASE, *quality.MORE])
     assert [e.gain for e in found] == sorted((e.gain for e in found), reverse=True)
     assert found[0].rejected > 0.9
@@ -65,3 +65,14 @@ def test_no_python_in_the_plan(docs_of):
 def test_query_agrees_with_sql(spark, sf, name):
     queries, oracles = load()
     assert compare(spark, oracle_connection(sf), sf, queries[name], oracles[name]) == []
+
+
+def test_long_texts_may_be_filtered_by_the_verdict(docs_of):
+    # a filter must not split the text once per window
+    import time
+
+    df = docs_of([" ".join("".join("abcdefghij"[int(c)] for c in str(i)) for i in range(n)) for n in (20_000, 40_000)])
+    start = time.perf_counter()
+    assert quality.cascade(df, [*quality.BASE, *quality.MORE]).where("rejected_by is null").count() == 2
+    assert quality.measures(df).where("n_repeat_words = 0").count() == 2
+    assert time.perf_counter() - start < 30
