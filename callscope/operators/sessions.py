@@ -124,6 +124,20 @@ def sessionize(
     return joined.withColumnRenamed("_session", "session_id")
 
 
+def sessionize_from(
+    calls: DataFrame, before: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP, request_activity: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, session_id)`` of calls that go on from earlier ones, and the state for the next.
+
+    ``before`` holds each connection's last activity and session number,
+    ``(conn, at, kind, n)``. Activity before it counts as of that time.
+    """
+    points = cut_lineage(_numbered_points(calls, connection, gap, request_activity, None, None, before))
+    found = points.where((F.col("kind") == RESPONSE) & F.col("carried").isNull())
+    state = points.groupBy("conn").agg(F.max_by(F.struct("at", "kind", "n"), F.struct("at", "kind", "id")).alias("s"))
+    return found.select("id", _session_id().alias("session_id")), state.select("conn", "s.*")
+
+
 def session_ends(
     calls: DataFrame, ends: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP,
     request_activity: bool = True, touches: DataFrame | None = None,
@@ -135,14 +149,14 @@ def session_ends(
     return closed.select(_session_id().alias("session_id"), F.timestamp_millis("at").alias("ended_at"))
 
 
-REQUEST, RESPONSE, END = 0, 1, 2
+FIRST, REQUEST, RESPONSE, END = -1, 0, 1, 2
 
 
 def _session_id():
     return F.concat("conn", F.lit("#"), F.col("n").cast("string"))
 
 
-def _numbered_points(calls, connection, gap, request_activity, touches, ends) -> DataFrame:
+def _numbered_points(calls, connection, gap, request_activity, touches, ends, before=None) -> DataFrame:
     """Activity points in order with the number of the session current there."""
     gap_ms = milliseconds(gap)
     keys, order = ["conn"], ["at", "kind", "id"]
@@ -151,12 +165,21 @@ def _numbered_points(calls, connection, gap, request_activity, touches, ends) ->
         points = points.unionByName(ends.select(
             "conn", F.lit(None).cast("long").alias("id"), epoch_ms("ended_at").alias("at"),
             F.lit(END).alias("kind"), F.lit(False).alias("opens")))
+    points = points.withColumn("carried", F.lit(None).cast("long"))
+    if before is not None:
+        last = before.select("conn", F.col("at").alias("_last"))
+        points = points.join(last, "conn", "left").withColumn("at", F.greatest("at", "_last")).drop("_last")
+        points = points.unionByName(before.select(
+            "conn", F.lit(None).cast("long").alias("id"), "at", F.lit(FIRST).alias("kind"), F.lit(False).alias("opens"),
+            F.col("n").alias("carried")))
     # Written down first: the payload joins behind the points would run again for sampling the sort ranges.
     chunked = in_chunks(cut_lineage(points), keys, order)
     seen = previous(chunked, keys, order, F.struct("at", "kind"), "before")
     fresh = F.col("before").isNull() | (F.col("before.kind") == END)
     opens = (F.col("kind") != END) & (fresh | F.col("opens") | (F.col("at") - F.col("before.at") > gap_ms))
-    return running(seen.withColumn("opens", opens.cast("long")), keys, order, sums={"n": F.col("opens")})
+    # What is carried over stands for all sessions before it.
+    counted = seen.withColumn("opens", F.coalesce("carried", opens.cast("long")))
+    return running(counted, keys, order, sums={"n": F.col("opens")})
 
 
 def activity_points(

@@ -1,9 +1,8 @@
 """Whole reports: several sections answering one question.
 
-A report is a set of aggregated DataFrames. :func:`document` nests them into
-one JSON array per section: groups (nodes, buckets of at most seven days,
-classes) or top-n rows, never unaggregated calls. :func:`write_report` writes
-the same sections as JSON lines without nesting them.
+A report is a set of aggregated DataFrames. :func:`write_report` writes each
+section as JSON lines, whatever its size. :func:`document` nests the first rows
+of each section into one JSON array, for a screen.
 """
 
 from __future__ import annotations
@@ -29,6 +28,9 @@ class Section:
     order: Sequence[Column | str] = ()
 
 
+# The names of the sections below.
+
+
 def overview_report(calls: DataFrame, as_of: Time) -> dict[str, Section]:
     """Headline numbers of 24 hours, and the newest calls of all time."""
     recent = topk.recent_calls(calls)
@@ -71,12 +73,17 @@ def error_report(calls: DataFrame, as_of: Time, window: str = "24h") -> dict[str
     }
 
 
-def document(sections: dict[str, Section]) -> DataFrame:
+def document(sections: dict[str, Section], limit: int = 5000) -> DataFrame:
     """One row per section: its name, number of rows and the rows as a JSON
-    array in report order. An empty section gives an empty array."""
+    array in report order. An empty section gives an empty array.
+
+    A document is for a screen: a section shows its first ``limit`` rows. Each
+    task keeps no more than that many; :func:`write_report` writes all rows.
+    """
     def lines(name: str, section: Section) -> DataFrame:
         order = Window.orderBy(*section.order) if section.order else Window.orderBy(F.lit(1))
-        return section.rows.select(
+        rows = section.rows.orderBy(*section.order) if section.order else section.rows
+        return rows.limit(limit).select(
             F.lit(name).alias("section"), F.row_number().over(order).alias("position"),
             F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
 

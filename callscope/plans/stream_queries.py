@@ -16,7 +16,7 @@ from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
 from callscope.plans.wiredata import WITH_LOG
 from callscope.session import new_folder
 from callscope.sources.tables import read_alerts, read_tool_calls
-from callscope.streaming import ingest, series, sinks, stateful
+from callscope.streaming import carried, ingest, series, sinks, stateful
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,21 @@ def _pair(spark, sf):
         "conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms", "timestamp", "result", "error")
 
 
+@query("carried_sessionize", _gap_sql(300_000, _REQUEST_POINTS, "false"))
+def _carried_sessionize(spark, sf):
+    method = F.when(F.col("id") % 11 == 0, "initialize").otherwise(F.col("method"))
+    calls, out = _calls_stream(spark, sf).withColumn("method", method), new_folder(spark, "carried-sessions")
+    carried.run_sessionize_stream(calls, out, f"{out}-carry", f"{out}-state", available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("id", "session_id")
+
+
+@query("carried_pairs", WITH_LOG + _PAIRS + "select conn, rpc_id, request_seq, response_seq, method, latency_ms from pairs")
+def _carried_pairs(spark, sf):
+    log, out = wiredata.as_log(wiredata.as_exchanges(_stream(spark, sf))), new_folder(spark, "carried-pairs")
+    carried.run_pairing_stream(log, out, f"{out}-carry", f"{out}-state", available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms")
+
+
 @query("stream_live_tail", WITH_CALLS + f"""select id, session_id, server_name, tool_name, status, cast(latency_ms as bigint) as latency_ms, {stamp('timestamp')} as timestamp,
  round(cost_usd, 6) as cost_usd from (select * from calls order by timestamp desc, id desc limit 200)""")
 def _live_tail(spark, sf):

@@ -10,7 +10,7 @@ from callscope.operators import alerts, sessions
 from callscope.plans import testdata, wiredata
 from callscope.session import new_folder
 from callscope.sources import capture, tables
-from callscope.streaming import ingest, sinks, stateful
+from callscope.streaming import carried, ingest, sinks, stateful
 
 SETTINGS = AlertSettings(latency_p95_ms=4000, error_rate_percent=20, cooldown_minutes=60)
 
@@ -165,3 +165,40 @@ def test_one_day_is_read_and_compacted_by_itself(spark, sf, tmp_path):
     tables.compact_day(spark, path, "2024-01-05", packed)
     assert tables.read_tool_calls(spark, packed).count() == day.count() == calls.where("to_date(timestamp) = '2024-01-05'").count()
     assert tables.read_tool_calls(spark, path, ["1999-01-01"]).count() == 0
+
+
+def test_carried_sessions_equal_batch(spark, pieces):
+    method = F.when(F.col("id") % 11 == 0, "initialize").otherwise(F.col("method"))
+    calls = lambda df: testdata.raw_calls(df).drop("session_id").withColumn("method", method)
+    out = new_folder(spark, "carried")
+    carried.run_sessionize_stream(
+        calls(streamed(spark, pieces)), out, f"{out}-carry", f"{out}-state", request_activity=False, available_now=True).awaitTermination()
+    got = spark.read.parquet(out).select("id", "session_id")
+    whole = sessions.sessionize(calls(spark.read.parquet(pieces)), request_activity=False).select("id", "session_id")
+    # a long call of one file may end after a short one of the next began; such calls count as late
+    assert got.count() == whole.count() and got.exceptAll(whole).count() <= 0.01 * whole.count()
+
+
+def test_carried_sessions_go_on_and_take_late_calls(spark, make_calls, tmp_path):
+    out, carry = str(tmp_path / "out"), str(tmp_path / "carry")
+    minute = 60_000
+    batches = [[(1, 0), (2, 10 * minute)], [(3, 11 * minute), (4, 30 * minute)], [], [(5, 2 * minute), (6, 31 * minute)]]
+    for n, batch in enumerate(batches):
+        calls = make_calls([(i, "s", "srv", "t", "success", 0, ms) for i, ms in batch])
+        carried.sessionize_batch(calls.withColumn("method", F.lit("m")), n, out, carry)
+    carried.sessionize_batch(calls.withColumn("method", F.lit("m")), 3, out, carry)  # again
+    got = {r.id: r.session_id for r in spark.read.parquet(out).collect()}
+    assert got == {1: "srv#1", 2: "srv#2", 3: "srv#2", 4: "srv#3", 5: "srv#3", 6: "srv#3"}
+
+
+def test_carried_pairs_equal_batch(spark, pieces):
+    log = wiredata.as_log(wiredata.as_exchanges(spark.read.parquet(pieces)))
+    folder, days = new_folder(spark, "log"), (0, 6, 12, 18, 24, 40)
+    for start, end in zip(days, days[1:]):
+        part = log.where((F.dayofmonth("ts") + (F.month("ts") - 1) * 31 > start) & (F.dayofmonth("ts") + (F.month("ts") - 1) * 31 <= end))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    arriving, out = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder), new_folder(spark, "pairs")
+    carried.run_pairing_stream(arriving, out, f"{out}-carry", f"{out}-state", limit="2 days", available_now=True).awaitTermination()
+    columns = ["conn", "rpc_id", "request_seq", "response_seq", "method", "params", "result", "error", "latency_ms"]
+    got, whole = spark.read.parquet(out).select(columns), capture.pair_rpc_log(log).select(columns)
+    assert whole.count() > 5000 and whole.exceptAll(got).count() == 0 and got.exceptAll(whole).count() == 0
