@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from callscope.llm.common import query, table
+from callscope.llm.common import query, table, texts_in_blocks
 from callscope.llm.tokens import VOCABULARY, encoder
 
 Sections = Callable[[str], list[tuple[int, int]]]
@@ -83,7 +83,7 @@ def allocate(starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.nd
 
 def _attribute(batches, id, text, sections, rule, vocabulary) -> Iterator[pa.RecordBatch]:
     encode = encoder(vocabulary)
-    for batch in batches:
+    for batch in texts_in_blocks(batches, 1):
         rows, out = [], {k: [] for k in ("section", "begin", "end", "n_tokens", "n_shared", "doc_tokens")}
         for row, value in enumerate(batch.column(1).to_pylist()):
             value = value or ""

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from callscope.session import cut_lineage
 
+#: Bytes of text that a Python worker turns into objects at a time.
+TEXT_BLOCK = 1 << 21
 #: Words are runs of characters outside this set (ASCII white space).
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -54,10 +56,10 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def texts_in_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+def texts_in_blocks(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding about ``limit`` bytes of text each, one row at least."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         block = np.cumsum(sizes) // limit
         cuts = np.flatnonzero(np.diff(block)) + 1

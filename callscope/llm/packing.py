@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import query, table
+from callscope.llm.common import query, table, texts_in_blocks
 from callscope.llm.tokens import VOCABULARY, encoder
 from callscope.session import cut_lineage
 
@@ -39,7 +39,7 @@ def _cut(batches, size, end, vocabulary) -> Iterator[pa.RecordBatch]:
     """The pieces of each document, with their ids' checksum, and a number that no other row has."""
     encode = encoder(vocabulary)
     serial = TaskContext.get().partitionId() << 33
-    for batch in batches:
+    for batch in texts_in_blocks(batches, 1):
         docs, pieces, starts, lengths, sums = [], [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             ids = np.append(encode.ids(text or ""), np.uint32(end)).astype("<u4")
@@ -135,7 +135,7 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1024
     pieces = cut_lineage(texts.mapInArrow(partial(_cut, size=size, end=end, vocabulary=vocabulary), plain))
 
     def answer(rows, sequence, offset):
-        return rows.select(F.col("doc").alias(id), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
+        return rows.select(F.col("doc").alias(id), F.col("piece").cast("int").alias("piece"), "start", "length", F.col("crc").alias("ids_crc32"),
                            sequence.alias("sequence_id"), offset.alias("offset"))
 
     out = answer(pieces.where(F.col("length") == size), F.col("serial") * 2, F.lit(0).cast("long"))

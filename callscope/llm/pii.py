@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import query, table, written
+from callscope.llm.common import query, table, texts_in_blocks, written
 
 #: Exceptions that may be broadcast.
 BROADCAST_LIMIT = 200_000
@@ -216,7 +216,7 @@ def replace_in(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> t
 
 
 def _entities(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in texts_in_blocks(batches, 0):
         found = {e[2:] for text in batch.column(0).to_pylist() if text for e in detect(text)}
         if found:
             kinds, normals = zip(*sorted(found))
@@ -259,7 +259,7 @@ def exceptions(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFra
 def _replace(batches, text, key, attempts, own) -> Iterator[pa.RecordBatch]:
     """``own``: the exceptions of a row come as its last column instead."""
     shared = {} if own else attempts.value
-    for batch in batches:
+    for batch in texts_in_blocks(batches, text):
         at = batch.schema.get_field_index(text)
         columns = list(batch.columns)
         extra = columns.pop() if own else None
@@ -275,7 +275,7 @@ def _replace(batches, text, key, attempts, own) -> Iterator[pa.RecordBatch]:
 
 
 def _mentions(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in texts_in_blocks(batches, 1):
         rows = [(n, *e[2:]) for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for e in detect(text)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*sorted(set(rows)))], ["_row", "kind", "normal"])

@@ -40,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import mix, query, table, text_bytes, written
+from callscope.llm.common import mix, query, table, text_bytes, texts_in_blocks, written
 
 WINDOW = 100
 GRAM = 32
 #: Bytes looked at together; places must fit into the low bits of a 64-bit number.
 PLACE_BITS = 20
 BLOCK = 1 << (PLACE_BITS - 1)
+#: Bytes of text whose equal runs are merged before the shuffle.
+MERGED = 1 << 23
 #: Different runs of one anchor that are sorted together.
 GROUP_LIMIT = 16384
 #: Anchors that may be broadcast (8 bytes each); beyond it they are joined.
@@ -153,13 +155,11 @@ def _merged(a, c, ids, lo):
 
 
 def _runs(batches, hot=None) -> Iterator[pa.RecordBatch]:
-    """One row per run text and batch; runs equal to an earlier one of the batch come with ``nw`` negated.
+    """One row per run text and block; runs equal to an earlier one of the block come with ``nw`` negated.
 
     With ``hot`` anchors: the single windows of their runs instead.
     """
-    for batch in map(_known, batches):
-        if not batch.num_rows:
-            continue
+    for batch in texts_in_blocks(map(_known, batches), 1, MERGED):
         ids = batch.column(0).to_numpy()
         found = list(_windows(runs_of(*text_bytes(batch.column(1))), hot.value) if hot else runs_of(*text_bytes(batch.column(1))))
         if not found:
@@ -222,10 +222,8 @@ def _resolve(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(batches, anchors=None) -> Iterator[pa.RecordBatch]:
-    """The texts of runs, once per batch; only of the given anchors if they were broadcast."""
-    for batch in map(_known, batches):
-        if not batch.num_rows:
-            continue
+    """The texts of runs, once per block; only of the given anchors if they were broadcast."""
+    for batch in texts_in_blocks(map(_known, batches), 1, MERGED):
         ids = batch.column(0).to_numpy()
         for run in runs_of(*text_bytes(batch.column(1))):
             own = ids[run["row"]]
@@ -367,7 +365,7 @@ def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text", group_
 
 
 def _cut(batches, text: str, whole: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in texts_in_blocks(batches, text):
         at = batch.schema.get_field_index(text)
         data, bounds = text_bytes(batch.column(at))
         spans = batch.column(batch.num_columns - 1)
