@@ -157,9 +157,10 @@ def _lattice(pieces: Pieces, points: np.ndarray, levels: np.ndarray, counts: np.
         if j % 16 == 15:  # only ratios count, so what the next levels look at is kept near one
             for back in range(max(0, j + 2 - most), j + 2):
                 sums[back] = sums[back][:counts[j]] / total
-    chances = np.cumsum(weight, axis=0)
-    chances /= chances[-1]
-    return np.ascontiguousarray(chances.T, np.float32), ids
+    for length in range(1, most):
+        weight[length] += weight[length - 1]
+    weight /= weight[-1]
+    return np.ascontiguousarray(weight.T, np.float32), ids
 
 
 def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
