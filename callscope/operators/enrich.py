@@ -41,13 +41,16 @@ def truncate_response(df: DataFrame, limit: int = RESPONSE_LIMIT_BYTES, column:
     return parsed.withColumn(column, payload.envelope(F.col("_parsed"), F.col("_text"), limit)).drop("_parsed", "_text")
 
 
-def estimate_tokens(df: DataFrame, chars_per_token: float = 4) -> DataFrame:
+def estimate_tokens(df: DataFrame, chars_per_token: float = 4, compacted: bool = False) -> DataFrame:
     """Tokens from byte sizes: redacted arguments in, untruncated response out.
 
+    Arguments count by their compact JSON; ``compacted`` says that they already
+    are (:func:`redact_arguments` leaves them so) and saves parsing them again.
     Missing arguments count as the four bytes of ``null``; a divisor of 0 means 4.
     """
     divisor = F.lit(float(chars_per_token or 4))
-    argument_bytes = F.octet_length(F.coalesce(F.col("arguments"), F.lit("null")))
+    arguments = F.col("arguments") if compacted else F.coalesce(payload.compact(F.col("arguments")), F.col("arguments"))
+    argument_bytes = F.octet_length(F.coalesce(arguments, F.lit("null")))
     response_bytes = F.coalesce(F.col("response.size_bytes"), F.lit(0))
     return df.withColumns({
         "input_tokens": F.ceil(argument_bytes / divisor).cast("long"),
@@ -99,5 +102,5 @@ def classify_errors(df: DataFrame) -> DataFrame:
 def enrich(df: DataFrame, pricing: Pricing = Pricing(), overrides: DataFrame | None = None) -> DataFrame:
     """All steps in order. Incoming token, cost and class values are replaced."""
     df = truncate_response(redact_arguments(df))
-    df = price_calls(estimate_tokens(df, pricing.chars_per_token), pricing, overrides)
+    df = price_calls(estimate_tokens(df, pricing.chars_per_token, compacted=True), pricing, overrides)
     return classify_errors(df)

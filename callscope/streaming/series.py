@@ -58,7 +58,7 @@ def stream_latency_percentiles(calls: DataFrame, keys: Sequence[str] = NODE, lat
 def _rank(histogram: Column, total: Column, p: float) -> Column:
     """First value whose running count passes the rank, in a sorted histogram."""
     index = rank_index(total, p)
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("value"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("value"))
 
     def step(state: Column, entry: Column) -> Column:
         seen = state["seen"] + entry["n"]
