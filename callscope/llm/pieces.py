@@ -38,7 +38,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 META = 0x2581
 #: Stands for a literal meta symbol of a text; no code point of Unicode.
 LITERAL = 0x110000
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Weight of a character written as bytes.
 BYTES_WEIGHT = 1e-6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +244,7 @@ def _keys(column: pa.Array) -> np.ndarray:
     return np.array([0 if v is None else zlib.crc32(str(v).encode()) for v in column.to_pylist()], np.int64)
 
 
-def _encode(batches, key, text, into, model, alpha, seed) -> Iterator[pa.RecordBatch]:
+def _encode(batches, key, text, into, model, alpha, seed, verified) -> Iterator[pa.RecordBatch]:
     pieces = pieces_of(model, alpha)
     for block in texts_in_blocks(batches, text, BLOCK):
         values = block.column(block.schema.get_field_index(text)).to_pylist()
@@ -253,14 +253,24 @@ def _encode(batches, key, text, into, model, alpha, seed) -> Iterator[pa.RecordB
         sizes = np.array([len(f) for f in found])
         lists = pa.ListArray.from_arrays(
             pa.array(np.append(0, np.cumsum(sizes)), pa.int32(), mask=np.append([v is None for v in values], False)), pa.array(np.concatenate(found)))
-        yield pa.RecordBatch.from_arrays([*block.columns, lists], [*block.schema.names, into])
+        columns, names = [*block.columns, lists], [*block.schema.names, into]
+        if verified:
+            columns.append(pa.array([decode(pieces, f) == (v or "") for f, v in zip(found, values)]))
+            names.append(verified)
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", into: str = "pieces", model: str = MODEL, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """``df`` with ``into``: one sampled segmentation of ``text``, seeded by ``key``. A larger ``alpha`` favours common and few pieces."""
-    df = df.drop(into) if into not in (key, text) else df
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(partial(_encode, key=key, text=text, into=into, model=model, alpha=alpha, seed=seed), schema)
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", into: str = "pieces", model: str = MODEL, alpha: float = 1.0, seed: int = 0,
+           verified: str | None = None) -> DataFrame:
+    """``df`` with ``into``: one sampled segmentation of ``text``, seeded by ``key``.
+
+    A larger ``alpha`` favours common and few pieces. ``verified`` names a column that tells
+    whether decoding the pieces returns the text, found out where they are made.
+    """
+    df = df.drop(*[c for c in (into, verified) if c and c not in (key, text)])
+    added = [T.StructField(into, T.ArrayType(T.IntegerType())), *([T.StructField(verified, T.BooleanType())] if verified else [])]
+    run = partial(_encode, key=key, text=text, into=into, model=model, alpha=alpha, seed=seed, verified=verified)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def _decode(batches, column, into, model) -> Iterator[pa.RecordBatch]:
@@ -282,5 +292,5 @@ def decoded(df: DataFrame, column: str = "pieces", into: str = "decoded", model:
 def op7_piece_sampling(spark, sf_dir):
     """A sampled segmentation of every document, and whether decoding returns the text."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = decoded(encode(documents))
-    return cut.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.expr("decoded <=> text").alias("lossless"))
+    cut = encode(documents, verified="lossless")
+    return cut.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
