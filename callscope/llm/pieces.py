@@ -160,7 +160,8 @@ def _lattice(pieces: Pieces, points: np.ndarray, levels: np.ndarray, counts: np.
     for length in range(1, most):
         weight[length] += weight[length - 1]
     weight /= weight[-1]
-    return np.ascontiguousarray(weight.T, np.float32), ids
+    # in full width, as the draws are: rounded ones would reach the last chance, which is exactly one
+    return np.ascontiguousarray(weight.T), ids
 
 
 def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -202,7 +203,7 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> lis
         number = mix(stream[rows] + (end - row_starts[rows]).astype(np.uint64) * _BASE)
         u = (number >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
         node = levels[left - 1] + kind[active]
-        length = np.minimum((chances[node] <= u[:, None].astype(np.float32)).sum(axis=1) + 1, left)
+        length = (chances[node] <= u[:, None]).sum(axis=1) + 1
         piece = ids[node, length - 1]
         out[end] = np.where(piece < 0, -2, piece)
         left = left - length

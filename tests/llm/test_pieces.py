@@ -66,6 +66,26 @@ def test_decoding_returns_every_text(table):
     assert [len(f) > 0 for f in found] == [len(t) > 0 for t in texts] and max(f.max(initial=0) for f in found) < model.get_piece_size()
 
 
+def key_of_draw(number, place, seed):
+    """The row key whose draw at a place of the text comes from ``number``: the hash turned back."""
+    def unmixed(x):
+        for _ in range(2):
+            x = (x ^ (x >> 32)) * pow(0xD6E8FEB86659FD93, -1, 1 << 64) % (1 << 64)
+        return x ^ (x >> 32)
+
+    stream = (unmixed(number) - place * int(pieces._BASE)) % (1 << 64)
+    return (unmixed(stream) - int(pieces.mix(np.array([seed], np.uint64))[0])) % (1 << 64)
+
+
+@pytest.mark.parametrize("number", [(1 << 64) - 1, (1 << 64) - (1 << 39), 0])
+def test_the_largest_draw_takes_a_piece(table, number):
+    # as float32 these draws are one, which no cumulative chance exceeds
+    for text in ("qzxjkvw", "thereand", "語①語①", "q" * 40, "thereandback" * 9):
+        keys = np.array([key_of_draw(number, len(text), 5)], np.uint64).view(np.int64)
+        found = pieces.sample(table, [text], keys, 5)[0]
+        assert pieces.decode(table, found) == text
+
+
 def test_same_key_same_pieces_in_any_batch(docs_of):
     texts = [f"some words that may be cut in many ways {i % 7}" for i in range(60)] + [None, ""]
     df = docs_of(texts).withColumns({"decoded": F.lit(1), "pieces": F.lit(2)})
