@@ -9,6 +9,10 @@ which keeps different numbers different; check digits stay right or wrong;
 case, separators and brackets are those of the mention; names keep the gender
 of their title and their script.
 
+Telephone numbers are found with a country code, a bracketed area code, a
+leading zero (in groups, or 10 to 12 digits), as 3-3-4, and as nine digits from
+6 on in groups; cards in groups of four, and with 13 to 19 digits by their check digit.
+
 Distinctness is then checked over the whole corpus: entities whose surrogates
 meet, or whose surrogate is itself an entity of the corpus, are tried again with
 another count in the key, all but the first of each meeting, until none meets.
@@ -59,13 +63,35 @@ _SYLLABLES = {
 
 _TITLE = "|".join(sorted((re.escape(t) for t in _GENDER), key=len, reverse=True))
 _UPPER = "[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]"
+_PHONES = (
+    # country code: by plan, then any, of up to 15 digits or so; a lone digit only right after the code
+    r"(?<![\w.])\+33[ .-]?(?:\(0\)[ .-]?)?[1-9](?:[ .-]?\d\d){4}(?!\w)",
+    r"(?<![\w.])\+34(?:[ .-]?\d){9}(?!\w)",
+    r"(?<![\w.])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\w)",
+    r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\d(?=[ .-]\d\d))?(?:(?:[ ./-](?=\d\d))?\d){6,13}(?!\w)",
+    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?!\w)",
+    r"(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)",
+    # bracketed area code before pairs
+    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(0\d{1,4}\)[ .-]?\d\d(?:[ .-]?\d\d){2,4}(?!\w)",
+    # 3-3-4
+    r"(?<![\w.])(?<!\d[,/-])(?:1[ .-])?\d{3}(?P<a>[ .-])\d{3}(?P=a)\d{4}(?!\w)",
+    # leading zero, but no dates; without separators 10 to 12 digits
+    r"(?<![\w.+])(?<!\d[,/-])(?!\d\d(?P<d>[ ./-])\d\d(?P=d)\d{4}(?!\w))0[1-9](?:[ .-]\d\d){4}(?!\w)",
+    r"(?<![\w.+])(?<!\d[,/-])(?!\d\d(?P<e>[ ./-])\d\d(?P=e)\d{4}(?!\w))(?!\d{4}-\d\d-\d\d(?!\w))"
+    r"(?=0\d+(?: ?/ ?|[ .-])\d|\d{10,12}(?!\w))0[1-9](?:(?:(?: ?/ ?|[ .-])(?=\d\d))?\d){6,11}(?!\w)",
+    # nine digits, from 6 on: 3-3-3 (no amounts), 3-2-2-2, 2-3-2-2
+    r"(?<![\w.€$£+])(?<!\d[ ,/-])[6-9]\d\d(?P<f>[ .-])\d{3}(?P=f)\d{3}(?!\w|[ .,]\d| ?[€$£%])",
+    r"(?<![\w.])(?<!\d[,/-])(?:[6-9]\d\d(?P<g>[ .-])\d\d|[89]\d(?P<h>[ .-])\d{3})(?:(?:(?P=g)|(?P=h))\d\d){2}(?!\w)",
+)
 PATTERNS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]*[\w%+-]@[\w-]+(?:\.[\w-]+)+")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\w)")),
+    ("card", re.compile(
+        r"(?<![\w.])[2-6]\d{3}(?:(?P<c>[ -])(?:\d{6}(?P=c)\d{4,5}|\d{4}(?P=c)\d{5}|\d{4}(?P=c)\d{4}(?P=c)\d|(?:\d{4}(?P=c)){3}\d{1,3})|\d{9,15})(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)")),
+    *(("phone", re.compile(p)) for p in _PHONES),
     ("secret", re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|(?:gh[opsu]_|sk-|xox[abp]-)[\w-]{16,})(?!\w)")),
     ("secret", re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?(?P<value>[\w/+.~-]{6,})")),
     ("name", re.compile(rf"(?<!\w)(?P<title>{_TITLE}) (?P<value>{_UPPER}[\w’-]+(?: {_UPPER}[\w’-]+)?)")),
@@ -85,6 +111,7 @@ def _normal(kind: str, value: str, match: re.Match) -> str:
     if kind == "name":
         return f"{_GENDER[match['title']]}|{value.casefold()}"
     if kind in ("phone", "card", "ssn"):
+        value = value.replace("(0)", "") if kind == "phone" else value
         return ("+" if value[0] == "+" else "") + re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
@@ -103,6 +130,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             value = match[part]
             if kind == "secret" and part and not re.search(r"\d", value):
                 continue
+            if kind == "card" and "c" in pattern.groupindex and not luhn(re.sub(r"\D", "", value)):
+                continue
             found.append((match.start(part), match.end(part), kind, _normal(kind, value, match)))
     found.sort(key=lambda e: (e[0], -e[1]))
     out: list[tuple[int, int, str, str]] = []
@@ -155,11 +184,17 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     label = f"{kind}#{attempt}"
     if kind in ("card", "ssn"):
         right = luhn(normal)
-        return _walk(normal, lambda d: permuted(key, label, d), lambda d: kind == "ssn" or luhn(d) == right)
+        first = "0123456789" if len(normal) == 16 or kind == "ssn" else "23456"
+        return _walk(normal, lambda d: permuted(key, label, d), lambda d: d[0] in first and (kind == "ssn" or luhn(d) == right))
     if kind == "phone":
         # the country code stays, as far as it can be told from the number's length
-        head = normal[:max(1, len(normal) - 10)] if normal[0] == "+" else ""
-        return head + permuted(key, label + head, normal[len(head):])
+        if normal[0] == "+":
+            head = normal[:4] if normal[1:3] in ("33", "34") and len(normal) == 12 else normal[:max(1, len(normal) - 10)]
+        else:
+            # so do a leading zero or one and what tells a plan of nine digits; after a zero comes none
+            head = normal[0] if len(normal) == 9 or len(normal) > 7 and normal[0] == "0" or len(normal) == 11 else ""
+        zero = len(head) == len(normal) or normal[len(head)] == "0"
+        return head + _walk(normal[len(head):], lambda d: permuted(key, label + head, d), lambda d: not head or head[0] == "+" or zero or d[0] != "0")
     if kind == "ip":
         packed = sum(int(o) << 8 * (3 - i) for i, o in enumerate(normal.split(".")))
         number = int(_walk(str(packed).zfill(10), lambda d: permuted(key, label, d), lambda d: int(d) < 1 << 32))
@@ -195,6 +230,10 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
 
 def _in_form(kind: str, mention: str, new: str) -> str:
     """The surrogate in the mention's form."""
+    if kind == "phone" and "(0)" in mention:
+        before, after = mention.split("(0)", 1)
+        at = 1 + sum(c.isdigit() for c in before)
+        return _in_form(kind, before, new[:at]) + "(0)" + _in_form(kind, after, new[at:])
     if kind in ("phone", "card", "ssn", "iban"):
         letters = iter(new.lstrip("+"))
         return "".join(next(letters) if c.isalnum() else c for c in mention)

@@ -45,6 +45,34 @@ def test_check_digits_stay_right_or_wrong_and_numbers_stay_apart():
     assert pii.surrogate(KEY, "card", n) != pii.surrogate(b"other", "card", n)
 
 
+@pytest.mark.parametrize("mention", [
+    "555-123-4567", "555.123.4567", "555 123 4567", "1-800-555-1234", "01 23 45 67 89", "01.23.45.67.89", "0123456789", "0171 1234567",
+    "0171 / 1234567", "030/1234567", "030 123-456", "020 7946 0958", "07700 900123", "(0171) 12 34 56 78", "912 345 678", "612 34 56 78",
+    "91 234 56 78", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+33123456789", "+34 912 345 678", "+49 171 1234567", "+49 (0)30 1234567",
+    "+49 171 12 34 56 78", "+44 20 7946 0958"])
+def test_telephone_formats(mention):
+    (begin, end, kind, normal), = pii.detect(f"tel. {mention}, 3 of 4")
+    assert (begin, end, kind) == (5, 5 + len(mention), "phone")
+    new = swap(f"tel. {mention}, 3 of 4")
+    assert mention not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"tel. {mention}, 3 of 4")
+    # a surrogate is found again, as what it stands for
+    assert [e[:3] for e in pii.detect(new)] == [(begin, end, "phone")]
+    assert pii.detect(new)[0][3] == pii.surrogate(KEY, "phone", normal)
+
+
+@pytest.mark.parametrize("mention", ["378282246310005", "3782 822463 10005", "30569309025904", "3056-930902-5904", "4222222222222", "4111111111111111110", "4111 1111 1111 1111 110"])
+def test_cards_of_13_to_19_digits(mention):
+    assert pii.luhn(re.sub(r"\D", "", mention))
+    new = swap(f"card {mention} x")
+    assert [e[:3] for e in pii.detect(new)] == [(5, 5 + len(mention), "card")] and mention not in new
+    assert pii.luhn(re.sub(r"\D", "", new)) and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"card {mention} x")
+
+
+def test_other_numbers_are_left_alone():
+    for text in ("01-02-2024 and 01/02/2024, 01.02.2024", "2024-01-02 03:04:05", "4222222222223 1712345678901", "1 912 345 678 or 912 345 678 €", "0.0123456789 05 06"):
+        assert swap(text) == text
+
+
 def test_clean_text_is_left_alone():
     for text in ("version 1.2.3 of 2024-01-02, 10.5 | 3,000 a=b c: d", "x" * 50, "He. M. I", "tokens = none", ""):
         assert swap(text) == text
