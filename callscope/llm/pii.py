@@ -13,6 +13,12 @@ Telephone numbers are found with a country code, a bracketed area code, a
 leading zero (in groups, or 10 to 12 digits), as 3-3-4, and as nine digits from
 6 on in groups; cards in groups of four, and with 13 to 19 digits by their check digit.
 
+A name is found behind a title, and then at every mention in that document,
+also of one part of it; a lone part that the document also writes small only where it
+stands by a title or its other part. Given and family names are entities of their own. A title
+that tells no gender takes it from the given name's other titles in the document;
+where only other documents tell it, the given names differ in their last letters.
+
 Distinctness is then checked over the whole corpus: entities whose surrogates
 meet, or whose surrogate is itself an entity of the corpus, are tried again with
 another count in the key, all but the first of each meeting, until none meets.
@@ -94,8 +100,10 @@ PATTERNS: tuple[tuple[str, re.Pattern[str]], ...] = (
     *(("phone", re.compile(p)) for p in _PHONES),
     ("secret", re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|(?:gh[opsu]_|sk-|xox[abp]-)[\w-]{16,})(?!\w)")),
     ("secret", re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?(?P<value>[\w/+.~-]{6,})")),
-    ("name", re.compile(rf"(?<!\w)(?P<title>{_TITLE}) (?P<value>{_UPPER}[\w’-]+(?: {_UPPER}[\w’-]+)?)")),
 )
+_TITLED = re.compile(rf"(?<!\w)(?P<title>{_TITLE}) (?P<value>{_UPPER}[\w’-]+(?: {_UPPER}[\w’-]+)?)")
+_CAPITAL = re.compile(rf"(?<![\w’-]){_UPPER}[\w’-]+")
+_SMALL = re.compile(r"(?<![\w’-])[^\W\d_A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w’-]+")
 # What a text must hold for a pattern to be tried at all.
 _NEEDED = {"email": re.compile("@"), "name": re.compile(_TITLE), "secret": re.compile("[=:_-]|AKIA"), "": re.compile(r"\d")}
 _PREFIX = re.compile(r"AKIA|gh[opsu]_|sk-|xox[abp]-")
@@ -107,9 +115,7 @@ def script_of(name: str) -> str:
     return script if script in _SYLLABLES else "LATIN"
 
 
-def _normal(kind: str, value: str, match: re.Match) -> str:
-    if kind == "name":
-        return f"{_GENDER[match['title']]}|{value.casefold()}"
+def _normal(kind: str, value: str) -> str:
     if kind in ("phone", "card", "ssn"):
         value = value.replace("(0)", "") if kind == "phone" else value
         return ("+" if value[0] == "+" else "") + re.sub(r"\D", "", value)
@@ -118,10 +124,54 @@ def _normal(kind: str, value: str, match: re.Match) -> str:
     return value.casefold() if kind == "email" else value
 
 
+def _names(text: str) -> list[tuple[int, int, str, str, str]]:
+    """Given and family names that a title introduces, at all their mentions, with the given name's gender."""
+    givens: dict[str, set[str]] = {}
+    families, titled = set(), {}
+    alone = []
+    for match in _TITLED.finditer(text):
+        gender, at = _GENDER[match["title"]], match.start("value")
+        parts = [p.removesuffix("’s") for p in match["value"].split(" ")]
+        titled[at] = gender
+        if len(parts) > 1:
+            givens.setdefault(parts[0].casefold(), set()).add(gender)
+            families.add(parts[1].casefold())
+            titled[match.end("value") - len(match["value"].split(" ")[1])] = gender
+        else:
+            alone.append((parts[0].casefold(), gender))
+    for name, gender in alone:
+        if name in givens:
+            givens[name].add(gender)
+        else:
+            families.add(name)
+    out: list[tuple[int, int, str, str, str]] = []
+    small = {w for w in _SMALL.findall(text)} if titled else set()
+    words = [(m.start(), m[0].removesuffix("’s")) for m in _CAPITAL.finditer(text)] if titled else []
+    for i, (at, word) in enumerate(words):
+        name, end = word.casefold(), at + len(word)
+        if name not in givens and name not in families:
+            continue
+        after = i + 1 < len(words) and words[i + 1][0] == end + 1 and text[end] == " " and words[i + 1][1].casefold() in families
+        follows = bool(out) and out[-1][1] == at - 1 and text[at - 1] == " " and out[-1][3].startswith("given|")
+        role = "family" if name in families and (follows or name not in givens) else "given"
+        # a word that the text also writes small is a name only beside a title or another part
+        if at not in titled and not follows and not (role == "given" and after) and name in small:
+            continue
+        known = givens.get(name, set()) - {"n"}
+        gender = next(iter(known)) if len(known) == 1 else titled.get(at, min(known, default="n"))
+        out.append((at, end, "name", f"{role}|{name}", gender))
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, normal form), in order and without overlaps; the earliest, then the longest counts."""
-    found = []
-    holds = {k: p.search(text) is not None for k, p in _NEEDED.items()}
+    return [e[:4] for e in _found(text)]
+
+
+def _found(text: str) -> list[tuple[int, int, str, str, str]]:
+    """The same, and the gender of a given name."""
+    found = _names(text) if _NEEDED["name"].search(text) else []
+    holds = {k: p.search(text) is not None for k, p in _NEEDED.items() if k != "name"}
     for kind, pattern in PATTERNS:
         if not holds.get(kind, holds[""]):
             continue
@@ -132,9 +182,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "card" and "c" in pattern.groupindex and not luhn(re.sub(r"\D", "", value)):
                 continue
-            found.append((match.start(part), match.end(part), kind, _normal(kind, value, match)))
+            found.append((match.start(part), match.end(part), kind, _normal(kind, value), ""))
     found.sort(key=lambda e: (e[0], -e[1]))
-    out: list[tuple[int, int, str, str]] = []
+    out: list[tuple[int, int, str, str, str]] = []
     for entity in found:
         if not out or entity[0] >= out[-1][1]:
             out.append(entity)
@@ -208,12 +258,10 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         return (_word(key, letters, 8, label, normal) + (join[0] if join else "") + number + "@"
                 + _word(key, letters, 5, "domain", domain) + ".example." + domain.rsplit(".", 1)[1])
     if kind == "name":
-        gender, name = normal.split("|", 1)
-        syllables, endings, last = _SYLLABLES[script_of(name)]
-        parts = name.split(" ")
-        given = _word(key, syllables, 4, label, gender, "given", name) + endings[gender]
-        family = _word(key, syllables, 6, label, "family", name) + last
-        return f"{gender}|" + (f"{given} {family}" if len(parts) > 1 else family)
+        role, name = normal.split("|", 1)
+        syllables, _, last = _SYLLABLES[script_of(name)]
+        # a given name gets its ending, by gender, where it is mentioned
+        return f"{role}|" + (_word(key, syllables, 4, label, role, name) if role == "given" else _word(key, syllables, 6, label, role, name) + last)
     # secrets and account numbers: each character by one of its class, a known prefix stays
     head = _PREFIX.match(normal)
     kept = head.end() if head else 2 if kind == "iban" else 0
@@ -228,7 +276,7 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     return out
 
 
-def _in_form(kind: str, mention: str, new: str) -> str:
+def _in_form(kind: str, mention: str, new: str, gender: str = "") -> str:
     """The surrogate in the mention's form."""
     if kind == "phone" and "(0)" in mention:
         before, after = mention.split("(0)", 1)
@@ -238,19 +286,22 @@ def _in_form(kind: str, mention: str, new: str) -> str:
         letters = iter(new.lstrip("+"))
         return "".join(next(letters) if c.isalnum() else c for c in mention)
     if kind == "name":
-        words = new.split("|", 1)[1].split(" ")
-        return " ".join(w.upper() if m.isupper() and len(m) > 1 else w.capitalize() for w, m in zip(words, mention.split(" ")))
+        role, word = new.split("|", 1)
+        word += _SYLLABLES[script_of(word)][1][gender] if role == "given" else ""
+        return word.upper() if mention.isupper() and len(mention) > 1 else word.capitalize()
     return new.upper() if kind == "email" and mention.isupper() else new
 
 
 def replace_in(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds replaced, in order."""
-    out, at, kinds = [], 0, []
-    for begin, end, kind, normal in detect(text):
+    out, at, kinds, given = [], 0, [], -1
+    for begin, end, kind, normal, gender in _found(text):
         new = surrogate(key, kind, normal, attempts.get((kind, normal), 0))
-        out += [text[at:begin], _in_form(kind, text[begin:end], new)]
+        out += [text[at:begin], _in_form(kind, text[begin:end], new, gender)]
         at = end
-        kinds.append(kind)
+        if not (given == begin - 1 and normal.startswith("family|") and text[given] == " "):  # a whole name counts once
+            kinds.append(kind)
+        given = end if kind == "name" and normal.startswith("given|") else -1
     return "".join([*out, text[at:]]), kinds
 
 
@@ -281,7 +332,9 @@ def exceptions(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFra
         # of those that share a surrogate one keeps it, preferably one that had it before
         keeps = tried.groupBy("kind", "new").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "normal"))["normal"].alias("keeper"))
-        real = entities.select("kind", F.col("normal").alias("new"), F.lit(True).alias("is_real"))
+        real = entities.select("kind", F.col("normal").alias("new"))
+        bare = F.regexp_replace("normal", "(?:n|a|l|н|а|ль|σ|α|ν)$", "")  # a given name without its ending
+        real = real.union(entities.where("kind = 'name' and normal like 'given|%'").select("kind", bare)).distinct().withColumn("is_real", F.lit(True))
         clash = keeps.join(real, ["kind", "new"], "left").where("n > 1 or is_real")
         clash = clash.select("kind", "new", F.when(F.col("is_real"), F.lit(None)).otherwise(F.col("keeper")).alias("keeper"), F.lit(True).alias("clashes"))
         moved = tried.join(clash, ["kind", "new"], "left").withColumn(

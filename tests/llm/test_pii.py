@@ -38,6 +38,21 @@ def test_same_entity_same_surrogate_in_any_form():
     assert swap("A.B@Mail.com").lower() == swap("a.b@mail.com")
 
 
+def test_a_name_keeps_its_surrogate_at_every_mention():
+    text = "Mr. John Smith came. John Smith left, Mr. Smith, SMITH and Smith's John. Dr. Anna Weber is Frau Anna Weber; Anna Smith"
+    new, kinds = pii.replace_in(text, KEY, {})
+    found = re.fullmatch(r"Mr\. (?P<g>\w+) (?P<f>\w+) came\. (?P=g) (?P=f) left, Mr\. (?P=f), (?P<u>\w+) and (?P=f)'s (?P=g)\. "
+                         r"Dr\. (?P<a>\w+a) (?P<w>\w+) is Frau (?P=a) (?P=w); (?P=a) (?P=f)", new)
+    assert found and found["u"] == found["f"].upper() and kinds == ["name"] * 9, (new, kinds)
+    assert not {"john", "smith", "anna", "weber"} & set(re.findall(r"\w+", new.casefold()))
+    # the same in another document, and apart from the given name
+    assert swap("Mrs. Eva Smith").split()[2] == swap("Mr. Smith").split()[1] == found["f"]
+    assert swap("Mr. John Roe").split()[1] == found["g"]
+    # no title, no name; words that are also written small stay
+    assert swap("John Smith") == "John Smith"
+    assert swap("Mr. Brown ate brown bread. Brown rice").endswith("ate brown bread. Brown rice")
+
+
 def test_check_digits_stay_right_or_wrong_and_numbers_stay_apart():
     for n in ("4111111111111111", "4111111111111112"):
         assert pii.luhn(pii.surrogate(KEY, "card", n)) == pii.luhn(n)
