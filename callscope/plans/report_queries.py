@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators import export
@@ -67,7 +70,7 @@ def _cost_json(spark, sf):
         F.coalesce("e.totalTokens", F.col("e.inputTokens") + F.col("e.outputTokens")).alias("tokens"))
 
 
-# -- reports: one JSON array per section; the rows of each are checked by their own queries --
+# -- reports: JSON lines by section; the rows of each are checked by their own queries --
 
 _DAY = "(select * from calls where timestamp > (select max(timestamp) from calls) - interval 24 hours) d"
 _DAY_BUCKETS = f"(select count(distinct time_bucket(interval '15 minutes', timestamp)) from {_DAY} {{where}})"
@@ -78,36 +81,38 @@ def _counts(**sections: str) -> str:
     return WITH_CALLS + " union all ".join(f"select '{n}' as section, cast({sql} as bigint) as row_count" for n, sql in sections.items())
 
 
-def _counted(report):
-    """Section sizes, after parsing the document's JSON again."""
-    parsed = F.from_json("json", "array<variant>")
-    return reports.document(report).select("section", F.size(parsed).alias("row_count"))
+def _counted(spark, report):
+    """Section sizes, after writing the whole report and parsing its JSON again."""
+    folder = new_folder(spark, "report")
+    reports.write_report(report, folder)
+    return reduce(DataFrame.unionByName, [
+        spark.read.text(f"{folder}/{name}").agg(F.lit(name).alias("section"), F.count(F.parse_json("value")).alias("row_count")) for name in report])
 
 
 @query("report_overview", _counts(totals="1", recentCalls="(select least(count(*), 50) from calls)"))
 def _overview(spark, sf):
     calls = testdata.calls(spark, sf)
-    return _counted(reports.overview_report(calls, testdata.as_of(calls)))
+    return _counted(spark, reports.overview_report(calls, testdata.as_of(calls)))
 
 
 @query("report_tools", _counts(tools=_NODES))
 def _tools(spark, sf):
     calls = testdata.calls(spark, sf)
-    return _counted(reports.tool_report(calls, testdata.as_of(calls)))
+    return _counted(spark, reports.tool_report(calls, testdata.as_of(calls)))
 
 
 @query("report_tokens", _counts(byNode=_NODES, byAgentType=f"(select count(distinct agent_type) from {_DAY})",
                                 timeseries=_DAY_BUCKETS.format(where="")))
 def _tokens(spark, sf):
     calls = testdata.calls(spark, sf)
-    return _counted(reports.token_report(calls, testdata.as_of(calls)))
+    return _counted(spark, reports.token_report(calls, testdata.as_of(calls)))
 
 
 @query("report_cost", _counts(byNode=_NODES, bySession=f"(select least(count(distinct session_id), 50) from {_DAY})",
                               timeseries=_DAY_BUCKETS.format(where=""), totals="1"))
 def _cost(spark, sf):
     calls = testdata.calls(spark, sf)
-    return _counted(reports.cost_report(calls, testdata.sessions(spark, sf), testdata.as_of(calls)))
+    return _counted(spark, reports.cost_report(calls, testdata.sessions(spark, sf), testdata.as_of(calls)))
 
 
 @query("report_errors", _counts(
@@ -116,7 +121,7 @@ def _cost(spark, sf):
     recentErrors=f"(select least(count(*), 50) from {_DAY} where status <> 'success')"))
 def _errors(spark, sf):
     calls = testdata.calls(spark, sf)
-    return _counted(reports.error_report(calls, testdata.as_of(calls)))
+    return _counted(spark, reports.error_report(calls, testdata.as_of(calls)))
 
 
 @query("write_report_tokens", WITH_CALLS + f"""select server_name, tool_name, {_USAGE} from {_DAY} group by server_name, tool_name""")

@@ -1,8 +1,8 @@
 """Whole reports: several sections answering one question.
 
 A report is a set of aggregated DataFrames. :func:`write_report` writes each
-section as JSON lines, whatever its size. :func:`document` nests the first rows
-of each section into one JSON array, for a screen.
+section as JSON lines, whatever its size. :func:`document` nests each section
+of few rows by its definition (totals, the top n) into one JSON array, for a screen.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ Time = datetime | str | Column
 class Section:
     rows: DataFrame
     order: Sequence[Column | str] = ()
+    #: The section's definition admits few rows only, whatever the data.
+    few: bool = False
 
 
 # The names of the sections below.
@@ -35,8 +37,8 @@ def overview_report(calls: DataFrame, as_of: Time) -> dict[str, Section]:
     """Headline numbers of 24 hours, and the newest calls of all time."""
     recent = topk.recent_calls(calls)
     return {
-        "totals": Section(metrics.overview(calls, as_of)),
-        "recentCalls": Section(recent, (F.desc("timestamp"), F.desc("id"))),
+        "totals": Section(metrics.overview(calls, as_of), few=True),
+        "recentCalls": Section(recent, (F.desc("timestamp"), F.desc("id")), few=True),
     }
 
 
@@ -58,9 +60,9 @@ def cost_report(calls: DataFrame, sessions: DataFrame, as_of: Time, window: str
     chosen = since(calls, as_of, window)
     return {
         "byNode": Section(metrics.cost_by_node(chosen), (F.desc("cost_usd"), *metrics.NODE)),
-        "bySession": Section(metrics.cost_by_session(chosen, sessions), (F.desc("cost_usd"), "session_id")),
+        "bySession": Section(metrics.cost_by_session(chosen, sessions), (F.desc("cost_usd"), "session_id"), few=True),
         "timeseries": Section(metrics.cost_series(chosen), ("bucket",)),
-        "totals": Section(metrics.cost_totals(chosen)),
+        "totals": Section(metrics.cost_totals(chosen), few=True),
     }
 
 
@@ -69,21 +71,24 @@ def error_report(calls: DataFrame, as_of: Time, window: str = "24h") -> dict[str
     return {
         "byClass": Section(metrics.errors_by_class(chosen), ("error_class",)),
         "timeseries": Section(metrics.error_class_series(chosen), ("bucket",)),
-        "recentErrors": Section(topk.recent_errors(chosen), (F.desc("timestamp"), F.desc("id"))),
+        "recentErrors": Section(topk.recent_errors(chosen), (F.desc("timestamp"), F.desc("id")), few=True),
     }
 
 
-def document(sections: dict[str, Section], limit: int = 5000) -> DataFrame:
-    """One row per section: its name, number of rows and the rows as a JSON
+def document(sections: dict[str, Section]) -> DataFrame:
+    """One row per section: its name, number of rows and all its rows as a JSON
     array in report order. An empty section gives an empty array.
 
-    A document is for a screen: a section shows its first ``limit`` rows. Each
-    task keeps no more than that many; :func:`write_report` writes all rows.
+    An array is made in one task, so only sections of few rows are taken;
+    :func:`write_report` writes the others.
     """
+    if many := [name for name, section in sections.items() if not section.few]:
+        raise ValueError(f"sections of any number of rows, for write_report: {', '.join(many)}")
+
     def lines(name: str, section: Section) -> DataFrame:
         order = Window.orderBy(*section.order) if section.order else Window.orderBy(F.lit(1))
         rows = section.rows.orderBy(*section.order) if section.order else section.rows
-        return rows.limit(limit).select(
+        return rows.select(
             F.lit(name).alias("section"), F.row_number().over(order).alias("position"),
             F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
 
