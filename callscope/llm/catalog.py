@@ -7,7 +7,7 @@ from callscope.llm.common import ORACLES, QUERIES
 
 def load():
     import corpus_pipeline
-    from callscope.llm import attribution, extraction, jaccard, langid, neighbours, packing, pieces, pii, quality, repeats  # noqa: F401
+    from callscope.llm import attribution, extraction, jaccard, langid, neighbours, packing, periods, pieces, piecetable, pii, quality, repeats, windowsketch  # noqa: F401
 
     QUERIES["pipeline"] = corpus_pipeline.run
     if corpus_pipeline.ORACLE_SQL is not None:

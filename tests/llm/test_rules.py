@@ -27,5 +27,5 @@ def test_every_operator_has_one_query():
     from callscope.llm.catalog import load
 
     queries, oracles = load()
-    assert sorted(int(name[2:].split("_")[0]) for name in queries if name.startswith("op")) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries if name.startswith("op")) == list(range(1, 14))
     assert set(queries) - {name for name in queries if name.startswith("op")} == {"pipeline"} and set(oracles) <= set(queries)
