@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-_PROBE = "It's 12,345 naïve  words\n\n\tand 語   <|endoftext|> 'll x" + " " * 9 + "\r\n"
+_PROBE = "It's 12,345 naïve  words\n\n\tand 語   <|endoftext|>x<|endoftext|><|endof 'll x" + " " * 9 + "\r\n"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -26,15 +26,14 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts; strings that look like special tokens are ordinary text."""
+    """Ids of texts. The vocabulary's special tokens have their ids where a text holds them, as in the library's own call."""
 
     def __init__(self, path: str = VOCABULARY):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.fast = self._fast(path)
-        if self.fast is not None and self._ids_slow(_PROBE) != self.fast.encode_ordinary(_PROBE):
+        if self.fast is not None and self._ids_slow(_PROBE) != self.fast.encode(_PROBE, allowed_special="all"):
             self.fast = None
 
     def _fast(self, path: str):
@@ -42,15 +41,19 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        special = {t["content"]: t["id"] for t in added}
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            return None
         letters = _byte_letters()
         try:
             ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         except (KeyError, TypeError):
             return None
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.lengths[list(ranks.values())] = [len(token) for token in ranks]
-        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        known = ranks | {token.encode(): i for token, i in special.items()}
+        self.lengths = np.zeros(max(known.values()) + 1, np.int64)
+        self.lengths[list(known.values())] = [len(token) for token in known]
+        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def _ids_slow(self, text: str) -> list[int]:
         return self.slow.encode(text, add_special_tokens=False).ids
@@ -58,7 +61,7 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None:
             return np.array(self._ids_slow(text), np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        return self.fast.encode_to_numpy(text, allowed_special="all")
 
     def byte_ends(self, text: str, ids: np.ndarray) -> np.ndarray:
         """For each token, how many bytes of the text it and those before it stand for."""

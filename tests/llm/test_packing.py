@@ -43,13 +43,23 @@ def check(rows, texts, size, plain):
 def test_ids_equal_those_of_the_vocabularys_library(plain):
     encode = tokens.encoder()
     assert encode.fast is not None
-    odd = ["", "a" * 5000, " " * 3000, "\n" * 999 + "x", "語" * 700, "\x00\x01   x", "é 👩‍👩‍👧 'S 'll", "1234567 ١٢٣", "\r\n\t \f\v end "]
+    odd = ["", "a" * 5000, " " * 3000, "\n" * 999 + "x", "語" * 700, "\x00\x01   x", "é 👩‍👩‍👧 'S 'll", "1234567 ١٢٣", "\r\n\t \f\v end ",
+           "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext", "x" * 50 + "<|endoftext|>\n"]
     for text in odd:
         assert encode.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
         ends = encode.byte_ends(text, encode.ids(text))
         assert (ends[-1] if len(ends) else 0) == len(text.encode())
 
 
+def test_special_tokens_in_a_whole_table(spark, sf, plain):
+    """Every text with the vocabulary's special token inside has the ids of the library's call."""
+    docs = packing.table(spark, sf, "documents").withColumn(
+        "text", F.concat(F.substring("text", 1, 90), F.lit("<|endoftext|>"), F.expr("substring(text, 91)"), F.lit(" <|endoftext|>")))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    check(packing.pack(docs, per_partition=60).collect(), texts, 1024, plain)
+    assert plain.encode("a<|endoftext|>b", add_special_tokens=False).ids == tokens.encoder().ids("a<|endoftext|>b").tolist() == [64, 50256, 65]
+
+
 def test_documents_of_the_small_data_set(spark, sf, plain):
     docs = packing.table(spark, sf, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
