@@ -17,8 +17,10 @@ large corpus cannot be sorted, and need not be:
    somewhere: where repeats begin and end. For each anchor, the suffixes that
    start a window are sorted with their common prefixes, and one scan with a
    stack visits the tree of common-prefix intervals. An interval whose
-   occurrences do not all extend to the left by one byte is a maximal repeat;
-   it is output with all its occurrences, and all but the first are removed.
+   occurrences do not all extend to the left by one byte is a maximal repeat
+   with all its occurrences, all but the first of which are removed. Of nested
+   ones an occurrence needs the longest in which it is not the first, and those
+   of one run overlap: at most one stretch is output for a run.
    An anchor with more than ``GROUP_LIMIT`` different runs is resolved window
    by window instead (step 2 with runs of one window), which has no large group.
 
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import mix, query, table, text_bytes, texts_in_blocks, written
+from callscope.llm.common import mix, query, table, text_bytes, texts_in_blocks, unused, written
 
 WINDOW = 100
 GRAM = 32
@@ -242,11 +244,11 @@ def _contents(batches, anchors=None) -> Iterator[pa.RecordBatch]:
                 [pa.array(run["a"][taken]), pa.array(own[taken]), pa.array(run["lo"][taken]), pa.array(texts, pa.binary())], ["a", "id", "lo", "run"])
 
 
-def maximal_repeats(groups: np.ndarray, ids: np.ndarray, lo: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats among the texts of each group, as (length, occurrences by (id, first byte)).
+def _sorted_suffixes(groups: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """The suffixes that start a window which other suffixes of the group start too, in sorted order: their text, their
+    first byte in it, the byte before it (256: none), and the prefix in common with the next one (0: none).
 
-    Texts of a group are compared from their window starts on, ``WINDOW`` bytes
-    at least; what precedes a text is taken to differ.
+    A window that the same byte precedes everywhere is left out; the one that starts there says more.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
@@ -265,7 +267,7 @@ def maximal_repeats(groups: np.ndarray, ids: np.ndarray, lo: np.ndarray, texts:
     open_left = np.repeat((many > 1) & ((low != high) | (high == 256)), many)
     order, key, before = order[open_left], key[open_left], before[open_left]
     if not len(order):
-        return
+        return order, order, [], []
     # The suffixes of equal first windows, sorted by what follows the window.
     tail = WINDOW - GRAM + 1
     follow = at[order][:, None] + WINDOW + np.arange(tail)
@@ -276,18 +278,21 @@ def maximal_repeats(groups: np.ndarray, ids: np.ndarray, lo: np.ndarray, texts:
     equal = tails[1:] == tails[:-1]
     common = np.where(equal.all(axis=1), tail, np.argmin(equal, axis=1))
     common = WINDOW + np.minimum(common, np.minimum(length[1:], length[:-1]))
-    common = np.append(np.where(key[1:] == key[:-1], common, 0), 0).tolist()
-    places = list(zip(ids[text[order]].tolist(), (lo[text[order]] + offset[order]).tolist()))
-    left = before.tolist()
+    common = np.append(np.where(key[1:] == key[:-1], common, 0), 0)
+    return text[order], offset[order], before.tolist(), common.tolist()
+
+
+def _intervals(before: list[int], common: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The intervals of sorted suffixes that are maximal repeats, as (length, first, last), inner ones before outer ones."""
     # A stack entry: [common prefix, first index, the one byte before all its occurrences or 256].
     stack: list[list[int]] = []
     for i, depth in enumerate(common):
-        begin, byte = i, left[i]
+        begin, byte = i, before[i]
         while stack and stack[-1][0] > depth:
             size, begin, other = stack.pop()
             byte = byte if byte == other else 256
             if byte == 256:
-                yield size, places[begin:i + 1]
+                yield size, begin, i
             if stack and stack[-1][0] >= depth:
                 stack[-1][2] = byte if byte == stack[-1][2] else 256
         if depth and (not stack or stack[-1][0] < depth):
@@ -296,21 +301,73 @@ def maximal_repeats(groups: np.ndarray, ids: np.ndarray, lo: np.ndarray, texts:
             stack[-1][2] = 256
 
 
+def maximal_repeats(groups: np.ndarray, ids: np.ndarray, lo: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Maximal repeats among the texts of each group, as (length, occurrences by (id, first byte)).
+
+    Texts of a group are compared from their window starts on, ``WINDOW`` bytes
+    at least; what precedes a text is taken to differ. All occurrences of all
+    nested repeats can be many more than the texts: :func:`repeated_stretches`
+    has what a removal needs.
+    """
+    text, offset, before, common = _sorted_suffixes(groups, texts)
+    places = list(zip(ids[text].tolist(), (lo[text] + offset).tolist()))
+    for size, first, last in _intervals(before, common):
+        yield size, places[first:last + 1]
+
+
+def repeated_stretches(groups: np.ndarray, ids: np.ndarray, lo: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text that holds a maximal repeat which starts earlier elsewhere: its id, and first byte and length of the
+    stretch that such repeats cover. All windows of a text hold its anchor, so it is one stretch.
+
+    A suffix counts with the longest interval in which it is not the earliest. Intervals come inner ones first; each
+    settles all its open suffixes but the earliest, which stays open for the outer ones, so every suffix is settled once.
+    """
+    text, offset, before, common = _sorted_suffixes(groups, texts)
+    place = lo[text] + offset
+    rank = np.empty(len(text), np.int64)
+    rank[np.lexsort((place, ids[text]))] = np.arange(len(text))
+    rank = rank.tolist()
+    longest = [0] * len(text)
+    later = list(range(len(text) + 1))  # the next open suffix from here on, or a step towards it
+    for size, first, last in _intervals(before, common):
+        least, i = -1, first
+        while True:
+            start = i
+            while later[i] != i:
+                i = later[i]
+            while later[start] != i:
+                start, later[start] = later[start], i
+            if i > last:
+                break
+            if least < 0 or rank[i] < rank[least]:
+                settled, least = least, i
+            else:
+                settled = i
+            if settled >= 0:
+                longest[settled], later[settled] = size, settled + 1
+            i += 1
+    length = np.array(longest, np.int64)
+    found = np.flatnonzero(length)
+    begin, end = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+    np.minimum.at(begin, text[found], place[found])
+    np.maximum.at(end, text[found], (place + length)[found])
+    held = np.flatnonzero(end)
+    return ids[held], begin[held], (end - begin)[held]
+
+
 def _spans(batches) -> Iterator[pa.RecordBatch]:
-    """Reads runs by anchor; yields every occurrence of a maximal repeat but the first."""
+    """Reads runs by anchor; yields at most one stretch for each."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def flush(rows: pa.Table):
-        out = []
         rows = rows.combine_chunks()
-        args = [rows.column(i).to_numpy() for i in range(3)]
-        for length, found in maximal_repeats(*args, rows.column(3).to_pylist()):
-            least = min(found)
-            out += [(i, p, length) for i, p in found if (i, p) != least]
-        if out:
-            ids, lo, length = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lo, pa.int64()), pa.array(length, pa.int64())], ["id", "lo", "length"])
+        keys = np.stack([rows.column(i).to_numpy() for i in range(3)])
+        fresh = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))  # repeated rows give a place several times
+        rows, args = rows.filter(pa.array(fresh)), keys[:, fresh]
+        found = repeated_stretches(*args, rows.column(3).to_pylist())
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["id", "lo", "length"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -354,6 +411,9 @@ def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text", group_
     else:
         contents = texts.mapInArrow(_contents, kinds).join(several, "a", "left_semi")
     if contents is not None:
+        # copies of a run's text from other blocks are known to be repeated: only the first one is compared with others
+        firsts = found.where("a is not null").select("a", "id", "lo")
+        contents = contents.join(firsts, ["a", "id", "lo"], "left_semi").select("a", "id", "lo", "run")
         sorted_runs = contents.repartition("a").sortWithinPartitions("a", "id", "lo")
         out = out.union(sorted_runs.mapInArrow(_spans, "id long, lo long, length long"))
 
@@ -406,14 +466,43 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", keep_t
     figures = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     df = df.drop(*[f for f in figures if f not in (id, text)])
     spans = repeated_spans(df, id, text, **limits)
-    by_row = spans.groupBy(F.col("id").alias("_span_id")).agg(F.collect_list(F.struct("lo", "length")).alias("_spans"))
-    joined = df.join(by_row, F.col(id).cast("long") == F.col("_span_id"), "left").drop("_span_id")
+    own, found = unused(df.columns, "span_id"), unused([*df.columns, "span_id"], "spans")
+    by_row = spans.groupBy(F.col("id").alias(own)).agg(F.collect_list(F.struct("lo", "length")).alias(found))
+    joined = df.join(by_row, F.col(id).cast("long") == F.col(own), "left").drop(own)
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
     out = T.StructType([*fields, *[T.StructField(f, T.LongType() if f != "kept_sha256" else T.StringType()) for f in figures]])
     return joined.mapInArrow(partial(_cut, text=text, whole=keep_text), out)
 
 
-@query("op6_suffix_dedup")
+OP6_SQL = """
+with raw as (
+  select doc_id, encode(coalesce(text, '')) as b from documents),
+starts as (
+  select doc_id, i, array_slice(b, i, i + 99) as w
+  from (select doc_id, b, unnest(range(1, octet_length(b) - 98)) as i from raw where octet_length(b) >= 100)),
+later as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by w order by doc_id, i) as n from starts) where n > 1),
+marked as (
+  select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > 100, true) as opens from later),
+numbered as (
+  select doc_id, i, sum(cast(opens as int)) over (partition by doc_id order by i) as span from marked),
+spans as (
+  select doc_id, min(i) as first, max(i) + 99 as last from numbered group by doc_id, span),
+gaps as (
+  select doc_id, first, last, coalesce(lag(last) over (partition by doc_id order by first), 0) as done from spans),
+left_over as (
+  select doc_id, count(*) as n_spans, sum(last - first + 1) as n_removed, max(last) as done,
+         string_agg(hex(array_slice(b, done + 1, first - 1)), '' order by first) as kept
+  from gaps join raw using (doc_id) group by doc_id)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       case when done is null then sha256(b)
+            else sha256(unhex(kept || hex(array_slice(b, done + 1, octet_length(b))))) end as kept_sha256
+from raw left join left_over using (doc_id)
+"""
+
+
+@query("op6_suffix_dedup", OP6_SQL)
 def op6_suffix_dedup(spark, sf_dir):
     """What is left of every document without the bytes in 100-byte strings that start earlier."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -73,10 +73,37 @@ def test_maximal_repeats_come_with_all_occurrences():
     assert groups == {120: [(0, 1), (1, 1)], 110: [(0, 1), (1, 1), (2, 1)]}
 
 
+@pytest.mark.parametrize("variants", [4, 64, 256])
+def test_one_stretch_for_a_run_however_many_variants(variants):
+    """Nested repeats: variant v has v % 16 bytes more in common with those of its kind; whole repeats are many more."""
+    import numpy as np
+
+    rng = random.Random(variants)
+    core = bytes(rng.randrange(97, 123) for _ in range(110))
+    texts = [core + bytes([65 + v % 16] * (v % 7)) + bytes([48 + v % 10, 48 + v // 10 % 10, 48 + v // 100]) for v in range(variants)]
+    args = np.zeros(variants, np.int64), np.arange(variants), np.zeros(variants, np.int64), texts
+    ids, lo, length = repeats.repeated_stretches(*args)
+    assert len(set(ids.tolist())) == len(ids) == variants - 1
+    covered = {}
+    for size, places in repeats.maximal_repeats(*args):
+        for i, p in places:
+            if (i, p) != min(places):
+                covered.setdefault(i, set()).update(range(p, p + size))
+    assert covered == {i: set(range(p, p + n)) for i, p, n in zip(ids.tolist(), lo.tolist(), length.tolist())}
+
+
+def test_copies_in_many_blocks(docs_of):
+    rng = random.Random(11)
+    core = "".join(rng.choice("abcdefgh") for _ in range(120))
+    rows = [(i, f"{rng.random()} {core}{i % 5}{i % 5} {rng.random()}") for i in range(300)]
+    df = docs_of(rows).repartition(12)
+    assert repeats.repeated_spans(df).count() < 3 * 300 and found(df) == brute(rows)
+
+
 def test_repeated_rows_null_ids_empty_table_and_clashing_columns(docs_of):
     long = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(80))
     rows = [(3, long), (3, long), (4, long + "!"), (None, long), (5, None)]
-    df = docs_of(rows).withColumns({"a": F.lit(1), "id": F.lit(2), "lo": F.lit(3), "length": F.lit(4), "n_spans": F.lit(5)})
+    df = docs_of(rows).withColumns({"a": F.lit(1), "id": F.lit(2), "lo": F.lit(3), "length": F.lit(4), "n_spans": F.lit(5), "_span_id": F.lit(6), "_spans": F.lit(7), "span_id": F.lit(8)})
     assert found(df) == brute(rows)
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
