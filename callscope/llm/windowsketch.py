@@ -314,7 +314,8 @@ def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     found = written(runs.mapInArrow(partial(_judged, width=width, firsts=True), judged))
 
     firsts = found.where("a is not null").select("a", "c", "id", "lo", "windows")
-    several = firsts.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("a")
+    # written, so that the join reads it as it is and may split the partition of a busy gram
+    several = written(firsts.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("a"))
     edges = firsts.join(several, "a", "left_semi").select("a", "id", "lo", "windows")
     windows = edges.mapInArrow(_exploded, "p long, a long, w long, id long, at long, n long, open byte")
     windows = windows.repartition("p").sortWithinPartitions("a", "w", "id", "at")
