@@ -37,11 +37,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of texts that are 0.8 alike in five-word shingles.
 
-    Rows that repeat an id count once; rows without an id cannot be told apart and stay.
+    Rows that repeat an id count once, with the least of their texts; rows without an id cannot be told apart and stay.
     """
     groups = jaccard.components(docs.where("doc_id is not null"), width=5, num=80, den=100)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("text").isNull(), F.col("text"), F.xxhash64(F.lit(0), *others))
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    out = rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
     return out.union(docs.where("doc_id is null"))
 
 
