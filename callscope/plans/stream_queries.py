@@ -110,6 +110,13 @@ def _carried_pairs(spark, sf):
     return spark.read.parquet(out).select("conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms")
 
 
+@query("carried_alerts", _HOURLY_SQL + f"select {_OUT} from fired")
+def _carried_alerts(spark, sf):
+    out = new_folder(spark, "carried-alerts")
+    carried.run_carried_alert_stream(_calls_stream(spark, sf), out, f"{out}-carry", f"{out}-state", _HOURLY, available_now=True).awaitTermination()
+    return read_alerts(spark, out).drop("batch")
+
+
 @query("stream_live_tail", WITH_CALLS + f"""select id, session_id, server_name, tool_name, status, cast(latency_ms as bigint) as latency_ms, {stamp('timestamp')} as timestamp,
  round(cost_usd, 6) as cost_usd from (select * from calls order by timestamp desc, id desc limit 200)""")
 def _live_tail(spark, sf):
@@ -164,3 +171,22 @@ def _ingest_sessions(spark, sf):
  'an event needs a session, a tool and a time' as reason from ({_EVENT_SQL}) where not ({_OK})""")
 def _ingest_rejected(spark, sf):
     return spark.read.parquet(_ingested(spark, sf).rejected).select("session_id", "tool_name", "timestamp", "reason")
+
+
+# Two markers for two sessions of three, the earlier one first, one of a session that nobody knows and two that say nothing.
+@query("ingest_sessions_ended", WITH_CALLS + f""", seen as (select s.session_id as id, arg_min(c.server_name, c.id) as server_name,
+  arg_min(c.timestamp, c.id) as started_at from ({_EVENT_SQL}) s join calls c on c.id = s.id
+  where {_OK.replace('session_id', 's.session_id').replace('tool_name', 's.tool_name')} group by 1),
+ ends as (select session_id as id, max(timestamp) as ended_at from calls group by session_id having max(id) % 3 < 2)
+ select seen.id, server_name, {stamp('started_at')} as started_at, {stamp('ended_at')} as ended_at from seen left join ends using (id)""")
+def _ingest_ended(spark, sf):
+    paths = _ingested(spark, sf)
+    calls = testdata.raw_calls(testdata.events(spark, sf))
+    last = calls.groupBy("session_id").agg(F.max("timestamp").alias("b"), F.min("timestamp").alias("a"), F.max("id").alias("n")).where("n % 3 < 2")
+    markers = last.select("session_id", F.explode(F.array("a", "b")).alias("at")).selectExpr(
+        "to_json(named_struct('sessionId', session_id, 'endedAt', date_format(at, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\"))) as value")
+    extra = calls.limit(1).selectExpr("""explode(array('{"sessionId":"nobody","endedAt":"2024-01-01T00:00:00Z"}', '{"sessionId":"s1-1"}', '{')) as value""")
+    incoming = new_folder(spark, "ends")
+    markers.union(extra).write.text(incoming)
+    ingest.run_session_ends_stream(spark, incoming, paths, available_now=True).awaitTermination()
+    return ingest.read_sessions(spark, paths.sessions, paths.ends).select("id", "server_name", "started_at", "ended_at")

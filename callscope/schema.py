@@ -68,6 +68,12 @@ EVENT_JSON = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),  # the line itself when it is not JSON
 ])
 
+SESSION_END_JSON = T.StructType([
+    T.StructField("sessionId", T.StringType()),
+    T.StructField("endedAt", T.StringType()),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
 _ADDED_LATER = {
     "error_code": (T.IntegerType(), None),
     "input_tokens": (T.LongType(), 0),

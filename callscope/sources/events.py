@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.schema import EVENT_JSON
+from callscope.schema import EVENT_JSON, SESSION_END_JSON
 from callscope.session import allow_duplicate_json_keys
 
 REQUIRED = ("session_id", "tool_name", "timestamp_text")
@@ -55,6 +55,19 @@ def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int = 1
     return _to_calls(reader.json(path))
 
 
+def stream_session_ends(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """End markers of sessions as a stream over a folder that receives JSON lines ``{"sessionId", "endedAt"}``."""
+    reader = spark.readStream.schema(SESSION_END_JSON).option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)
+
+
+def validate_session_ends(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split into (``session_id``, ``ended_at``) and rejected lines: those without a session or a readable time."""
+    parsed = df.withColumn("ended_at", F.try_to_timestamp("endedAt"))
+    usable = ~_blank("sessionId") & F.col("ended_at").isNotNull()
+    return parsed.where(usable).select(F.col("sessionId").alias("session_id"), "ended_at"), parsed.where(~usable).drop("ended_at")
+
+
 def parse_events(df: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Events from a text column, such as the value of a message queue record."""
     allow_duplicate_json_keys(df.sparkSession)

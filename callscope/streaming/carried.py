@@ -3,8 +3,11 @@
 The stateful streams keep one key's rows of a micro-batch in one Python worker.
 Here a micro-batch goes through the batch operators instead, which spread a busy
 connection over many tasks, and what they need from earlier batches is a table
-with one row per connection or open request. It is written per batch, below the
-batch's number, so a batch that is retried reads and writes the same again.
+with one row per connection, node or open request. What has a key for good lies
+in a keyed table, of which a batch reads and writes the buckets of its own keys;
+open requests are written per batch, below the batch's number, and those of the
+batch before the last are deleted. A batch that is retried reads and writes the
+same again.
 """
 
 from __future__ import annotations
@@ -14,11 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callscope.config import SESSION_GAP
+from callscope.config import SESSION_GAP, AlertSettings
+from callscope.functions.measures import epoch_ms
+from callscope.operators.alerts import (
+    COOLDOWN_KEY, FIRED_STATE, NODE, NODE_STATE, alert_candidates, fire_alerts, rolling_tool_state_from,
+)
 from callscope.operators.sessions import sessionize_from
+from callscope.schema import ALERT_EVENTS
 from callscope.session import cut_lineage
 from callscope.sources.capture import pair_rpc_log, rpc_messages
-from callscope.sources.tables import BATCH
+from callscope.sources.tables import BATCH, write_alerts
+from callscope.streaming.keyed import KeyedTable, delete, latest
 
 _SESSION_STATE = "conn string, at bigint, kind int, n bigint"
 _LOG = ("conn", "direction", "seq", "ts", "line")
@@ -40,10 +49,11 @@ def sessionize_batch(calls: DataFrame, batch_id: int, path: str, carry: str, con
     """Store ``(id, session_id)`` of one micro-batch, and each connection's last activity and session number."""
     calls.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        before = _before(calls.sparkSession, carry, batch_id, _SESSION_STATE)
+        known = KeyedTable(carry, ("conn",), _SESSION_STATE, latest("conn"))
+        before = known.read(calls.sparkSession, batch_id, of=calls.select(F.col(connection).alias("conn")))
         found, state = sessionize_from(calls, before, connection, gap, request_activity)
         found.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-        state.write.mode("overwrite").parquet(f"{carry}/{BATCH}={batch_id}")
+        known.update(batch_id, state)
     finally:
         calls.unpersist()
 
@@ -65,17 +75,21 @@ def pair_batch(log: DataFrame, batch_id: int, path: str, carry: str, limit: str
     """Store one micro-batch's pairs, and the requests that are still open.
 
     An open request is its log line, so the next batch just reads it before its
-    own lines. Requests older than ``limit`` before the newest line are given up.
+    own lines. A request is given up once half of its own connection's lines of
+    a batch are more than ``limit`` later. So a line with a wrong clock gives up no
+    request of others, nor of its own connection, and no connection waits for another.
     """
     spark = log.sparkSession
     lines = log.select(*_LOG).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrived = lines.groupBy("conn").agg(F.approx_percentile(F.unix_micros("ts"), 0.5, 1000).alias("_middle"))
     lines = cut_lineage(lines.unionByName(_before(spark, carry, batch_id, lines.schema)))
     pair_rpc_log(lines).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-    newest = lines.agg(F.max("ts").alias("ts")).scalar()
     last = rpc_messages(lines).groupBy("conn", "rpc_id").agg(
         F.max_by(F.struct(*_LOG, "is_request"), F.struct("ts", "direction", "seq")).alias("m")).select("m.*")
-    still_open = last.where(F.col("is_request") & (F.col("ts") >= newest - F.expr(f"interval {limit}")))
+    given_up = F.timestamp_micros("_middle") - F.expr(f"interval {limit}")
+    still_open = last.where("is_request").join(arrived, "conn", "left").where(F.col("_middle").isNull() | (F.col("ts") >= given_up))
     still_open.select(*_LOG).write.mode("overwrite").parquet(f"{carry}/{BATCH}={batch_id}")
+    delete(spark, f"{carry}/{BATCH}={batch_id - 2}")
 
 
 def run_pairing_stream(log: DataFrame, path: str, carry: str, checkpoint: str, limit: str = "1 hour",
@@ -85,3 +99,36 @@ def run_pairing_stream(log: DataFrame, path: str, carry: str, checkpoint: str, l
         pair_batch(batch, batch_id, path, carry, limit)
 
     return _started(log, store, checkpoint, available_now)
+
+
+def alert_batch(calls: DataFrame, batch_id: int, path: str, carry: str, settings: AlertSettings = AlertSettings()) -> None:
+    """Store one micro-batch's alerts where ``read_alerts`` looks, and what later calls need: each node's buffer (200
+    latencies, counts and the lowest point of its error walk) and when each (tool, metric) fired last."""
+    spark = calls.sparkSession
+    nodes = KeyedTable(f"{carry}/nodes", NODE, NODE_STATE, latest(*NODE))
+    last = KeyedTable(f"{carry}/fired", COOLDOWN_KEY, FIRED_STATE, latest(*COOLDOWN_KEY))
+    thin = calls.select("id", *NODE, F.col("timestamp").cast("timestamp").alias("timestamp"), "latency_ms", "status")
+    thin = thin.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows, state = rolling_tool_state_from(thin, nodes.read(spark, batch_id, of=thin))
+        candidates = cut_lineage(alert_candidates(rows, settings))
+        fired = fire_alerts(candidates, settings.cooldown_ms, last.read(spark, batch_id, of=candidates))
+        folder = f"{path}/{BATCH}={batch_id}"
+        write_alerts(fired, folder, mode="overwrite")
+        nodes.update(batch_id, state)
+        stored = spark.read.schema(ALERT_EVENTS).parquet(folder)
+        last.update(batch_id, stored.groupBy(*COOLDOWN_KEY).agg(F.max(epoch_ms("fired_at")).alias("t")))
+    finally:
+        thin.unpersist()
+
+
+def run_carried_alert_stream(calls: DataFrame, path: str, carry: str, checkpoint: str, settings: AlertSettings = AlertSettings(),
+                             available_now: bool = False) -> StreamingQuery:
+    """Alerts of arriving calls by the rules of ``alerts``, also where one node has most of them.
+
+    Equal to the batch job when calls arrive in time order; a call that comes late counts when it comes.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        alert_batch(batch, batch_id, path, carry, settings)
+
+    return _started(calls, store, checkpoint, available_now)

@@ -7,17 +7,17 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from callscope.config import Pricing
 from callscope.operators.enrich import enrich
-from callscope.operators.sessions import derive_sessions
+from callscope.operators.sessions import apply_session_ends, derive_sessions
 from callscope.schema import SESSIONS
-from callscope.sources.events import stream_events, validate_events
+from callscope.sources.events import stream_events, stream_session_ends, validate_session_ends, validate_events
 from callscope.sources.tables import BATCH, path_exists, write_tool_calls
+from callscope.streaming.keyed import KeyedTable
 
-_SESSION_INPUT = "id bigint, session_id string, server_name string, timestamp timestamp"
+_END = "session_id string, ended_at timestamp"
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,11 @@ class IngestPaths:
         """Where each batch notes the ids it gave out."""
         return self.calls.rstrip("/") + "-ids"
 
+    @property
+    def ends(self) -> str:
+        """Where the ends of sessions are kept."""
+        return self.sessions.rstrip("/") + "-ends"
+
 
 def run_ingest_stream(
     spark: SparkSession, events_path: str, paths: IngestPaths, pricing: Pricing = Pricing(),
@@ -65,28 +70,53 @@ def ingest_batch(batch: DataFrame, batch_id: int, paths: IngestPaths, pricing: P
         rejected.write.mode("overwrite").parquet(paths.rejected + folder)
         mark = batch.sparkSession.range(1).selectExpr(f"{first}L as first", f"{rows}L as rows")
         mark.coalesce(1).write.mode("overwrite").parquet(f"{paths.marks}{folder}")
+        arrived = calls.select("id", "session_id", "server_name", "timestamp")  # the payload work is pruned
+        session_table(paths.sessions).update(batch_id, derive_sessions(arrived))
     finally:
         batch.unpersist()
-    if rows:
-        stored = batch.sparkSession.read.schema(f"{_SESSION_INPUT}, {BATCH} bigint").parquet(paths.calls)
-        stored = stored.where(F.col(BATCH) == batch_id)
-    else:
-        stored = batch.sparkSession.createDataFrame([], _SESSION_INPUT)
-    derive_sessions(stored).write.mode("overwrite").parquet(paths.sessions + folder)
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """The sessions the ingest stream stored: for each id the one of the
-    earliest batch, later ones never change it.
+def run_session_ends_stream(spark: SparkSession, ends_path: str, paths: IngestPaths, available_now: bool = False) -> StreamingQuery:
+    """Keep the end markers that arrive as JSON lines ``{"sessionId", "endedAt"}``; unusable ones go to ``<ends>-rejected``.
 
-    A batch only adds the sessions it saw. Looking up which of them are new is
-    left to the reader, so a batch costs the same however many there are.
+    A marker may come before its session's first call, and the latest one wins.
     """
-    schema = T.StructType([*SESSIONS.fields, T.StructField(BATCH, T.LongType())])
-    stored = spark.read.schema(schema).parquet(path)
-    columns = [name for name in SESSIONS.fieldNames() if name != "id"]
-    first = stored.groupBy("id").agg(F.min_by(F.struct(*columns), BATCH).alias("first"))
-    return first.select("id", "first.*")
+    def store(batch: DataFrame, batch_id: int) -> None:
+        end_batch(batch, batch_id, paths)
+
+    writer = stream_session_ends(spark, ends_path).writeStream.foreachBatch(store)
+    writer = writer.option("checkpointLocation", paths.checkpoint.rstrip("/") + "-ends")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def end_batch(batch: DataFrame, batch_id: int, paths: IngestPaths) -> None:
+    """Store one micro-batch of end markers."""
+    valid, rejected = validate_session_ends(batch)
+    end_table(paths.ends).update(batch_id, valid.groupBy("session_id").agg(F.max("ended_at").alias("ended_at")))
+    rejected.write.mode("overwrite").parquet(f"{paths.ends}-rejected/{BATCH}={batch_id}")
+
+
+def session_table(path: str) -> KeyedTable:
+    """The sessions that batches have seen. The one of the earliest batch holds, later ones never change it."""
+    def first(rows: DataFrame) -> DataFrame:
+        columns = [name for name in SESSIONS.fieldNames() if name != "id"]
+        return rows.groupBy("id").agg(F.min_by(F.struct(*columns), BATCH).alias("first")).select("id", "first.*")
+
+    return KeyedTable(path, ("id",), SESSIONS, first)
+
+
+def end_table(path: str) -> KeyedTable:
+    """The latest end marker of each session."""
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("session_id").agg(F.max("ended_at").alias("ended_at"))
+
+    return KeyedTable(path, ("session_id",), _END, last)
+
+
+def read_sessions(spark: SparkSession, path: str, ends: str | None = None) -> DataFrame:
+    """The sessions the ingest stream stored, with the ends kept at ``ends`` (``IngestPaths.ends``) if given."""
+    stored = session_table(path).read(spark)
+    return stored if ends is None else apply_session_ends(stored, end_table(ends).read(spark))
 
 
 def _first_id(spark: SparkSession, marks: str, batch_id: int) -> int:

@@ -1,9 +1,11 @@
 """Streams over several micro-batches give what the batch jobs give."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from test_alerts import random_calls, stepwise_state
 
 from callscope.config import AlertSettings, Pricing
 from callscope.operators import alerts, sessions
@@ -202,3 +204,69 @@ def test_carried_pairs_equal_batch(spark, pieces):
     columns = ["conn", "rpc_id", "request_seq", "response_seq", "method", "params", "result", "error", "latency_ms"]
     got, whole = spark.read.parquet(out).select(columns), capture.pair_rpc_log(log).select(columns)
     assert whole.count() > 5000 and whole.exceptAll(got).count() == 0 and got.exceptAll(whole).count() == 0
+
+
+def test_carried_alerts_equal_batch(spark, pieces):
+    calls = testdata.raw_calls(streamed(spark, pieces))
+    out = new_folder(spark, "carried-alerts")
+    carried.run_carried_alert_stream(calls, out, f"{out}-carry", f"{out}-state", SETTINGS, available_now=True).awaitTermination()
+    fired = tables.read_alerts(spark, out)
+    whole = alerts.alerts(testdata.raw_calls(spark.read.parquet(pieces)), SETTINGS)
+    assert fired.select("batch").distinct().count() > 1
+    plain = lambda df: sorted(map(tuple, df.select("id", "tool_name", "server_name", "metric", F.round("value", 6), "threshold", "fired_at").collect()))
+    assert plain(fired) == plain(whole) and whole.count() > 100
+
+
+@pytest.mark.parametrize("error_rate, sizes", [(0.9, (3, 1, 150, 0, 47, 1, 301, 97)), (0.3, (199, 1, 1, 99, 1, 100, 200, 99))])
+def test_carried_state_of_a_node_composes(spark, make_calls, error_rate, sizes):
+    """Cuts at and around the trims of the buffer, a hot node and several small ones, empty batches."""
+    rows = random_calls(21, sum(sizes), error_rate, hot=0.8)
+    want, got, at = stepwise_state(rows), {}, 0
+    before = spark.createDataFrame([], alerts.NODE_STATE)
+    for size in sizes:
+        seen, left = alerts.rolling_tool_state_from(make_calls(rows[at:at + size]), before)
+        got |= {r.id: (r.buffer_calls, r.p95_latency_ms, r.error_count) for r in seen.collect()}
+        left = {(r.server_name, r.tool_name): tuple(r) for r in left.collect()}
+        known = {(r.server_name, r.tool_name): tuple(r) for r in before.collect()} | left
+        assert all(len(state[5]) <= 200 for state in known.values())
+        before = spark.createDataFrame(list(known.values()), alerts.NODE_STATE)
+        at += size
+    assert got == want
+
+
+def test_cooldown_goes_on_from_the_last_alert(spark):
+    rng = random.Random(5)
+    times = sorted({rng.randrange(4000) for _ in range(300)})
+    rows = [(i, "srv", rng.choice("ab"), t, "m", 1.0, 0.0) for i, t in enumerate(times)]
+    make = lambda part: spark.createDataFrame(part, "id long, server_name string, tool_name string, ms long, metric string, value double, threshold double").withColumn(
+        "timestamp", F.timestamp_millis("ms")).drop("ms")
+    whole = {r.id for r in alerts.fire_alerts(make(rows), 100).collect()}
+    got, last = set(), {}
+    for at in range(0, len(rows), 40):
+        before = spark.createDataFrame([(*k, t) for k, t in last.items()], alerts.FIRED_STATE)
+        part = rows[at:at + 40] + ([rows[at - 1]] if at else [])  # the last candidate again: as late as the alert it fired
+        for r in alerts.fire_alerts(make(part), 100, before).collect():
+            got.add(r.id)
+            at_ms = next(row[3] for row in rows if row[0] in (r.id, ~r.id))
+            last[(r.tool_name, r.metric)] = max(last.get((r.tool_name, r.metric), -1), at_ms)
+    assert got == whole
+
+
+def test_a_wrong_clock_gives_up_no_open_request(spark, tmp_path):
+    out, carry = str(tmp_path / "out"), str(tmp_path / "carry")
+    line = lambda conn, direction, seq, ts, text: (conn, direction, seq, ts, text)
+    request, answer = '{"id":%d,"method":"m"}', '{"id":%d,"result":0}'
+    batches = [
+        [line("a", "agent", 0, "2026-01-01 10:00:00", request % 1), line("b", "agent", 1, "2026-01-01 10:00:01", request % 1),
+         line("a", "agent", 2, "2026-01-01 10:00:02", request % 2), line("c", "agent", 3, "2099-01-01 00:00:00", request % 1),
+         line("a", "agent", 4, "2099-01-01 00:00:00", request % 3)],
+        [line("a", "server", 5, "2026-01-01 10:00:05", answer % 1), line("c", "server", 6, "2026-01-01 10:00:06", answer % 9)],
+        [line("a", "server", 7, "2026-01-01 12:30:00", answer % 8), line("b", "server", 8, "2026-01-01 10:00:09", answer % 1)],
+        [line("a", "server", 9, "2026-01-01 12:30:01", answer % 2)],
+    ]
+    for n, batch in enumerate(batches):
+        log = spark.createDataFrame(batch, "conn string, direction string, seq long, ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
+        carried.pair_batch(log, n, out, carry)
+    pairs = sorted((r.conn, r.request_seq, r.response_seq) for r in spark.read.parquet(out).collect())
+    assert pairs == [("a", 0, 5), ("b", 1, 8)]  # request 2 of a was over two hours behind a's lines
+    assert sorted(p.name for p in (tmp_path / "carry").iterdir()) == ["batch=2", "batch=3"]
