@@ -11,7 +11,7 @@ from callscope.plans import testdata, wiredata
 from callscope.plans.alert_queries import _HOURLY, _HOURLY_SQL, _OUT
 from callscope.plans.catalog import query
 from callscope.plans.metric_queries import _BUCKETED, ranks_sql
-from callscope.plans.session_queries import _EVENT_SQL, _OK, _PAIRS, _REQUEST_POINTS, _event_lines, _gap_sql
+from callscope.plans.session_queries import _ENDS, _EVENT_SQL, _OK, _PAIRS, _REQUEST_POINTS, _event_lines, _gap_sql
 from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
 from callscope.plans.wiredata import WITH_LOG
 from callscope.session import new_folder
@@ -95,6 +95,40 @@ def _pair(spark, sf):
         "conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms", "timestamp", "result", "error")
 
 
+# No id comes again within two minutes, so the join finds the pairs that are answered so soon.
+@query("stream_join_rpc", WITH_LOG + _PAIRS + f"""select conn, rpc_id, request_seq, response_seq, method, latency_ms, {stamp('timestamp')} as timestamp,
+ cast(json_extract(response, '$.result') as varchar) as result, cast(json_extract(response, '$.error') as varchar) as error from pairs where latency_ms <= 120000""")
+def _join(spark, sf):
+    log = wiredata.as_log(wiredata.as_exchanges(_stream(spark, sf)))
+    return _run(spark, series.stream_join_rpc(log, limit="2 minutes"), "joined").select(
+        "conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms", "timestamp", "result", "error")
+
+
+def _with_closings(spark, sf):
+    method = F.when(F.col("id") % 11 == 0, "initialize").otherwise(F.col("method"))
+    calls = lambda: testdata.raw_calls(_stream(spark, sf)).drop("session_id").withColumn("method", method)
+    closed = F.timestamp_millis(F.unix_millis(F.col("timestamp").cast("timestamp")) + F.col("latency_ms"))
+    ends = calls().where("status = 'timeout'").select(F.col("server_name").alias("conn"), closed.alias("ended_at"))
+    return calls(), ends
+
+
+# What the watermark has passed at the end of the data.
+_PASSED = "t < (select max(t) from points) - 600000"
+
+
+@query("stream_sessionize_ordered", WITH_CALLS + _ENDS + f"select id, concat(conn, '#', cast(n as bigint)) as session_id from numbered where kind = 1 and {_PASSED}")
+def _sessionize_ordered(spark, sf):
+    return _run(spark, stateful.stream_sessionize_ordered(*_with_closings(spark, sf), gap="6 hours"), "ordered")
+
+
+@query("stream_session_ends", WITH_CALLS + _ENDS + f"""select concat(conn, '#', cast(n as bigint)) as session_id, {stamp('max(make_timestamp(t * 1000))')} as ended_at
+ from numbered where kind = 2 and n > 0 and last_kind <> 2 and {_PASSED} group by all""")
+def _stream_ends(spark, sf):
+    paths = ingest.IngestPaths(*[new_folder(spark, f"closed-{part}") for part in ("calls", "sessions", "rejected", "state")])
+    ingest.keep_session_ends(stateful.stream_session_ends(*_with_closings(spark, sf), gap="6 hours"), paths, available_now=True).awaitTermination()
+    return ingest.end_table(paths.ends).read(spark)
+
+
 @query("carried_sessionize", _gap_sql(300_000, _REQUEST_POINTS, "false"))
 def _carried_sessionize(spark, sf):
     method = F.when(F.col("id") % 11 == 0, "initialize").otherwise(F.col("method"))

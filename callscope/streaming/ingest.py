@@ -92,10 +92,23 @@ def run_session_ends_stream(spark: SparkSession, ends_path: str, paths: IngestPa
 def end_batch(batch: DataFrame, batch_id: int, paths: IngestPaths) -> None:
     """Store one micro-batch of end markers."""
     valid, rejected = validate_session_ends(batch)
-    end_table(paths.ends).update(batch_id, valid.groupBy("session_id").agg(F.max("ended_at").alias("ended_at")))
+    _store_ends(valid, batch_id, paths)
     rejected.write.mode("overwrite").parquet(f"{paths.ends}-rejected/{BATCH}={batch_id}")
 
 
+def keep_session_ends(ends: DataFrame, paths: IngestPaths, available_now: bool = False) -> StreamingQuery:
+    """Keep the ends that a stream finds, ``(session_id, ended_at)`` (see ``stateful.stream_session_ends``)."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _store_ends(batch, batch_id, paths)
+
+    writer = ends.writeStream.foreachBatch(store).option("checkpointLocation", paths.checkpoint.rstrip("/") + "-ends")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _store_ends(ends: DataFrame, batch_id: int, paths: IngestPaths) -> None:
+    end_table(paths.ends).update(batch_id, ends.groupBy("session_id").agg(F.max("ended_at").alias("ended_at")))
+
+
 def session_table(path: str) -> KeyedTable:
     """The sessions that batches have seen. The one of the earliest batch holds, later ones never change it."""
     def first(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Windowed streams over calls: series, percentiles, sessions.
+"""Windowed streams over calls: series, percentiles, sessions, and the join of requests with responses.
 
 Late calls are dropped once the watermark has passed their window; a batch run
 over the stored table is the way to correct such a window.
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.config import SERIES_BUCKET, SESSION_GAP
-from callscope.functions.measures import call_count, error_rate, is_error
+from callscope.functions.measures import call_count, elapsed_ms, error_rate, is_error
 from callscope.functions.percentile import rank_index
+from callscope.sources.capture import request_fields, response_fields, rpc_messages
 
 NODE = ("server_name", "tool_name")
 LATE = "10 minutes"
@@ -83,3 +84,25 @@ def stream_sessions(calls: DataFrame, connection: str = "server_name", gap: str
     sessions = activity.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "conn").agg(
         F.count_if(F.col("kind") == 1).alias("call_count"), F.max("at").alias("last_activity"))
     return sessions.select("conn", F.col("w.start").alias("started_at"), "last_activity", "call_count")
+
+
+def stream_join_rpc(log: DataFrame, limit: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Requests with the responses of at most ``limit`` later, as a join of two streams of the log.
+
+    Everything runs in the JVM, and any number of tasks shares a busy connection, since ids spread it. Lines later than
+    ``late`` are dropped, and a request is forgotten once the watermark is ``limit`` past it, answered or not. Equal to
+    ``pair_rpc_log`` where a connection uses an id once within ``limit``; where it may use one again sooner,
+    ``stream_pair_rpc`` or the carried form pair by order.
+    """
+    def side(messages: DataFrame, is_request: bool) -> DataFrame:
+        return messages.where(F.col("is_request") == is_request).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+    message = F.col("_message")
+    requests = side(rpc_messages(log), True).select(
+        "conn", "rpc_id", F.col("seq").alias("request_seq"), F.col("ts").alias("timestamp"), *request_fields(message))
+    responses = side(rpc_messages(log), False).select(
+        F.col("conn").alias("_conn"), F.col("rpc_id").alias("_rpc_id"), F.col("seq").alias("response_seq"), F.col("ts").alias("response_ts"),
+        *response_fields(message))
+    in_time = (F.col("response_ts") >= F.col("timestamp")) & (F.col("response_ts") <= F.col("timestamp") + F.expr(f"interval {limit}"))
+    pairs = requests.join(responses, (F.col("conn") == F.col("_conn")) & (F.col("rpc_id") == F.col("_rpc_id")) & in_time)
+    return pairs.drop("_conn", "_rpc_id").withColumn("latency_ms", elapsed_ms("timestamp", "response_ts"))

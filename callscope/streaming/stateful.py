@@ -6,7 +6,7 @@ and lost executors. Rows of a micro-batch are taken in event-time order.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from callscope.config import ALERT_BUFFER_DROP, ALERT_BUFFER_MAX, SESSION_GAP, AlertSettings
 from callscope.functions.measures import elapsed_ms, epoch_ms
 from callscope.operators.alerts import NODE, alert_candidates, alert_rows
-from callscope.operators.sessions import activity_points, milliseconds
+from callscope.operators.sessions import END, RESPONSE, activity_points, milliseconds
 from callscope.sources.capture import request_fields, response_fields, rpc_messages
+from callscope.streaming.series import LATE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -154,6 +155,90 @@ def stream_sessionize(
         outputMode="Append", timeMode="None")
 
 
+class _OrderedSessions(StatefulProcessor):
+    """Activity of one connection in event-time order: points wait until the watermark has passed them."""
+
+    def __init__(self, gap_ms: int):
+        self._gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._current = handle.getValueState("current", "number bigint, last_at bigint, last_kind int")
+        self._waiting = handle.getListState("waiting", "at bigint, kind int, id bigint, opens boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for points in rows:
+            columns = [points[c].tolist() for c in ("at", "kind", "id", "opens")]
+            self._waiting.appendList(list(zip(*columns)))
+            self._handle.registerTimer(min(columns[0]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(map(tuple, self._waiting.get())) if self._waiting.exists() else []
+        due = bisect_left(waiting, (passed,))
+        number, last, last_kind = self._current.get() if self._current.exists() else (0, None, None)
+        out: list[tuple] = []
+        for at, kind, call, opens in waiting[:due]:
+            idle = last is None or last_kind == END
+            if kind == END:
+                if not idle:
+                    out.append((True, None, f"{key[0]}#{number}", at))
+            elif idle or opens or at - last > self._gap_ms:
+                number += 1
+            if kind == RESPONSE:
+                out.append((False, call, f"{key[0]}#{number}", at))
+            last, last_kind = at, kind
+        if due:
+            self._current.update((number, last, last_kind))
+            self._waiting.clear()
+            if waiting[due:]:
+                self._waiting.put(waiting[due:])
+        if waiting[due:]:
+            self._handle.registerTimer(waiting[due][0])
+        ends, ids, sessions, times = zip(*out) if out else ((), (), (), ())
+        yield pd.DataFrame({"is_end": pd.Series(ends, dtype=bool), "id": pd.array(ids, dtype="Int64"),
+                            "session_id": pd.Series(sessions, dtype=object), "at": pd.Series(times, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered_sessions(calls: DataFrame, ends: DataFrame | None, connection: str, gap: str, request_activity: bool, late: str) -> DataFrame:
+    use_rocksdb(calls.sparkSession)
+    points = activity_points(calls, connection, request_activity)
+    if ends is not None:
+        points = points.unionByName(ends.select(
+            "conn", F.lit(-1).cast("long").alias("id"), epoch_ms("ended_at").alias("at"), F.lit(END).alias("kind"), F.lit(False).alias("opens")))
+    timed = points.withColumn("time", F.timestamp_millis("at")).withWatermark("time", late)
+    return timed.groupBy("conn").transformWithStateInPandas(
+        statefulProcessor=_OrderedSessions(milliseconds(gap)), outputStructType="is_end boolean, id bigint, session_id string, at bigint",
+        outputMode="Append", timeMode="EventTime")
+
+
+def stream_sessionize_ordered(
+    calls: DataFrame, ends: DataFrame | None = None, connection: str = "server_name", gap: str = SESSION_GAP, request_activity: bool = True,
+    late: str = LATE,
+) -> DataFrame:
+    """``(id, session_id)`` by the rules of ``sessionize`` with its ``ends``, in event-time order.
+
+    Unlike ``stream_sessionize``, activity may arrive in any order: a point waits in the state until the watermark
+    passes it, an event-time timer wakes its connection, and what is due is taken in order. Equal to the batch job
+    on all that is no later than ``late``; a call comes out that much after its response.
+    """
+    found = _ordered_sessions(calls, ends, connection, gap, request_activity, late)
+    return found.where("not is_end").select("id", "session_id")
+
+
+def stream_session_ends(
+    calls: DataFrame, ends: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP, request_activity: bool = True, late: str = LATE,
+) -> DataFrame:
+    """Which session each closing ``(conn, ended_at)`` ends, as the watermark passes it: ``(session_id, ended_at)``,
+    equal to the batch ``session_ends``. ``ingest.keep_session_ends`` stores them beside the sessions."""
+    found = _ordered_sessions(calls, ends, connection, gap, request_activity, late)
+    return found.where("is_end").select("session_id", F.timestamp_millis("at").alias("ended_at"))
+
+
 class _PendingRequest(StatefulProcessor):
     """The open request of one (connection, id)."""
 

@@ -51,3 +51,18 @@ def test_health_borders(make_calls):
     got = {r.server_name: r.status for r in metrics.server_health_of(make_calls(rows)).collect()}
     assert got == {"at20": "degraded", "over20": "down", "at5": "healthy", "over5": "degraded",
                    "slow": "degraded", "at2000": "healthy"}
+
+
+def test_ranks_of_a_whole_table(spark):
+    """Values within one range of the histogram, over many ranges, and far apart; sums and maxima ride along."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    for values in ([5], [7] * 300, list(range(1, 5001)), [int(rng.expovariate(1e-5)) for _ in range(900)], [0, 2**40, 3, 4096, 4095]):
+        df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long").repartition(3)
+        row = nearest_rank(df, [], "v", P50_95_99, sums={"total": F.col("i")}, latest={"last": "i"}).first()
+        want = [by_sorting(values, p) for p in P50_95_99.values()]
+        assert [row[name] for name in P50_95_99] == want and row.call_count == len(values)
+        assert (row.total, row["last"]) == (sum(range(len(values))), len(values) - 1)
+    empty = nearest_rank(df.where("v < 0"), [], "v", P50_95_99, sums={"total": F.col("i")}).first()
+    assert list(empty) == [0, None, None, None, None]

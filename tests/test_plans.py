@@ -59,6 +59,13 @@ def test_percentiles_shuffle_the_histogram(stored):
     assert text.count("Exchange hashpartitioning") <= text.count("Exchange")
 
 
+def test_ranks_of_a_whole_table_have_no_window(stored):
+    from callscope.functions.percentile import P50_95, nearest_rank
+
+    for df in (nearest_rank(stored, [], "latency_ms", P50_95), metrics.overview_of(stored)):
+        assert "Window" not in plan(df)
+
+
 def test_library_never_collects():
     """No driver-side gathering, cross join or local checkpoint in the package.
     ``first`` appears where one row is asked for: the newest timestamp of a

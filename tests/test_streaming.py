@@ -12,7 +12,7 @@ from callscope.operators import alerts, sessions
 from callscope.plans import testdata, wiredata
 from callscope.session import new_folder
 from callscope.sources import capture, tables
-from callscope.streaming import carried, ingest, sinks, stateful
+from callscope.streaming import carried, ingest, series, sinks, stateful
 
 SETTINGS = AlertSettings(latency_p95_ms=4000, error_rate_percent=20, cooldown_minutes=60)
 
@@ -270,3 +270,61 @@ def test_a_wrong_clock_gives_up_no_open_request(spark, tmp_path):
     pairs = sorted((r.conn, r.request_seq, r.response_seq) for r in spark.read.parquet(out).collect())
     assert pairs == [("a", 0, 5), ("b", 1, 8)]  # request 2 of a was over two hours behind a's lines
     assert sorted(p.name for p in (tmp_path / "carry").iterdir()) == ["batch=2", "batch=3"]
+
+
+@pytest.fixture
+def out_of_order(spark, make_calls):
+    """Calls and closings of some hours, in five files; each comes up to nine minutes after a later one."""
+    rng, ms, rows = random.Random(8), 1_700_000_000_000, []
+    for i in range(400):
+        ms += rng.choice([0, 10, 60_000, 200_000, 310_000])
+        rows.append((i, "s", rng.choice(["hot", "hot", "cold"]), "t", "success", rng.choice([0, 5, 40_000]), ms + rng.randrange(1000)))
+    ends = [(rng.choice(["hot", "cold", "never"]), rng.choice(rows)[6] + rng.randrange(400_000)) for _ in range(40)]
+    arrival = lambda at: at + rng.randrange(540_000)
+    calls = make_calls(rows).drop("session_id").withColumn("method", F.when(F.col("id") % 37 == 0, "initialize").otherwise("m"))
+    closings = spark.createDataFrame(ends, "conn string, ms long").withColumn("ended_at", F.timestamp_millis("ms")).drop("ms")
+    first, last = rows[0][6], rows[-1][6] + 600_000
+    folders = new_folder(spark, "calls"), new_folder(spark, "closings")
+    order = {r[0]: arrival(r[6]) for r in rows}
+    for part in range(5):
+        low, high = (first + (last - first) * k // 5 for k in (part, part + 1))
+        ids = [i for i, at in order.items() if low <= at < high or part == 4 and at >= high]
+        calls.where(F.col("id").isin(ids)).coalesce(1).write.mode("append").parquet(folders[0])
+        closings.where((F.unix_millis("ended_at") >= low) & ((F.unix_millis("ended_at") < high) | F.lit(part == 4))).coalesce(1).write.mode(
+            "append").parquet(folders[1])
+    read = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f) for df, f in zip((calls, closings), folders)]
+    return calls, closings, *read
+
+
+def test_ordered_sessions_equal_batch(spark, out_of_order):
+    calls, closings, calls_stream, closings_stream = out_of_order
+    got, batches = finished(spark, stateful.stream_sessionize_ordered(calls_stream, closings_stream))
+    newest = max(calls.agg(F.max(F.unix_millis("timestamp") + F.col("latency_ms"))).first()[0], closings.agg(F.max(F.unix_millis("ended_at"))).first()[0])
+    passed = calls.where(F.unix_millis("timestamp") + F.col("latency_ms") < newest - 600_000).select("id")
+    whole = sessions.sessionize(calls, ends=closings).select("id", "session_id").join(passed, "id")
+    assert batches >= 5 and got.count() == whole.count() > 350 and got.exceptAll(whole).isEmpty()
+
+
+def test_joined_pairs_equal_batch_and_forget(spark):
+    """Ids used once; answers within a minute, too late or missing; a file is an hour."""
+    rng, lines = random.Random(3), []
+    for i in range(300):
+        at = i * 60
+        lines.append(("c" if i % 3 else "d", "agent", i, at, '{"id":%d,"method":"m","params":{"n":%d}}' % (i, i)))
+        if i % 4:
+            lines.append((lines[-1][0], "server", i, at + rng.randrange(1, 50), '{"id":%d,"result":{"n":%d}}' % (i, i)))
+        elif i % 8:
+            lines.append((lines[-1][0], "server", i, at + 90, '{"id":%d,"result":0}' % i))
+    log = spark.createDataFrame(lines, "conn string, direction string, seq long, s long, line string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    folder = new_folder(spark, "hours")
+    for hour in range(5):
+        log.where(F.hour("ts") == hour).coalesce(1).write.mode("append").parquet(folder)
+    out = new_folder(spark, "joined")
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = sinks.to_parquet(series.stream_join_rpc(arriving, limit="1 minute", late="30 seconds"), out, new_folder(spark, "state"), available_now=True)
+    query.awaitTermination()
+    columns = ["conn", "rpc_id", "request_seq", "response_seq", "method", "params", "result", "error", "latency_ms"]
+    got, whole = spark.read.parquet(out).select(columns), capture.pair_rpc_log(log).where("latency_ms <= 60000").select(columns)
+    assert got.count() == whole.count() == 225 and got.exceptAll(whole).isEmpty()
+    held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+    assert max(held) <= 250 and held[-1] <= 12  # two files of lines at most, at the end what the watermark has not passed
