@@ -67,10 +67,15 @@ def error_rate_by_tool(df: DataFrame) -> DataFrame:
 
 def server_health_of(df: DataFrame) -> DataFrame:
     """State per server; the thresholds look at the unrounded error rate."""
-    stats = nearest_rank(
+    return health(nearest_rank(
         df, ["server_name"], "latency_ms", {"p95_latency_ms": 0.95},
         sums={"errors": is_error()}, latest={"last_seen_at": "timestamp"},
-    ).withColumn("rate", error_rate("errors", "call_count"))
+    ))
+
+
+def health(stats: DataFrame) -> DataFrame:
+    """State per server from its calls, errors, P95 and last call."""
+    stats = stats.withColumn("rate", error_rate("errors", "call_count"))
     status = (
         F.when(F.col("rate") > HEALTH_DOWN_ERROR_PCT, "down")
         .when((F.col("rate") > HEALTH_DEGRADED_ERROR_PCT) | (F.col("p95_latency_ms") > HEALTH_DEGRADED_P95_MS), "degraded")

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
 def load() -> tuple[dict[str, Build], dict[str, str]]:
     from callscope.plans import (  # noqa: F401
-        alert_queries, metric_queries, payload_queries, report_queries, session_queries, stream_queries,
+        alert_queries, metric_queries, payload_queries, report_queries, rollup_queries, session_queries, stream_queries,
     )
 
     return QUERIES, ORACLES

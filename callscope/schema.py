@@ -50,6 +50,19 @@ ALERT_EVENTS = T.StructType([
     T.StructField("fired_at", T.TimestampType()),
 ])
 
+# See operators/rollup.py.
+ROLLUP = T.StructType([
+    T.StructField("server_name", T.StringType()),
+    T.StructField("tool_name", T.StringType()),
+    T.StructField("agent_type", T.StringType()),
+    T.StructField("bucket", T.TimestampType()),
+    T.StructField("latency_ms", T.LongType()),
+    *[T.StructField(name, T.LongType()) for name in (
+        "calls", "errors", "failed", "hallucination", "tool_failure", "timeout", "input_tokens", "output_tokens")],
+    T.StructField("cost_usd", T.DoubleType()),
+    T.StructField("last_seen_at", T.TimestampType()),
+])
+
 # One JSON line per event. Payloads are schemaless, so they are read as
 # variants; a string-typed read would drop the quotes of string payloads.
 EVENT_JSON = T.StructType([

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.operators.filters import DATE
-from callscope.schema import ALERT_EVENTS, TOOL_CALLS, normalize_schema
+from callscope.schema import ALERT_EVENTS, ROLLUP, TOOL_CALLS, normalize_schema
 
 
 BATCH = "batch"
@@ -57,6 +57,27 @@ def read_tool_calls(spark: SparkSession, path: str, dates: Sequence[str] | None
     return normalize_schema(stored.drop(BATCH))
 
 
+def read_batch(spark: SparkSession, path: str, batch_id: int, dates: Sequence[str]) -> DataFrame:
+    """The calls that one batch stored on ``dates``; only the batch's own folders are listed."""
+    folders = [f"{path}/{DATE}={d}/{BATCH}={batch_id}" for d in dates]
+    if not folders:
+        return normalize_schema(spark.createDataFrame([], TOOL_CALLS))
+    return normalize_schema(spark.read.schema(TOOL_CALLS).option("basePath", path).parquet(*folders).drop(BATCH))
+
+
+def write_rollup(rolled: DataFrame, path: str, batch_id: int) -> None:
+    """One batch's rows of the rollup, by day and batch; a batch that is written again replaces its own."""
+    dated = rolled.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ROLLUP.fields], F.to_date("bucket").alias(DATE))
+    arranged = dated.hint("rebalance", F.col(DATE)).sortWithinPartitions(DATE, "server_name", "tool_name", "bucket")
+    writer = arranged.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(DATE, BATCH).parquet(path)
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rollup; several batches may have rows of one key, which add up."""
+    return spark.read.schema(ROLLUP).parquet(path).drop(BATCH)
+
+
 def compact_day(spark: SparkSession, path: str, date: str, into: str) -> None:
     """One day's calls of many batches, written to the table ``into`` as few
     sorted files. Run it for days that receive no more batches; readers move

@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callscope.config import Pricing
 from callscope.operators.enrich import enrich
+from callscope.operators.rollup import rollup
 from callscope.operators.sessions import apply_session_ends, derive_sessions
 from callscope.schema import SESSIONS
 from callscope.sources.events import stream_events, stream_session_ends, validate_session_ends, validate_events
-from callscope.sources.tables import BATCH, path_exists, write_tool_calls
+from callscope.sources.tables import BATCH, path_exists, read_batch, write_rollup, write_tool_calls
 from callscope.streaming.keyed import KeyedTable
 
 _END = "session_id string, ended_at timestamp"
@@ -32,6 +33,11 @@ class IngestPaths:
         """Where each batch notes the ids it gave out."""
         return self.calls.rstrip("/") + "-ids"
 
+    @property
+    def rollup(self) -> str:
+        """Where the histogram of the calls is kept (see ``operators.rollup``)."""
+        return self.calls.rstrip("/") + "-rollup"
+
     @property
     def ends(self) -> str:
         """Where the ends of sessions are kept."""
@@ -67,6 +73,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, paths: IngestPaths, pricing: P
         calls = enrich(numbered, pricing)
         folder = f"/{BATCH}={batch_id}"
         write_tool_calls(calls, paths.calls, batch_id=batch_id)
+        days = numbered.agg(F.collect_set(F.to_date("timestamp").cast("string"))).first()[0]
+        write_rollup(rollup(read_batch(batch.sparkSession, paths.calls, batch_id, sorted(days))), paths.rollup, batch_id)
         rejected.write.mode("overwrite").parquet(paths.rejected + folder)
         mark = batch.sparkSession.range(1).selectExpr(f"{first}L as first", f"{rows}L as rows")
         mark.coalesce(1).write.mode("overwrite").parquet(f"{paths.marks}{folder}")
