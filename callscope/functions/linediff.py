@@ -1,18 +1,27 @@
 """Line diff of two JSON payloads: the per-pair helper of the diff job.
 
-The longest common subsequence of lines is kept as one bit per column and row
+Long payloads mostly differ in few lines. Then the differences are counted
+instead of the common lines: for each number of differences, how far from the end each diagonal
+gets (the greedy algorithm of Myers 1986, run on the reversed lines). That costs
+the lines plus the square of the differences.
+
+Where there are many differences, the longest common subsequence is kept as one bit per column and row
 (bit-parallel LCS, Hyyro 2004), in Python integers. Rows are recomputed in
 blocks while the result is read off, so a pair of n and m lines needs about
-sqrt(n) * m bits and payloads of any length are diffed whole.
+sqrt(n) * m bits and payloads of any length are diffed whole. Both ways give the
+same diff.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from decimal import Decimal
 from math import isqrt
 
 EQUAL, ADDED, DELETED = "eq", "add", "del"
+#: Differences up to which they are counted, at most and for a pair of average length n: n / ``SHARE``.
+FEW, SHARE = 1024, 32
 
 
 def number_text(text: str) -> str:
@@ -82,13 +91,13 @@ def line_diff(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     left, right = left[start:], right[start:]
     n, m = len(left), len(right)
 
-    common = _CommonSuffixes(left, right) if n and m else None
+    common = _suffixes(left, right) if n and m else None
     i = j = 0
     while i < n and j < m:
         if left[i] == right[j]:
             out.append((EQUAL, left[i]))
             i, j = i + 1, j + 1
-        elif common.length(i + 1, j) >= common.length(i, j + 1):
+        elif common.delete(i, j):
             out.append((DELETED, left[i]))
             i += 1
         else:
@@ -99,6 +108,57 @@ def line_diff(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def _suffixes(left: list[str], right: list[str]):
+    numbers: dict[str, int] = {}
+    a, b = ([numbers.setdefault(line, len(numbers)) for line in reversed(lines)] for lines in (left, right))
+    few = _Distances.of(a, b, min(FEW, isqrt(len(a) * len(b)) // SHARE))
+    return few or _CommonSuffixes(left, right)
+
+
+class _Distances:
+    """How many lines two suffixes differ by, along the path of a diff from its start.
+
+    ``reach[e][(k + e) // 2]`` is how far, in reversed lines of the left side, diagonal k (left less right) gets with e
+    differences. Suffixes further along a diagonal differ by no less, so those of x left lines on diagonal k differ by
+    e at most if x is within reach.
+    """
+
+    def __init__(self, n: int, m: int, reach: list[array]):
+        self._n, self._m, self._reach = n, m, reach
+        self._left = len(reach) - 1
+
+    @classmethod
+    def of(cls, a: list[int], b: list[int], most: int) -> _Distances | None:
+        n, m, reach = len(a), len(b), []
+        for e in range(most + 1):
+            now = array("q", bytes(8 * (e + 1)))
+            for at in range(e + 1):
+                k = 2 * at - e
+                x = 0
+                if e:
+                    before = reach[-1]
+                    x = max(before[at] if at < e else -1, before[at - 1] + 1 if at else -1)
+                y, step = x - k, 1
+                while x < n and y < m and step:  # as far as lines are equal, in growing strides
+                    if a[x:x + step] == b[y:y + step] and x + step <= n and y + step <= m:
+                        x, y, step = x + step, y + step, 2 * step
+                    else:
+                        step //= 2
+                now[at] = x
+            reach.append(now)
+            k = n - m
+            if abs(k) <= e and (k + e) % 2 == 0 and now[(k + e) // 2] >= n:
+                return cls(n, m, reach)
+        return None
+
+    def delete(self, i: int, j: int) -> bool:
+        """Whether a shortest way on deletes line i; asked where lines i and j differ, and taken."""
+        self._left -= 1
+        x, y, e = self._n - i - 1, self._m - j, self._left
+        k = x - y
+        return abs(k) <= e and (k + e) % 2 == 0 and x <= self._reach[e][(k + e) // 2]
+
+
 class _CommonSuffixes:
     """LCS length of any pair of suffixes, asked in order of rising i."""
 
@@ -136,3 +196,6 @@ class _CommonSuffixes:
         width = self._m - j
         zeros = ~self._row(self._n - i) & ((1 << width) - 1)
         return zeros.bit_count()
+
+    def delete(self, i: int, j: int) -> bool:
+        return self.length(i + 1, j) >= self.length(i, j + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callscope.functions.percentile import P50_95_99, nearest_rank
@@ -10,7 +11,7 @@ from callscope.plans import testdata
 from callscope.plans.catalog import query
 from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
 from callscope.schema import normalize_schema
-from callscope.session import new_folder
+from callscope.session import cut_lineage
 
 _DAY = "(select * from calls where timestamp > (select max(timestamp) from calls) - interval 24 hours)"
 
@@ -352,19 +353,22 @@ def _top_cost(spark, sf):
 _STATS = ranks_sql("tool_name, server_name", _P, extra=_RATE)
 
 
-def _positioned(spark, rows):
-    """Rows with the position in which the operator put them: written in that order, and numbered as they are read."""
-    folder = new_folder(spark, "listing")
-    rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(folder)
-    read = spark.read.text(folder, wholetext=False).withColumn("position", F.monotonically_increasing_id() + 1)
-    return read.select("position", F.from_json("value", rows.schema).alias("r")).select("position", "r.*")
+def _positioned(rows):
+    """Rows with the position in which the operator put them: their place in the partition, and the rows of the partitions before."""
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(rows.withColumns({"_split": F.spark_partition_id(), "_line": line}))
+    counts = placed.groupBy("_split").agg(F.count(F.lit(1)).alias("_rows"))  # one row per partition
+    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_split", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    numbered = placed.join(starts, "_split").withColumn("position", F.col("_start") + F.col("_line") + 1)
+    return numbered.select("position", *rows.columns)
 
 
 for _by, _column in topk.TOOL_STAT_ORDER.items():
     query(f"sort_tool_stats_{_by}", WITH_CALLS + f"""select cast(row_number() over (order by {_column} desc, tool_name, server_name) as bigint) as position,
      tool_name, server_name, {_column} from ({_STATS})""")(
         lambda spark, sf, by=_by, column=_column: _positioned(
-            spark, topk.sort_tool_stats(metrics.tool_stats(testdata.calls(spark, sf)), by).select("tool_name", "server_name", column))
+            topk.sort_tool_stats(metrics.tool_stats(testdata.calls(spark, sf)), by).select("tool_name", "server_name", column))
     )
 
 
@@ -372,4 +376,4 @@ for _by, _column in topk.TOOL_STAT_ORDER.items():
  from calls where server_name = 'srv3'""")
 def _sort_calls(spark, sf):
     calls = filters.by_server(testdata.calls(spark, sf), "srv3").select("id", "session_id", "timestamp", "tool_name", "status", "latency_ms")
-    return _positioned(spark, topk.sort_calls(calls, "latencyMs").select("id", "session_id", "latency_ms"))
+    return _positioned(topk.sort_calls(calls, "latencyMs").select("id", "session_id", "latency_ms"))

@@ -13,6 +13,10 @@ from callscope.schema import ALERT_EVENTS, ROLLUP, TOOL_CALLS, normalize_schema
 
 
 BATCH = "batch"
+#: Columns that are looked up by single values. Their values lie all over a file's range, so a bloom filter tells which
+#: row groups may hold one. The filters are sized by the values there are.
+LOOKED_UP = ("session_id", "id")
+_BLOOM = {"parquet.bloom.filter.adaptive.enabled": "true", **{f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP}}
 
 
 def write_tool_calls(df: DataFrame, path: str, mode: str = "append", batch_id: int | None = None) -> None:
@@ -21,19 +25,19 @@ def write_tool_calls(df: DataFrame, path: str, mode: str = "append", batch_id: i
     With ``batch_id`` each day has a folder per batch, and a batch that is
     written again replaces its own folders only.
 
-
     Rows are rebalanced by day: small days are gathered into few files and a
     busy day is split over many tasks. Inside a file rows are sorted by server,
-    tool and time, so the Parquet statistics serve the usual filters.
+    tool and time, so the Parquet statistics serve the usual filters; bloom
+    filters serve lookups of a session or a call.
     """
     full = normalize_schema(df)
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TOOL_CALLS.fields if f.name in full.columns]
     dated = full.select(*columns).withColumn(DATE, F.to_date("timestamp"))
     arranged = dated.hint("rebalance", F.col(DATE)).sortWithinPartitions(DATE, "server_name", "tool_name", "timestamp")
     if batch_id is None:
-        arranged.write.mode(mode).partitionBy(DATE).parquet(path)
+        arranged.write.mode(mode).options(**_BLOOM).partitionBy(DATE).parquet(path)
     else:
-        writer = arranged.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite")
+        writer = arranged.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite").options(**_BLOOM)
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(DATE, BATCH).parquet(path)
 
 
@@ -85,7 +89,8 @@ def compact_day(spark: SparkSession, path: str, date: str, into: str) -> None:
     day = read_tool_calls(spark, path, [date])
     full = day.withColumn(DATE, F.lit(date).cast("date")).drop(BATCH)
     arranged = full.hint("rebalance", F.col(DATE)).sortWithinPartitions("server_name", "tool_name", "timestamp")
-    arranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(into)
+    writer = arranged.write.mode("overwrite").options(**_BLOOM)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(into)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

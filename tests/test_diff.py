@@ -1,11 +1,13 @@
 """Line diff against an exhaustive model; bulk diffs."""
 
 import random
+import time
 from functools import lru_cache
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from callscope.functions import linediff
 from callscope.functions.linediff import line_diff, pretty_lines
 from callscope.operators import diff
 
@@ -61,6 +63,33 @@ def test_longer_pairs():
         assert line_diff(a, b) == exhaustive(tuple(a), tuple(b))
 
 
+def test_counting_differences_gives_the_same_diff(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(1500):
+        lines = [[rng.choice("abcdef"[:rng.randrange(1, 7)]) for _ in range(rng.randrange(14))] for _ in range(2)]
+        with monkeypatch.context() as patch:
+            patch.setattr(linediff, "FEW", -1)
+            by_bits = line_diff(*lines)
+        with monkeypatch.context() as patch:
+            patch.setattr(linediff, "isqrt", lambda n: 10**6)
+            patch.delattr(linediff, "_CommonSuffixes")
+            assert line_diff(*lines) == by_bits
+
+
+def test_long_payloads_with_few_differences():
+    rng = random.Random(13)
+    left = [str(rng.randrange(50_000)) for _ in range(100_000)]
+    right = list(left)
+    for k in range(40):
+        right.insert(rng.randrange(len(right)), f"new {k}")
+        del right[rng.randrange(len(right))]
+    begin = time.perf_counter()
+    found = line_diff(left, right)
+    assert time.perf_counter() - begin < 5
+    assert [x for kind, x in found if kind != "add"] == left and [x for kind, x in found if kind != "del"] == right
+    assert sum(kind != "eq" for kind, _ in found) <= 80
+
+
 def test_whole_payload_is_diffed():
     a = [str(i) for i in range(6000)]
     b = [x for x in a if int(x) % 7] + ["end"]

@@ -84,3 +84,30 @@ def test_library_never_collects():
                     broadcasts.append(path.name)
     assert sorted(firsts) == ["ingest.py"] * 4 + ["keyed.py"] * 2 + ["testdata.py"]
     assert broadcasts == ["ordered.py"]  # one row per chunk; everything else is left to Spark's size check
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """The scan itself yields no row for a session or a call that lies inside the file's range but not in it."""
+    from pyspark.sql import functions as F
+
+    calls = spark.range(60_000).select(
+        (F.col("id") * 2).alias("id"), F.format_string("s%08d", F.xxhash64("id") % 10**8).alias("session_id"), F.lit("a").alias("server_name"),
+        F.lit("t").alias("tool_name"), F.lit("success").alias("status"), F.lit(1).alias("latency_ms"), F.lit("2026-01-01").cast("timestamp").alias("timestamp"))
+    path = str(tmp_path / "calls")
+    tables.write_tool_calls(calls.repartition(1), path)
+
+    def scanned(condition, path=path):
+        found = tables.read_tool_calls(spark, path).where(condition)
+        rows = found.select("id", "session_id").collect()
+        leaf = found.select("id")._jdf.queryExecution().executedPlan()
+        leaf.execute().count()
+        while leaf.children().size():
+            leaf = leaf.children().head()
+        return len(rows), leaf.metrics().apply("numOutputRows").value()
+
+    known = calls.where("id = 5000").first().session_id
+    assert scanned("id = 5000")[0] == 1 and scanned(f"session_id = '{known}'")[0] >= 1
+    absent = ("id = 5001", "session_id = 's00000000x'")
+    assert [scanned(a) for a in absent] == [(0, 0), (0, 0)]
+    spark.read.parquet(path).write.parquet(f"{path}-plain")
+    assert all(scanned(a, f"{path}-plain")[1] > 0 for a in absent)  # without the filters
