@@ -69,12 +69,12 @@ def ingest_batch(batch: DataFrame, batch_id: int, paths: IngestPaths, pricing: P
     try:
         valid, rejected = validate_events(batch)
         first = _first_id(batch.sparkSession, paths.marks, batch_id)
-        numbered, rows = _with_arrival_id(valid, first)
+        placed, starts, rows, days = _placed(valid)
+        numbered = _numbered(placed, starts, first)
         calls = enrich(numbered, pricing)
         folder = f"/{BATCH}={batch_id}"
         write_tool_calls(calls, paths.calls, batch_id=batch_id)
-        days = numbered.agg(F.collect_set(F.to_date("timestamp").cast("string"))).first()[0]
-        write_rollup(rollup(read_batch(batch.sparkSession, paths.calls, batch_id, sorted(days))), paths.rollup, batch_id)
+        write_rollup(rollup(read_batch(batch.sparkSession, paths.calls, batch_id, days)), paths.rollup, batch_id)
         rejected.write.mode("overwrite").parquet(paths.rejected + folder)
         mark = batch.sparkSession.range(1).selectExpr(f"{first}L as first", f"{rows}L as rows")
         mark.coalesce(1).write.mode("overwrite").parquet(f"{paths.marks}{folder}")
@@ -158,15 +158,26 @@ def _first_id(spark: SparkSession, marks: str, batch_id: int) -> int:
 
 def _with_arrival_id(df: DataFrame, first: int) -> tuple[DataFrame, int]:
     """The rows with ids that count on from ``first`` in the order of input
-    split and line, and how many there are. The id breaks ties of equal times.
+    split and line, and how many there are. The id breaks ties of equal times."""
+    placed, starts, total, _ = _placed(df)
+    return _numbered(placed, starts, first), total
+
+
+def _placed(df: DataFrame) -> tuple[DataFrame, DataFrame, int, list[str]]:
+    """The rows with split and line, how many rows are in the splits before each, how many in all, and of which days.
 
     Splits are numbered by adding up their row counts, one row per split.
     """
     line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = df.withColumns({"_split": F.spark_partition_id(), "_line": line})
-    counts = placed.groupBy("_split").agg((F.max("_line") + 1).alias("rows"))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    day = F.to_date("timestamp").cast("string") if "timestamp" in df.columns else F.lit(None).cast("string")
+    counts = placed.groupBy("_split").agg((F.max("_line") + 1).alias("rows"), F.collect_set(day).alias("days"))
+    whole = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.array_distinct(F.flatten(F.collect_list("days")))).first()
     earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_split", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_start"))
+    return placed, starts, whole[0], sorted(whole[1] or [])
+
+
+def _numbered(placed: DataFrame, starts: DataFrame, first: int) -> DataFrame:
     numbered = placed.join(starts, "_split").withColumn("id", F.lit(first).cast("long") + F.col("_start") + F.col("_line"))
-    return numbered.drop("_split", "_line", "_start"), total
+    return numbered.drop("_split", "_line", "_start")

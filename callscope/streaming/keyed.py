@@ -40,13 +40,16 @@ def latest(*keys: str) -> Callable[[DataFrame], DataFrame]:
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """``merge`` gives one row per key of ``schema`` from rows that also have the ``batch`` they came with."""
+    """``merge`` gives one row per key of ``schema`` from rows that also have the ``batch`` they came with.
+
+    ``buckets`` is fixed when the table is made: many for many keys (a bucket is merged by one task), few for short batches.
+    """
 
     path: str
     keys: tuple[str, ...]
     schema: T.StructType | str
     merge: Callable[[DataFrame], DataFrame]
-    buckets: int = 64
+    buckets: int = 16
     merge_after: int = 8
 
     def read(self, spark: SparkSession, batch_id: int | None = None, of: DataFrame | None = None) -> DataFrame:
@@ -65,13 +68,8 @@ class KeyedTable:
         index = self._index(spark, batch_id)
         before = index[max(index)] if index else []
         self._clean(spark, index, before)
-        delta = rows.withColumns({MERGED: F.lit(False), BUCKET: self._bucket(), BATCH: F.lit(batch_id).cast("long")})
-        delta = delta.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            touched = self._touched(delta)
-            self._write(delta)
-        finally:
-            delta.unpersist()
+        self._write(rows.withColumns({MERGED: F.lit(False), BUCKET: self._bucket(), BATCH: F.lit(batch_id).cast("long")}))
+        touched = self._added(spark, batch_id)
         parts = sorted(before + [(b, batch_id, False) for b in touched])
         many = [b for b in touched if sum(p[0] == b for p in parts) > self.merge_after]
         if many:
@@ -87,6 +85,12 @@ class KeyedTable:
     def _touched(self, rows: DataFrame) -> list[int]:
         return sorted(rows.agg(F.collect_set(self._bucket())).first()[0])
 
+    def _added(self, spark: SparkSession, batch_id: int) -> list[int]:
+        """The buckets a batch has added to, by their folders. (An attempt that died wrote to no others.)"""
+        pattern = hadoop_path(spark, f"{self.path}/rows/{MERGED}=false/{BUCKET}=*/{BATCH}={batch_id}")
+        found = file_system(spark, pattern).globStatus(pattern) or []
+        return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found)
+
     def _write(self, rows: DataFrame) -> None:
         # keys are spread by their hash, so buckets are alike in size
         writer = rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -128,7 +132,15 @@ class KeyedTable:
             delete(spark, f"{self.path}/index/{BATCH}={batch}")
 
 
+def hadoop_path(spark: SparkSession, folder: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+
+
+def file_system(spark: SparkSession, path):
+    """The store a path lies in."""
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, folder: str) -> None:
-    """Remove a folder from the store it lies in."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = hadoop_path(spark, folder)
+    file_system(spark, path).delete(path, True)
