@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callscope.operators import export
 from callscope.plans import reports, testdata
 from callscope.plans.catalog import query
-from callscope.plans.metric_queries import _P, _RATE, _USAGE, ranks_sql
+from callscope.plans.metric_queries import _BUCKETED, _P, _RATE, _USAGE, ranks_sql
 from callscope.plans.testdata import WITH_CALLS
 from callscope.session import new_folder
 
@@ -39,6 +39,20 @@ def _tools_json(spark, sf):
         F.size("timeseriesLatency").alias("latencyBuckets"), F.size("timeseriesErrors").alias("errorBuckets"))
 
 
+# The values of the nested series.
+@query("export_tool_stats_json_series", WITH_CALLS + f"""select tool_name as "toolName", server_name as "serverName", strftime(b, '%Y-%m-%dT%H:%M:%S') as bucket,
+ p50_latency_ms as p50, p95_latency_ms as p95, error_rate_pct as "errorRatePct"
+ from ({ranks_sql('tool_name, server_name, b', {'p50_latency_ms': 0.5, 'p95_latency_ms': 0.95}, _BUCKETED + ' x', extra=_RATE)})""")
+def _tools_json_series(spark, sf):
+    folder = new_folder(spark, "tools-series")
+    export.export_tool_stats(testdata.calls(spark, sf), "json", folder)
+    series = "timeseriesLatency array<struct<bucket:string,p50:bigint,p95:bigint>>, timeseriesErrors array<struct<bucket:string,errorRatePct:double>>"
+    stored = spark.read.schema(f"toolName string, serverName string, {series}").json(folder)
+    latency = stored.select("toolName", "serverName", F.inline("timeseriesLatency"))
+    errors = stored.select("toolName", "serverName", F.inline("timeseriesErrors"))
+    return latency.join(errors, ["toolName", "serverName", "bucket"], "full").withColumn("bucket", F.substring("bucket", 1, 19))
+
+
 @query("export_cost_csv", WITH_CALLS + """select server_name as "serverName", tool_name as "toolName", count(*) as "callCount",
  cast(sum(input_tokens) as bigint) as "inputTokens", cast(sum(output_tokens) as bigint) as "outputTokens",
  printf('%.6f', sum(cost_usd)) as "costUsd" from calls group by server_name, tool_name""")
