@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callscope.operators import export
 from callscope.plans import reports, testdata
 from callscope.plans.catalog import query
-from callscope.plans.metric_queries import _BUCKETED, _P, _RATE, _USAGE, ranks_sql
+from callscope.plans.metric_queries import _BUCKETED, _OVERVIEW, _P, _RATE, _USAGE, ranks_sql
 from callscope.plans.testdata import WITH_CALLS
 from callscope.session import new_folder
 
@@ -144,3 +144,40 @@ def _write_tokens(spark, sf):
     reports.write_report(reports.token_report(calls, testdata.as_of(calls)), folder)
     types = "server_name string, tool_name string, call_count bigint, input_tokens bigint, output_tokens bigint, total_tokens bigint, cost_usd double"
     return spark.read.schema(types).json(f"{folder}/byNode")
+
+
+# The values of the other reports' sections, read back from what was written.
+
+def _written(spark, report, section, types):
+    folder = new_folder(spark, "report")
+    reports.write_report({section: report[section]}, folder)
+    return spark.read.schema(types).json(f"{folder}/{section}")
+
+
+@query("write_report_overview", WITH_CALLS + _OVERVIEW.format(p95=ranks_sql("", {"p95_latency_ms": 0.95}, _DAY), source=_DAY))
+def _write_overview(spark, sf):
+    calls = testdata.calls(spark, sf)
+    return _written(spark, reports.overview_report(calls, testdata.as_of(calls)), "totals", (
+        "total_calls bigint, error_rate_pct double, avg_latency_ms bigint, active_servers bigint, total_tokens bigint, total_cost_usd double, p95_latency_ms bigint"))
+
+
+@query("write_report_errors", WITH_CALLS + f"""select coalesce(error_class, 'unclassified') as error_class, count(*) as count,
+ round(count(*) * 100.0 / sum(count(*)) over (), 6) as share_pct from {_DAY} where status <> 'success' group by 1""")
+def _write_errors(spark, sf):
+    calls = testdata.calls(spark, sf)
+    return _written(spark, reports.error_report(calls, testdata.as_of(calls)), "byClass", "error_class string, count bigint, share_pct double")
+
+
+@query("write_report_cost", WITH_CALLS + f"""select session_id, count(*) as call_count, round(sum(cost_usd), 6) as cost_usd,
+ cast(sum(input_tokens + output_tokens) as bigint) as total_tokens from {_DAY} group by session_id order by sum(cost_usd) desc, session_id limit 50""")
+def _write_cost(spark, sf):
+    calls = testdata.calls(spark, sf)
+    report = reports.cost_report(calls, testdata.sessions(spark, sf), testdata.as_of(calls))
+    return _written(spark, report, "bySession", "session_id string, call_count bigint, cost_usd double, total_tokens bigint")
+
+
+@query("write_report_tools", WITH_CALLS + f"""select tool_name as "toolName", server_name as "serverName", call_count as "callCount", error_rate_pct as "errorRatePct",
+ p50_latency_ms as "p50LatencyMs", p95_latency_ms as "p95LatencyMs", p99_latency_ms as "p99LatencyMs" from ({ranks_sql('tool_name, server_name', _P, _DAY, extra=_RATE)})""")
+def _write_tools(spark, sf):
+    calls = testdata.calls(spark, sf)
+    return _written(spark, reports.tool_report(calls, testdata.as_of(calls)), "tools", _TOOL_TYPES)
