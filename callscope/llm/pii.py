@@ -13,11 +13,15 @@ Telephone numbers are found with a country code, a bracketed area code, a
 leading zero (in groups, or 10 to 12 digits), as 3-3-4, and as nine digits from
 6 on in groups; cards in groups of four, and with 13 to 19 digits by their check digit.
 
-A name is found behind a title, and then at every mention in that document,
-also of one part of it; a lone part that the document also writes small only where it
-stands by a title or its other part. Given and family names are entities of their own. A title
-that tells no gender takes it from the given name's other titles in the document;
-where only other documents tell it, the given names differ in their last letters.
+A name is found behind a title or several, with any number of parts, initials and
+particles, and then at every mention in that document, also of one part of it and with
+a genitive ending; a lone part that the document also writes small only where it
+stands by a title or its other part. A title is never a name; particles stay. Given and
+family names are entities of their own; the parts before the last are given names, but
+for the last two behind a Spanish title. Initials go through a keyed permutation of the
+alphabet. A title that tells no gender takes it from the given name's other titles in the
+document; where only other documents tell it, the given names differ in their last letters.
+An address whose local part has several words takes their surrogates as names.
 
 Distinctness is then checked over the whole corpus: entities whose surrogates
 meet, or whose surrogate is itself an entity of the corpus, are tried again with
@@ -34,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -57,6 +62,13 @@ TITLES = {
     "n": ("Dr.", "Prof."),
 }
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
+# Titles before names that end in two family names; what stands between the parts of a name; what follows a name.
+_TWO_FAMILIES = {"Señor", "Sr.", "Don", "Señora", "Sra.", "Doña"}
+_PARTICLE = r"(?:(?:[Vv]on|[Vv]an|[Dd]e)(?: und zu| zu| dem| der| den| la| las| los| le)?|[Dd]el|[Dd]ella|du|di|da|dos|das|bin|ter|ten|af|av)"
+_SUFFIX = r"Jr|Sr|II|III|IV|PhD|MD|Esq"
+_DEGREE = r"(?:(?:med|phil|rer|nat|jur|iur|theol|oec|pol|dent|vet|h\. ?c|-?Ing)\. ?)"
+# Letters of initials, by script.
+_ALPHABETS = {"LATIN": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "CYRILLIC": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "GREEK": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 # Syllables and endings for made-up names, by script.
 _SYLLABLES = {
     "LATIN": ("ba be bi bo bu da de di do du fa fe fi fo ga ge gi go ka ke ki ko la le li lo lu ma me mi mo mu na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
@@ -97,16 +109,35 @@ PATTERNS: tuple[tuple[str, re.Pattern[str]], ...] = (
         r"(?<![\w.])[2-6]\d{3}(?:(?P<c>[ -])(?:\d{6}(?P=c)\d{4,5}|\d{4}(?P=c)\d{5}|\d{4}(?P=c)\d{4}(?P=c)\d|(?:\d{4}(?P=c)){3}\d{1,3})|\d{9,15})(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
+    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")),
     *(("phone", re.compile(p)) for p in _PHONES),
+    ("secret", re.compile(r"-----BEGIN (?P<of>[A-Z ]*)PRIVATE KEY(?: BLOCK)?-----(?P<value>[^-]+(?:-(?!----)[^-]*)*)-----END (?P=of)PRIVATE KEY")),
+    ("secret", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{4,}\.[\w-]*")),
     ("secret", re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|(?:gh[opsu]_|sk-|xox[abp]-)[\w-]{16,})(?!\w)")),
     ("secret", re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?(?P<value>[\w/+.~-]{6,})")),
 )
-_TITLED = re.compile(rf"(?<!\w)(?P<title>{_TITLE}) (?P<value>{_UPPER}[\w’-]+(?: {_UPPER}[\w’-]+)?)")
-_CAPITAL = re.compile(rf"(?<![\w’-]){_UPPER}[\w’-]+")
+# A part begins with a capital that nothing of its word precedes, but for an elided particle.
+_START = rf"(?<![\w-])(?:(?<!\w['’])|(?<=\b[dD]['’])){_UPPER}"
+_PART = rf"(?!(?:{_TITLE}|{_SUFFIX})(?!\w)){_START}[\w’'-]+"
+_INITIAL = rf"(?<!\w){_UPPER}\."
+_BETWEEN = rf"(?:{_PARTICLE}[ \u00a0]|[dD]['’])*"
+_TITLED = re.compile(
+    rf"(?<!\w)(?P<titles>(?:(?:{_TITLE})[ \u00a0]{_DEGREE}*)+)"
+    rf"(?P<value>{_BETWEEN}(?:(?:{_INITIAL}[ \u00a0-]?|{_PART}[ \u00a0]){_BETWEEN})*{_PART}|{_INITIAL})")
+_ONE_TITLE = re.compile(_TITLE)
+_CAPITAL = re.compile(_PART)
 _SMALL = re.compile(r"(?<![\w’-])[^\W\d_A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w’-]+")
+# What may stand between two parts of one name, and an initial at the end of a stretch.
+_GAP = re.compile(rf"[ \u00a0](?:{_INITIAL}[ \u00a0-]?)*{_BETWEEN}")
+_LAST_INITIAL = re.compile(rf"{_INITIAL}(?=[ \u00a0-]?{_BETWEEN}$)")
+_JOINED = re.compile(rf"[ \u00a0-]{_BETWEEN}")
+_INITIAL_JOINED = re.compile(rf"\.[ \u00a0-]?{_BETWEEN}")
 # What a text must hold for a pattern to be tried at all.
-_NEEDED = {"email": re.compile("@"), "name": re.compile(_TITLE), "secret": re.compile("[=:_-]|AKIA"), "": re.compile(r"\d")}
-_PREFIX = re.compile(r"AKIA|gh[opsu]_|sk-|xox[abp]-")
+_NEEDED = {"email": re.compile("@"), "name": re.compile(_TITLE), "secret": re.compile("[=:_-]|AKIA|eyJ"), "": re.compile(r"\d"),
+           "ip": re.compile(r"\d\.\d|:[0-9A-Fa-f:]*:")}
+_PREFIX = re.compile(r"AKIA|gh[opsu]_|sk-|xox[abp]-|eyJ")
+# Address words that are replaced like the parts of a name.
+_NAME_ADDRESS = re.compile(r"[^\W\d_]+(?:[._-][^\W\d_]+)+")
 
 
 def script_of(name: str) -> str:
@@ -121,48 +152,106 @@ def _normal(kind: str, value: str) -> str:
         return ("+" if value[0] == "+" else "") + re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ip" and ":" in value:
+        return str(ipaddress.IPv6Address(value))
     return value.casefold() if kind == "email" else value
 
 
-def _names(text: str) -> list[tuple[int, int, str, str, str]]:
-    """Given and family names that a title introduces, at all their mentions, with the given name's gender."""
+def _bare(word: str) -> str:
+    """A part without an ending that its sentence gave it."""
+    return (word[:-2] if word[-2:] in ("’s", "'s") else word).rstrip("’'-")
+
+
+def _name(word: str) -> str:
+    return word.casefold().replace("’", "'")
+
+
+def _titled_names(text: str) -> tuple[dict[str, set[str]], set[str], dict[int, str], list[int]]:
+    """Given names with their titles' genders, family names, the places of the parts behind titles, lone initials."""
     givens: dict[str, set[str]] = {}
-    families, titled = set(), {}
-    alone = []
+    families, titled, alone, lone = set(), {}, [], []
     for match in _TITLED.finditer(text):
-        gender, at = _GENDER[match["title"]], match.start("value")
-        parts = [p.removesuffix("’s") for p in match["value"].split(" ")]
-        titled[at] = gender
-        if len(parts) > 1:
-            givens.setdefault(parts[0].casefold(), set()).add(gender)
-            families.add(parts[1].casefold())
-            titled[match.end("value") - len(match["value"].split(" ")[1])] = gender
+        titles = _ONE_TITLE.findall(match["titles"])
+        gender = next((g for g in map(_GENDER.get, titles) if g != "n"), "n")
+        parts = [(m.start(), _name(_bare(m[0]))) for m in _CAPITAL.finditer(text, match.start("value"), match.end("value"))]
+        # a capitalised particle before a part is no part
+        parts = [p for i, p in enumerate(parts) if i + 1 == len(parts) or not re.fullmatch(_PARTICLE, text[p[0]:p[0] + len(p[1])])]
+        titled.update((at, gender) for at, _ in parts)
+        if not parts:
+            lone.append(match.start("value"))
+        elif len(parts) == 1 and not re.match(_INITIAL, match["value"]):
+            alone.append((parts[0][1], gender))
         else:
-            alone.append((parts[0].casefold(), gender))
+            last = 2 if len(parts) > 2 and _TWO_FAMILIES.intersection(titles) else 1
+            families.update(name for _, name in parts[-last:])
+            for _, name in parts[:-last]:
+                givens.setdefault(name, set()).add(gender)
     for name, gender in alone:
         if name in givens:
             givens[name].add(gender)
         else:
             families.add(name)
+    return givens, families, titled, lone
+
+
+def _initials(text: str, begin: int, end: int) -> list[tuple[int, int, str, str, str]]:
+    """The initials right before ``end``, none of them before ``begin``; the last comes first."""
+    out = []
+    while (match := _LAST_INITIAL.search(text, max(begin, end - 16), end)) is not None:
+        out.append((match.start(), match.start() + 1, "name", f"initial|{match[0][0].casefold()}", "n"))
+        end = match.start()
+    return out
+
+
+def _names(text: str) -> list[tuple[int, int, str, str, str]]:
+    """Given and family names that a title introduces, at all their mentions, with the given name's gender, and their initials."""
+    givens, families, titled, lone = _titled_names(text)
     out: list[tuple[int, int, str, str, str]] = []
-    small = {w for w in _SMALL.findall(text)} if titled else set()
-    words = [(m.start(), m[0].removesuffix("’s")) for m in _CAPITAL.finditer(text)] if titled else []
-    for i, (at, word) in enumerate(words):
-        name, end = word.casefold(), at + len(word)
+    for at in lone:
+        out.append((at, at + 1, "name", f"initial|{text[at].casefold()}", "n"))
+    if not titled:
+        return out
+    small = {_name(w) for w in _SMALL.findall(text)}
+    words = []
+    for match in _CAPITAL.finditer(text):
+        word = _bare(match[0])
+        name = _name(word)
         if name not in givens and name not in families:
-            continue
-        after = i + 1 < len(words) and words[i + 1][0] == end + 1 and text[end] == " " and words[i + 1][1].casefold() in families
-        follows = bool(out) and out[-1][1] == at - 1 and text[at - 1] == " " and out[-1][3].startswith("given|")
+            if len(name) < 4 or name[-1] != "s" or name in small or not (name[:-1] in givens or name[:-1] in families):
+                continue
+            word, name = word[:-1], name[:-1]
+        words.append((match.start(), match.start() + len(word), name))
+    before, part_of = 0, ""
+    for i, (at, end, name) in enumerate(words):
+        joined = bool(part_of) and _GAP.fullmatch(text, before, at) is not None
+        after = i + 1 < len(words) and words[i + 1][2] in families and _GAP.fullmatch(text, end, words[i + 1][0]) is not None
+        follows = joined and part_of == "given"
         role = "family" if name in families and (follows or name not in givens) else "given"
         # a word that the text also writes small is a name only beside a title or another part
         if at not in titled and not follows and not (role == "given" and after) and name in small:
+            part_of = ""
             continue
         known = givens.get(name, set()) - {"n"}
         gender = next(iter(known)) if len(known) == 1 else titled.get(at, min(known, default="n"))
+        if role == "family":
+            out += _initials(text, before, at)
+        elif at in titled or after:
+            # initials before a given name: J. Robert Smith
+            out += _initials(text, before, at)
         out.append((at, end, "name", f"{role}|{name}", gender))
+        before, part_of = end, role
     return out
 
 
+def _is_address(value: str) -> bool:
+    """Whether it is a version 6 address; of short forms only those with three groups or more, as others may be program text."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return sum(map(bool, value.split(":"))) > 2
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, normal form), in order and without overlaps; the earliest, then the longest counts."""
     return [e[:4] for e in _found(text)]
@@ -180,6 +269,8 @@ def _found(text: str) -> list[tuple[int, int, str, str, str]]:
             value = match[part]
             if kind == "secret" and part and not re.search(r"\d", value):
                 continue
+            if kind == "ip" and ":" in value and not _is_address(value):
+                continue
             if kind == "card" and "c" in pattern.groupindex and not luhn(re.sub(r"\D", "", value)):
                 continue
             found.append((match.start(part), match.end(part), kind, _normal(kind, value), ""))
@@ -245,6 +336,9 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
             head = normal[0] if len(normal) == 9 or len(normal) > 7 and normal[0] == "0" or len(normal) == 11 else ""
         zero = len(head) == len(normal) or normal[len(head)] == "0"
         return head + _walk(normal[len(head):], lambda d: permuted(key, label + head, d), lambda d: not head or head[0] == "+" or zero or d[0] != "0")
+    if kind == "ip" and ":" in normal:
+        packed = str(int(ipaddress.IPv6Address(normal))).zfill(39)
+        return str(ipaddress.IPv6Address(int(_walk(packed, lambda d: permuted(key, label, d), lambda d: int(d) < 1 << 128))))
     if kind == "ip":
         packed = sum(int(o) << 8 * (3 - i) for i, o in enumerate(normal.split(".")))
         number = int(_walk(str(packed).zfill(10), lambda d: permuted(key, label, d), lambda d: int(d) < 1 << 32))
@@ -255,10 +349,27 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         digits = re.search(r"\d*$", local)[0]
         number = str(_bits(key, label, local, "digits") % 10 ** len(digits)).zfill(len(digits)) if digits else ""
         join = re.search(r"[._+-](?=\d*$)", local)
+        words = local[:len(local) - len(digits)]
+        if _NAME_ADDRESS.fullmatch(words):
+            parts = re.split(r"([._-])", words)
+            for i in range(0, len(parts), 2):
+                role = "initial" if len(parts[i]) == 1 else "family" if i == len(parts) - 1 else "given"
+                parts[i] = surrogate(key, "name", f"{role}|{parts[i]}", attempt).split("|", 1)[1].casefold()
+            return "".join(parts) + number + "@" + _word(key, letters, 5, "domain", domain) + ".example." + domain.rsplit(".", 1)[1]
         return (_word(key, letters, 8, label, normal) + (join[0] if join else "") + number + "@"
                 + _word(key, letters, 5, "domain", domain) + ".example." + domain.rsplit(".", 1)[1])
     if kind == "name":
         role, name = normal.split("|", 1)
+        if role == "initial":
+            alphabet = _ALPHABETS[script_of(name)]
+            letter, marks = name.upper(), ""
+            if letter not in alphabet:
+                plain = unicodedata.normalize("NFD", letter)
+                letter, marks = plain[0], plain[1:]
+            # the next one in a keyed circle of the letters, so none stays
+            circle = sorted(alphabet, key=lambda c: _bits(key, label, role, c))
+            at = circle.index(letter) + 1 if letter in alphabet else _bits(key, label, role, name)
+            return f"{role}|" + unicodedata.normalize("NFC", circle[at % len(circle)] + marks)
         syllables, _, last = _SYLLABLES[script_of(name)]
         # a given name gets its ending, by gender, where it is mentioned
         return f"{role}|" + (_word(key, syllables, 4, label, role, name) if role == "given" else _word(key, syllables, 6, label, role, name) + last)
@@ -289,25 +400,26 @@ def _in_form(kind: str, mention: str, new: str, gender: str = "") -> str:
         role, word = new.split("|", 1)
         word += _SYLLABLES[script_of(word)][1][gender] if role == "given" else ""
         return word.upper() if mention.isupper() and len(mention) > 1 else word.capitalize()
-    return new.upper() if kind == "email" and mention.isupper() else new
+    return new.upper() if kind in ("email", "ip") and mention.isupper() else new
 
 
 def replace_in(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds replaced, in order."""
-    out, at, kinds, given = [], 0, [], -1
+    out, at, kinds, named, joined = [], 0, [], -1, _JOINED
     for begin, end, kind, normal, gender in _found(text):
         new = surrogate(key, kind, normal, attempts.get((kind, normal), 0))
         out += [text[at:begin], _in_form(kind, text[begin:end], new, gender)]
         at = end
-        if not (given == begin - 1 and normal.startswith("family|") and text[given] == " "):  # a whole name counts once
+        if kind != "name" or named < 0 or not joined.fullmatch(text, named, begin):  # a whole name counts once
             kinds.append(kind)
-        given = end if kind == "name" and normal.startswith("given|") else -1
+        named = end if kind == "name" else -1
+        joined = _INITIAL_JOINED if normal.startswith("initial|") else _JOINED
     return "".join([*out, text[at:]]), kinds
 
 
 def _entities(batches) -> Iterator[pa.RecordBatch]:
     for batch in texts_in_blocks(batches, 0):
-        found = {e[2:] for text in batch.column(0).to_pylist() if text for e in detect(text)}
+        found = {e[2:] for text in batch.column(0).to_pylist() if text for e in detect(text) if not e[3].startswith("initial|")}
         if found:
             kinds, normals = zip(*sorted(found))
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(normals)], ["kind", "normal"])
@@ -323,7 +435,7 @@ def _tried(batches, key) -> Iterator[pa.RecordBatch]:
 def exceptions(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     """(kind, normal, attempt) of the entities whose first surrogate met another one or an entity.
 
-    ``entities`` holds each (kind, normal) once. What still meets after
+    ``entities`` holds each (kind, normal) once; initials, of which all letters may be in use, are not among them. What still meets after
     ``rounds`` (a space that is all but full) is an error, not a silent clash.
     """
     tried = written(entities.withColumn("attempt", F.lit(0)).mapInArrow(
