@@ -10,7 +10,7 @@ from callscope.plans.catalog import query
 from callscope.plans.testdata import WITH_CALLS, stamp
 from callscope.plans.wiredata import WITH_LOG
 from callscope.session import new_folder
-from callscope.sources import capture, events, tables
+from callscope.sources import capture, events, rpclog, tables
 
 # -- intake ---------------------------------------------------------------------
 
@@ -97,6 +97,17 @@ def _pair(spark, sf):
         "conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms", "timestamp", "result", "error")
 
 
+_FILE_PAIRS_SQL = WITH_LOG + _PAIRS + f"""select conn, rpc_id, method, latency_ms, {stamp('timestamp')} as timestamp,
+ cast(json_extract(response, '$.result') as varchar) as result, cast(json_extract(response, '$.error') as varchar) as error from pairs"""
+
+
+@query("pair_rpc_log_files", _FILE_PAIRS_SQL)
+def _pair_files(spark, sf):
+    """From text files, split into ranges and numbered by place."""
+    log = rpclog.read_rpc_log(spark, wiredata.write_log_files(spark, sf), wiredata.LOG_FILES, split_bytes=1 << 20)
+    return capture.pair_rpc_log(log).select("conn", "rpc_id", "method", "latency_ms", "timestamp", "result", "error")
+
+
 _FAILED = "json_extract(response, '$.error') is not null"
 _STDIO = """case when method = 'tools/call' then coalesce(json_extract_string(request, '$.params.name'), method) else method end as tool_name,
  cast(json_extract(request, '$.params.arguments') as varchar) as arguments, cast(json_extract(response, '$.result') as varchar) as response"""

@@ -11,10 +11,11 @@ from callscope.plans import testdata, wiredata
 from callscope.plans.alert_queries import _HOURLY, _HOURLY_SQL, _OUT
 from callscope.plans.catalog import query
 from callscope.plans.metric_queries import _BUCKETED, ranks_sql
-from callscope.plans.session_queries import _ENDS, _EVENT_SQL, _OK, _PAIRS, _REQUEST_POINTS, _event_lines, _gap_sql
+from callscope.plans.session_queries import _ENDS, _EVENT_SQL, _FILE_PAIRS_SQL, _OK, _PAIRS, _REQUEST_POINTS, _event_lines, _gap_sql
 from callscope.plans.testdata import PRICING, WITH_CALLS, stamp
 from callscope.plans.wiredata import WITH_LOG
 from callscope.session import new_folder
+from callscope.sources import rpclog
 from callscope.sources.tables import read_alerts, read_tool_calls
 from callscope.streaming import carried, ingest, series, sinks, stateful
 
@@ -95,6 +96,14 @@ def _pair(spark, sf):
         "conn", "rpc_id", "request_seq", "response_seq", "method", "latency_ms", "timestamp", "result", "error")
 
 
+@query("stream_pair_rpc_files", _FILE_PAIRS_SQL)
+def _pair_files(spark, sf):
+    """The stream over text files that a log writer left."""
+    log = rpclog.stream_rpc_log(spark, wiredata.write_log_files(spark, sf), wiredata.LOG_FILES, split_bytes=1 << 20)
+    return _run(spark, stateful.stream_pair_rpc(log), "file-pairs").select(
+        "conn", "rpc_id", "method", "latency_ms", "timestamp", "result", "error")
+
+
 # No id comes again within two minutes, so the join finds the pairs that are answered so soon.
 @query("stream_join_rpc", WITH_LOG + _PAIRS + f"""select conn, rpc_id, request_seq, response_seq, method, latency_ms, {stamp('timestamp')} as timestamp,
  cast(json_extract(response, '$.result') as varchar) as result, cast(json_extract(response, '$.error') as varchar) as error from pairs where latency_ms <= 120000""")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.plans import testdata
+from callscope.session import new_folder
 
 _ID = "case when event_type = 'signup' then concat('\"', cast(event_id % 50 as varchar(10)), '\"') else cast(event_id % 50 as varchar(10)) end"
 _METHOD = "case when event_id % 11 = 0 then 'initialize' when event_id % 13 = 0 then 'tools/list' else 'tools/call' end"
@@ -62,6 +63,19 @@ def rpc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_log(exchanges(spark, sf_dir))
 
 
+#: Names of the files that :func:`write_log_files` makes.
+LOG_FILES = r"conn=(?P<conn>[^/]+)/part-(?P<n>\d+)-[^/]*$"
+
+
+def write_log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The log as text files, in order along a connection's files; the folder they lie in."""
+    folder = new_folder(spark, "wire-log")
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    ordered = rpc_log(spark, sf_dir).repartitionByRange("conn", "ts", "seq").sortWithinPartitions("conn", "ts", "seq")
+    ordered.select(F.concat_ws("\t", time, "direction", F.coalesce("line", F.lit(""))).alias("value"), "conn").write.partitionBy("conn").text(folder)
+    return folder
+
+
 EXCHANGES_SQL = (
     f"select event_id as id, server_name as server, {_REQUEST} as request_body, {_RESPONSE} as response_body,"
     " case when status = 'timeout' then 'connection refused' end as proxy_error,"
