@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from callscope.llm import langid
@@ -19,13 +20,39 @@ def parse(sample, text):
 
 
 def test_phrases_equal_a_plain_parse(monkeypatch):
-    monkeypatch.setattr(langid, "PART", 50)
     rng = random.Random(1)
     samples = {lang: "".join(rng.choice(letters) for _ in range(300)) for lang, letters in (("x", "abc "), ("y", "bcdé "))}
     model = langid.train(samples)
     texts = ["".join(rng.choice("abcdé q語") for _ in range(rng.randrange(1, 130))) for _ in range(40)]
-    expected = [[sum(parse(samples[x], t[i:i + 50]) for i in range(0, len(t), 50)) for x in "xy"] for t in texts]
-    assert langid.phrases(model, texts).tolist() == expected
+    texts += ["a" * 1000, "ab" * 700, "abcab" * 300, samples["x"] * 3, "qq" * 200, ("a" * 37 + "b") * 40, "語a" * 120]
+    expected = [[parse(samples[x], t) for x in "xy"] for t in texts]
+    for part in (1, 7, 50, 256, 5000):
+        monkeypatch.setattr(langid, "PART", part)
+        assert langid.phrases(model, texts).tolist() == expected
+
+
+def test_parts_that_never_meet():
+    # phrases of seven letters, in step with no part
+    model = langid.train({"x": "aaaaaaa", "y": "abababab"})
+    texts = ["a" * n for n in (256, 257, 1791, 1792, 1793, 100_000)] + ["ab" * 5000, "ba" * 4001]
+    assert langid.phrases(model, texts).tolist() == [[parse(s, t) for s in ("aaaaaaa", "abababab")] for t in texts]
+
+
+def test_many_languages_with_large_alphabets():
+    rng = random.Random(4)
+    scripts = [(0x61, 26)] * 30 + [(0x430, 32)] * 8 + [(0x4E00, 3500)] * 6 + [(0xAC00, 1800)] * 6
+    samples = {f"l{i}": "".join(chr(first + int(many * rng.random() ** 2)) if rng.random() < 0.85 else " " for _ in range(12_000))
+               for i, (first, many) in enumerate(scripts)}
+    model = langid.train(samples)
+    assert len(model.letters) > 5000 and model.nbytes < 40e6  # about 64 bytes a character
+    texts = [s[300:420] + s[9000:9300] for s in samples.values()]
+    assert langid.judge(model, texts)[0] == list(samples)
+
+
+def test_a_model_too_large_to_hand_out_is_an_error(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 100)
+    with pytest.raises(ValueError, match="MODEL_BYTES"):
+        langid.identify(docs_of(["a"]), langid.train({"x": "abc"}))
 
 
 def test_automaton_holds_exactly_the_substrings():
