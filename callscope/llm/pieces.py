@@ -10,7 +10,9 @@ attempt it is cut.
 
 No piece holds a word boundary (a meta symbol after another character), so the
 lattice falls apart into words; equal words of a block share their sums, and
-all words advance together, as array operations. A character without a piece,
+all words advance together, as array operations. Long words, such as texts without
+blanks, fall apart further, at places that no piece of the model crosses there: all paths
+pass them, so chances and draws stay the same. A character without a piece,
 the meta symbol itself included, becomes the bytes of its UTF-8 form, so
 decoding returns every text unchanged.
 
@@ -39,6 +41,8 @@ META = 0x2581
 #: Stands for a literal meta symbol of a text; no code point of Unicode.
 LITERAL = 0x110000
 BLOCK = 1 << 19
+#: Words above this length are looked through for places that no piece crosses.
+LONG = 48
 #: Weight of a character written as bytes.
 BYTES_WEIGHT = 1e-6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +125,28 @@ def _words(points: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _uncrossed(pieces: Pieces, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places within long words before which every path has a border."""
+    sizes = np.diff(np.append(starts, len(points)))
+    long = sizes > LONG
+    if not long.any():
+        return starts[:0]
+    sizes = sizes[long]
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+    at = np.repeat(starts[long], sizes) + place
+    letters = points[at].astype(np.uint64) + np.uint64(1)
+    keys, crossings = letters, np.zeros(len(at) + 1, np.int32)
+    for length in range(2, pieces.longest + 1):
+        # the strings that end at each place; those that begin in another word are left out
+        keys = letters + np.append(np.uint64(0), keys[:-1]) * _BASE
+        ends = np.flatnonzero(place >= length - 1)
+        ends = ends[pieces.find(keys[ends])[0]]
+        crossings[ends - length + 2] += 1  # of one length no two ends are equal
+        crossings[ends + 1] -= 1
+    return at[(np.cumsum(crossings[:-1]) == 0) & (place > 0)]
+
+
 def _lattice(pieces: Pieces, points: np.ndarray, levels: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place the cumulative chances of the length of the piece that ends there, and the piece by length.
 
@@ -175,6 +201,7 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> lis
     points[points == 32] = META
     row_starts = np.cumsum(counts) - counts
     starts = _words(points, row_starts[counts > 0])
+    starts = np.sort(np.concatenate([starts, _uncrossed(pieces, points, starts)]))
     sizes = np.diff(np.append(starts, len(points)))
     # equal words are weighed once
     word = np.repeat(np.arange(len(starts)), sizes)

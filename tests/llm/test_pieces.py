@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,33 @@ def test_long_words_stay_possible(table, weights):
     assert abs(mean[0] - mean[1]) < 0.3
 
 
+def test_words_fall_apart_where_no_piece_crosses(table, monkeypatch):
+    rng = random.Random(6)
+    parts = ["the", "ing", "語", "語①語", "é", "xqz", "ation", "▁", "0", "12", "Q#", "//", "éa"]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (1, 20, 60, 60, 300, 900)] + [" a ".join("語" * 90 for _ in range(4))]
+    keys = np.arange(len(texts))
+    cuts = {}
+    for long in (10**9, 48, 0):
+        monkeypatch.setattr(pieces, "LONG", long)
+        cuts[long] = [s.tolist() for s in pieces.sample(table, texts, keys, 9)]
+    assert cuts[10**9] == cuts[48] == cuts[0]
+
+
+def test_a_long_text_without_blanks_takes_no_longer_than_one_with(table):
+    rng = random.Random(7)
+    letters = [chr(0x4E00 + rng.randrange(3000)) for _ in range(1 << 19)]
+    words = ["some", "words", "that", "were", "drawn", "to", "fill", "a", "line", "of", "text"]
+    plain = " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(80_000))[:1 << 19]
+    times = []
+    for text in ("".join(letters), plain):
+        begun = time.process_time()
+        found = pieces.sample(table, [text], np.array([1]), 0)
+        times.append(time.process_time() - begun)
+        assert pieces.decode(table, found[0]) == text
+    # three bytes a character and three pieces; the step by step form took some minutes
+    assert times[0] < 6 * times[1] + 5
+
+
 def test_decoding_returns_every_text(table):
     rng = random.Random(2)
     texts = ODD + ["".join(rng.choice(["the", " ", "ing", "\n", "é", "▁", "語", "x1", "  ", "👩"]) for _ in range(rng.randrange(80))) for _ in range(200)]
