@@ -195,10 +195,13 @@ def cascade(df: DataFrame, rules: Sequence[Rule], text: str = "text", by: str =
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the base figures: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     counted = _bound(words(F.col(text)), lambda tokens: F.struct(F.size(tokens).cast("long").alias("n"), n_repeat_words(tokens).alias("repeated")))
-    return df.withColumn(WORDS, counted).withColumns({
-        "n_words": F.col(f"{WORDS}.n"), "word_chars": word_chars(F.col(text)), "n_symbols": n_symbols(F.col(text)),
-        "n_dup_lines": n_dup_lines(F.col(text)), "n_repeat_words": F.col(f"{WORDS}.repeated"),
-    }).drop(WORDS)
+    own = WORDS
+    while own.lower() in {c.lower() for c in df.columns}:
+        own += "_"
+    return df.withColumn(own, counted).withColumns({
+        "n_words": F.col(f"`{own}`.n"), "word_chars": word_chars(F.col(text)), "n_symbols": n_symbols(F.col(text)),
+        "n_dup_lines": n_dup_lines(F.col(text)), "n_repeat_words": F.col(f"`{own}`.repeated"),
+    }).drop(own)
 
 
 SQL = """
