@@ -79,8 +79,6 @@ def test_long_texts_may_be_filtered_by_the_verdict(docs_of):
 
 
 def test_a_column_of_the_working_name_stays(docs_of):
-    from callscope.llm import quality
-
     df = docs_of(["a b c", None]).withColumns({"_words": F.lit("kept"), "_Words_": F.lit("too")})
     rows = sorted(quality.measures(df).collect(), key=lambda r: r.doc_id)
     assert [(r["_words"], r["_Words_"], r.n_words) for r in rows] == [("kept", "too", 3), ("kept", "too", 0)]
