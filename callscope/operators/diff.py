@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,17 +15,44 @@ from callscope.functions.ordered import in_chunks, previous
 from callscope.functions.payload import compact
 
 SECTIONS = ("arguments", "response")
-LINES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("line", T.StringType())]))
+_PART = ("_first", "_types", "_lines")
+_TEXTS = pa.list_(pa.string())
+#: Lines, and characters of them, that leave a worker at once.
+BATCH_LINES, BATCH_CHARS = 4096, 1 << 22
 
 
-@F.pandas_udf(LINES)
-def _diff_lines(before: pd.Series, after: pd.Series) -> pd.Series:
-    def diff(a: str | None, b: str | None) -> list[dict[str, str]]:
-        left = pretty_lines(a)
-        pairs = [(EQUAL, line) for line in left] if a == b else line_diff(left, pretty_lines(b))
-        return [{"type": kind, "line": line} for kind, line in pairs]
+def _diff_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of each pair ``(before, after)`` in parts ``(*keys, _first, _types, _lines)``; ``_first`` is the number of a part's first line.
 
-    return pd.Series([diff(a, b) for a, b in zip(before, after)], dtype=object)
+    A worker holds one pair and one batch of lines, so its memory does not grow with the number of pairs.
+    """
+    for batch in batches:
+        keys, before, after = batch.columns[:-2], batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        parts, waiting, chars = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            at, first, types, lines = zip(*parts)
+            chosen = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [*(key.take(chosen) for key in keys), pa.array(first, pa.int64()), pa.array(types, _TEXTS), pa.array(lines, _TEXTS)],
+                names=[*batch.schema.names[:-2], *_PART])
+
+        for row in range(batch.num_rows):
+            a, b = before[row].as_py(), after[row].as_py()
+            left = pretty_lines(a)
+            pairs = [(EQUAL, line) for line in left] if a == b else line_diff(left, pretty_lines(b))
+            start = 0
+            for i, (_, line) in enumerate(pairs, 1):
+                waiting, chars = waiting + 1, chars + len(line)
+                full = waiting >= BATCH_LINES or chars >= BATCH_CHARS
+                if full or i == len(pairs):
+                    parts.append((row, start, *zip(*pairs[start:i])))
+                    start = i
+                if full:
+                    yield flush()
+                    parts, waiting, chars = [], 0, 0
+        if parts:
+            yield flush()
 
 
 def shown_response(response: str | Column = "response") -> Column:
@@ -99,9 +126,14 @@ def diff_calls(pairs: DataFrame, keys: Sequence[str] = ("previous_id", "id"), ch
     rows = pairs.select(*keys, sections.alias("s")).select(*keys, "s.*")
     if changed_only:
         rows = rows.where(~F.col("before").eqNullSafe(F.col("after")))
-    diffed = rows.select(*keys, "section", _diff_lines("before", "after").alias("lines"))
-    exploded = diffed.select(*keys, "section", F.posexplode("lines").alias("line_no", "l"))
-    return exploded.select(*keys, "section", "line_no", "l.type", "l.line")
+    kept = rows.select(*keys, "section")
+    first, types, lines = _PART
+    texts = T.ArrayType(T.StringType())
+    parts = rows.mapInArrow(_diff_lines, T.StructType([
+        *kept.schema, T.StructField(first, T.LongType()), T.StructField(types, texts), T.StructField(lines, texts)]))
+    exploded = parts.select(*kept.columns, first, F.posexplode(F.arrays_zip(types, lines)).alias("_at", "_line"))
+    return exploded.select(*kept.columns, (F.col(first) + F.col("_at")).cast("int").alias("line_no"),
+                           F.col(f"_line.{types}").alias("type"), F.col(f"_line.{lines}").alias("line"))
 
 
 def diff_vs_previous(calls: DataFrame, changed_only: bool = False) -> DataFrame:

@@ -135,6 +135,34 @@ def test_diff_of_calls(spark):
     assert {r.gutter for r in diff.unified(everything).collect()} == {" ", "+", "-"}
 
 
+def test_lines_leave_in_bounded_batches(spark, monkeypatch):
+    """A worker lets lines go as it finds them: none waits for the other pairs of its input, or for the end of a long one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(diff, "BATCH_LINES", 64)
+    texts = [("\n".join(f"a{i % 7}" for i in range(n)), "\n".join(f"a{i % 5}" for i in range(n + 3))) for n in (1, 40, 500, 3, 200)] * 20
+    read = []
+
+    def batches():
+        for k in range(0, len(texts), 10):
+            read.append(k)
+            part = texts[k:k + 10]
+            yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), *(pa.array(side) for side in zip(*part))], names=["k", "before", "after"])
+
+    out, got = diff._diff_lines(batches()), {}
+    for batch in out:
+        rows = batch.to_pylist()
+        assert sum(len(r["_lines"]) for r in rows) <= 64 and max(r["k"] for r in rows) < read[-1] + 10
+        for r in rows:
+            lines = got.setdefault(r["k"], [])
+            assert r["_first"] == len(lines)
+            lines.extend(zip(r["_types"], r["_lines"]))
+    assert got == {k: line_diff(a.split("\n"), b.split("\n")) for k, (a, b) in enumerate(texts)}
+    long = '["' + '","'.join(map(str, range(9000))) + '"]'
+    found = diff.diff_vs_previous(calls(spark, [(1, "s", "t", 0, long, "1"), (2, "s", "t", 1, long[:-1] + ',"x"]', "1")])).where("section = 'arguments'")
+    assert [r.line_no for r in found.orderBy("line_no").collect()] == list(range(9004))
+
+
 def test_envelope_without_data_is_shown_whole(spark):
     df = calls(spark, [(1, "s", "t", 0, "1", "null")])
     shown = df.select(diff.shown_response().alias("r")).first().r
