@@ -6,9 +6,10 @@ and lost executors. Rows of a micro-batch are taken in event-time order.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,104 +117,142 @@ def stream_alerts(calls: DataFrame, settings: AlertSettings = AlertSettings()) -
     return alert_rows(fired)
 
 
-class _ConnectionSessions(StatefulProcessor):
-    """Session number and last activity of one connection."""
+#: A connection's points of a micro-batch are ordered by slots of this many milliseconds, and go on in parts of so many points.
+SLOT_MS, PART_POINTS = 6 * 3_600_000, 128
+
+_SLOT = "conn string, slot bigint"
+_PART = "ids array<bigint>, ats array<bigint>, ends array<boolean>, numbers array<bigint>"
+_SLOT_PART = (f"{_SLOT}, is_part boolean, lane bigint, {_PART}, first_at bigint, first_opens boolean, first_ends boolean, last_at bigint,"
+              " last_ends boolean, opened bigint")
+_BASED_PART = f"{_SLOT}, is_part boolean, {_PART}, first_ends boolean, number bigint, idle boolean"
+
+
+class _Slots(StatefulProcessor):
+    """Points of one slot of a connection in order, numbered from its first session: parts of what is asked for, and one row on the slot."""
 
     def __init__(self, gap_ms: int):
         self._gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._current = handle.getValueState("current", "number bigint, last_at bigint")
+        pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        points = pd.concat(rows).sort_values(["at", "kind", "id"], kind="stable")
-        number, last = self._current.get() if self._current.exists() else (0, None)
-        numbers = []
-        for at, opens in zip(points["at"], points["opens"]):
-            if last is None or opens or at - last > self._gap_ms:
-                number += 1
-            last = int(at)
-            numbers.append(f"{key[0]}#{number}")
-        self._current.update((number, last))
-        points = points.assign(session_id=numbers)
-        yield points.loc[points["kind"] == 1, ["id", "session_id"]]
+        points = pd.concat(rows).sort_values(["at", "kind", "no_id", "id", "opens"], kind="stable")
+        at, ends, opens = points["at"].astype("int64").to_numpy(), (points["kind"] == END).to_numpy(), points["opens"].to_numpy(dtype=bool)
+        opened = np.zeros(len(at), dtype="int64")
+        opened[1:] = ~ends[1:] & (ends[:-1] | opens[1:] | (np.diff(at) > self._gap_ms))
+        # An end after an end closes nothing. What the first of a slot does is up to the slots before.
+        asked = (points["kind"] == RESPONSE).to_numpy() | ends & ~np.append(False, ends[:-1])
+        ids = points["id"].astype(object).where(~points["no_id"].to_numpy(dtype=bool), None).to_numpy()[asked]
+        numbers, ats, shown = opened.cumsum()[asked], at[asked], ends[asked]
+        head = {"conn": key[0], "slot": key[1]}
+        found = [{**head, "is_part": False, "lane": 0, "ids": [], "ats": [], "ends": [], "numbers": [], "first_at": at[0], "first_opens": opens[0],
+                  "first_ends": ends[0], "last_at": at[-1], "last_ends": ends[-1], "opened": opened.sum()}]
+        for start in range(0, len(ats), PART_POINTS):
+            part = slice(start, start + PART_POINTS)
+            found.append({**head, "is_part": True, "lane": key[1], "ids": list(ids[part]), "ats": ats[part], "ends": shown[part],
+                          "numbers": numbers[part], "first_at": 0, "first_opens": False, "first_ends": ends[0] and not start, "last_at": 0,
+                          "last_ends": False, "opened": 0})
+        yield pd.DataFrame(found)
 
     def close(self) -> None:
         pass
 
 
-def stream_sessionize(
-    calls: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP, request_activity: bool = True,
-) -> DataFrame:
-    """``(id, session_id)`` as calls arrive, by the rules of ``sessionize``,
-    ``initialize`` splits included. Equal to the batch job when activity
-    arrives in time order."""
-    use_rocksdb(calls.sparkSession)
-    points = activity_points(calls, connection, request_activity)
-    return points.groupBy("conn").transformWithStateInPandas(
-        statefulProcessor=_ConnectionSessions(milliseconds(gap)), outputStructType="id bigint, session_id string",
-        outputMode="Append", timeMode="None")
-
-
-class _OrderedSessions(StatefulProcessor):
-    """Activity of one connection in event-time order: points wait until the watermark has passed them."""
+class _ConnectionSessions(StatefulProcessor):
+    """Session number and last activity of one connection, from slot to slot. Parts pass in lanes of their own."""
 
     def __init__(self, gap_ms: int):
         self._gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._current = handle.getValueState("current", "number bigint, last_at bigint, last_kind int")
-        self._waiting = handle.getListState("waiting", "at bigint, kind int, id bigint, opens boolean")
+        self._current = handle.getValueState("current", "number bigint, last_at bigint, last_ends boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["conn", "slot", "is_part", "ids", "ats", "ends", "numbers", "first_ends", "number", "idle"]
+        if key[1]:
+            for parts in rows:
+                yield parts.assign(number=0, idle=False)[columns]
+            return
+        number, last_at, last_ends = self._current.get() if self._current.exists() else (0, None, None)
+        slots = pd.concat(rows).sort_values("slot", kind="stable")
+        found = []
+        for slot in slots.itertuples(index=False):
+            idle = last_at is None or last_ends
+            number += not slot.first_ends and (idle or slot.first_opens or slot.first_at - last_at > self._gap_ms)
+            found.append((int(number), bool(idle)))
+            number, last_at, last_ends = number + slot.opened, slot.last_at, slot.last_ends
+        self._current.update((int(number), int(last_at), bool(last_ends)))
+        numbers, idles = zip(*found)
+        yield slots.assign(number=list(numbers), idle=list(idles))[columns]
+
+    def close(self) -> None:
+        pass
+
+
+class _SlotSessions(StatefulProcessor):
+    """Sessions of one slot's points, from the number its connection had before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for points in rows:
-            columns = [points[c].tolist() for c in ("at", "kind", "id", "opens")]
-            self._waiting.appendList(list(zip(*columns)))
-            self._handle.registerTimer(min(columns[0]))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(map(tuple, self._waiting.get())) if self._waiting.exists() else []
-        due = bisect_left(waiting, (passed,))
-        number, last, last_kind = self._current.get() if self._current.exists() else (0, None, None)
-        out: list[tuple] = []
-        for at, kind, call, opens in waiting[:due]:
-            idle = last is None or last_kind == END
-            if kind == END:
-                if not idle:
-                    out.append((True, None, f"{key[0]}#{number}", at))
-            elif idle or opens or at - last > self._gap_ms:
-                number += 1
-            if kind == RESPONSE:
-                out.append((False, call, f"{key[0]}#{number}", at))
-            last, last_kind = at, kind
-        if due:
-            self._current.update((number, last, last_kind))
-            self._waiting.clear()
-            if waiting[due:]:
-                self._waiting.put(waiting[due:])
-        if waiting[due:]:
-            self._handle.registerTimer(waiting[due][0])
-        ends, ids, sessions, times = zip(*out) if out else ((), (), (), ())
-        yield pd.DataFrame({"is_end": pd.Series(ends, dtype=bool), "id": pd.array(ids, dtype="Int64"),
-                            "session_id": pd.Series(sessions, dtype=object), "at": pd.Series(times, dtype="int64")})
+        slot = pd.concat(rows)
+        is_part = slot["is_part"].to_numpy(dtype=bool)
+        number, idle = slot.loc[~is_part, ["number", "idle"]].iloc[0]
+        parts = slot[is_part].sort_values("first_ends", ascending=False, kind="stable")
+        if parts.empty:
+            return
+        first = 1 if idle and parts["first_ends"].iloc[0] else 0  # an end while idle closes nothing
+        ids, ats, ends, numbers = (np.concatenate(parts[c].to_list())[first:] for c in ("ids", "ats", "ends", "numbers"))
+        yield pd.DataFrame({
+            "is_end": ends.astype(bool), "id": pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64"),
+            "session_id": pd.Series([f"{key[0]}#{n}" for n in (numbers + number).tolist()], dtype=object), "at": ats})
 
     def close(self) -> None:
         pass
 
 
+def _numbered(points: DataFrame, gap: str) -> DataFrame:
+    """``(is_end, id, session_id, at)`` of each micro-batch's points, taken in order after those of the batches before.
+
+    No task takes a whole connection: slots are ordered by themselves, one row of each goes through the connection, and
+    the slots' points meet the number that comes back. All of it happens within the micro-batch.
+    """
+    def step(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+        return df.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+
+    use_rocksdb(points.sparkSession)
+    gap_ms = milliseconds(gap)
+    slotted = points.select(
+        "conn", F.floor(F.col("at") / SLOT_MS).alias("slot"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"),
+        "at", "kind", F.coalesce("opens", F.lit(False)).alias("opens"))
+    parts = step(slotted, ["conn", "slot"], _Slots(gap_ms), _SLOT_PART)
+    based = step(parts, ["conn", "is_part", "lane"], _ConnectionSessions(gap_ms), _BASED_PART)
+    return step(based, ["conn", "slot"], _SlotSessions(), "is_end boolean, id bigint, session_id string, at bigint")
+
+
+def stream_sessionize(
+    calls: DataFrame, connection: str = "server_name", gap: str = SESSION_GAP, request_activity: bool = True,
+) -> DataFrame:
+    """``(id, session_id)`` as calls arrive, by the rules of ``sessionize``,
+    ``initialize`` splits included. Equal to the batch job when activity
+    arrives in time order."""
+    return _numbered(activity_points(calls, connection, request_activity), gap).select("id", "session_id")
+
+
 def _ordered_sessions(calls: DataFrame, ends: DataFrame | None, connection: str, gap: str, request_activity: bool, late: str) -> DataFrame:
-    use_rocksdb(calls.sparkSession)
     points = activity_points(calls, connection, request_activity)
     if ends is not None:
         points = points.unionByName(ends.select(
             "conn", F.lit(-1).cast("long").alias("id"), epoch_ms("ended_at").alias("at"), F.lit(END).alias("kind"), F.lit(False).alias("opens")))
+    use_rocksdb(calls.sparkSession)
+    # A window of one millisecond is let out when the watermark has passed it: points wait in an aggregate keyed by themselves.
     timed = points.withColumn("time", F.timestamp_millis("at")).withWatermark("time", late)
-    return timed.groupBy("conn").transformWithStateInPandas(
-        statefulProcessor=_OrderedSessions(milliseconds(gap)), outputStructType="is_end boolean, id bigint, session_id string, at bigint",
-        outputMode="Append", timeMode="EventTime")
+    passed = timed.groupBy("conn", F.window("time", "1 millisecond"), "kind", "id", "opens").agg(F.count(F.lit(1)).alias("times"))
+    each = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
+    return _numbered(passed.select("conn", "id", epoch_ms("window.start").alias("at"), "kind", "opens", each.alias("each")).drop("each"), gap)
 
 
 def stream_sessionize_ordered(
@@ -223,7 +262,7 @@ def stream_sessionize_ordered(
     """``(id, session_id)`` by the rules of ``sessionize`` with its ``ends``, in event-time order.
 
     Unlike ``stream_sessionize``, activity may arrive in any order: a point waits in the state until the watermark
-    passes it, an event-time timer wakes its connection, and what is due is taken in order. Equal to the batch job
+    passes it, and what is due is taken in order. Equal to the batch job
     on all that is no later than ``late``; a call comes out that much after its response.
     """
     found = _ordered_sessions(calls, ends, connection, gap, request_activity, late)

@@ -305,6 +305,52 @@ def test_ordered_sessions_equal_batch(spark, out_of_order):
     assert batches >= 5 and got.count() == whole.count() > 350 and got.exceptAll(whole).isEmpty()
 
 
+@pytest.fixture
+def one_connection(spark, make_calls):
+    """Calls of nine days on one connection, some initializing, and its closings, in two files; slots begin with closings and after gaps."""
+    rng, ms, rows = random.Random(12), 1_700_000_000_000 // stateful.SLOT_MS * stateful.SLOT_MS, []
+    for i in range(1500):
+        ms += rng.choice([0, 10, 60_000, 200_000, 310_000, 2_000_000])
+        rows.append((i, "s", "hot", "t", "success", rng.choice([0, 5, 40_000, 4_000_000]), ms))
+    starts = range(rows[0][6], rows[-1][6], stateful.SLOT_MS)
+    ends = [("hot", at) for at in starts[::2]] + [("hot", at - 1) for at in starts[::4]] + [("hot", rng.choice(rows)[6] + rng.randrange(400_000)) for _ in range(60)]
+    calls = make_calls(rows).drop("session_id").withColumn("method", F.when(F.col("id") % 37 == 0, "initialize").otherwise("m"))
+    closings = spark.createDataFrame(ends, "conn string, ms long").withColumn("ended_at", F.timestamp_millis("ms")).drop("ms")
+    read = []
+    for df, time in ((calls, "timestamp"), (closings, "ended_at")):
+        folder, middle = new_folder(spark, "one"), F.timestamp_millis(F.lit(rows[700][6]))
+        for half in (F.col(time) < middle, F.col(time) >= middle):
+            df.where(half).coalesce(1).write.mode("append").parquet(folder)
+        read.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    return calls, closings, *read
+
+
+def tasks_of(got):
+    """How many tasks of the last step wrote rows; a key goes to the same one in every micro-batch."""
+    return got.select(F.regexp_extract(F.input_file_name(), "part-([0-9]+)-", 1)).distinct().count()
+
+
+def test_one_connection_goes_through_many_tasks(spark, one_connection):
+    calls, closings, calls_stream, closings_stream = one_connection
+    closed = F.timestamp_millis(F.unix_millis("timestamp") + F.col("latency_ms"))
+    newest = max(calls.agg(F.max(F.unix_millis(closed))).first()[0], closings.agg(F.max(F.unix_millis("ended_at"))).first()[0])
+    got, _ = finished(spark, stateful.stream_sessionize_ordered(calls_stream, closings_stream, late="2 hours"))
+    passed = lambda at: F.unix_millis(at) < newest - 7_200_000
+    whole = sessions.sessionize(calls, ends=closings).select("id", "session_id").join(calls.where(passed(closed)).select("id"), "id")
+    assert got.count() == whole.count() > 1300 and got.exceptAll(whole).isEmpty() and tasks_of(got) > 1
+    ended, _ = finished(spark, stateful.stream_session_ends(calls_stream, closings_stream, late="2 hours"))
+    whole = sessions.session_ends(calls, closings).where(passed(F.col("ended_at")))
+    assert ended.count() == whole.count() > 60 and ended.exceptAll(whole).isEmpty() and tasks_of(ended) > 1
+
+
+def test_one_connection_as_it_arrives(spark, one_connection):
+    calls, _, calls_stream, _ = one_connection
+    short = lambda df: df.withColumn("latency_ms", F.col("latency_ms") % 1000)  # noqa: E731  files in the order of activity
+    got, batches = finished(spark, stateful.stream_sessionize(short(calls_stream)))
+    whole = sessions.sessionize(short(calls)).select("id", "session_id")
+    assert batches == 2 and got.count() == whole.count() == 1500 and got.exceptAll(whole).isEmpty() and tasks_of(got) > 1
+
+
 def test_joined_pairs_equal_batch_and_forget(spark):
     """Ids used once; answers within a minute, too late or missing; a file is an hour."""
     rng, lines = random.Random(3), []
