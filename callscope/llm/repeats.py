@@ -156,8 +156,17 @@ def _merged(a, c, ids, lo):
     return order, fresh, first
 
 
+def _packed(lo, nw):
+    """First byte and windows of a run in one number, ordered by the first byte. The windows of a run share a gram, so they are fewer than 128."""
+    return (lo << 8) + nw + 128
+
+
+def _unpacked(place):
+    return place >> 8, (place & 255) - 128
+
+
 def _runs(batches, hot=None) -> Iterator[pa.RecordBatch]:
-    """One row per run text and block; runs equal to an earlier one of the block come with ``nw`` negated.
+    """One row per run text and block; runs equal to an earlier one of the block come with their windows negated.
 
     With ``hot`` anchors: the single windows of their runs instead.
     """
@@ -174,7 +183,7 @@ def _runs(batches, hot=None) -> Iterator[pa.RecordBatch]:
         # known repeats need no partner any more, so they are dealt out evenly
         spread = mix(ids.view(np.uint64) * np.uint64(31) + lo.view(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[~same]) for x in (np.where(fresh, a, spread), c, ids, lo, np.where(fresh, nw, -nw))], ["a", "c", "id", "lo", "nw"])
+            [pa.array(x[~same]) for x in (np.where(fresh, a, spread), c, ids, _packed(lo, np.where(fresh, nw, -nw)))], ["a", "c", "id", "place"])
 
 
 def _windows(runs, anchors: np.ndarray):
@@ -190,12 +199,13 @@ def _windows(runs, anchors: np.ndarray):
 
 
 def _resolve(batches) -> Iterator[pa.RecordBatch]:
-    """Reads runs in the order (a, c, id, lo). Yields repeated runs (``a`` NULL), and the first
+    """Reads runs in the order (a, c, id, place). Yields repeated runs (``a`` NULL), and the first
     run of each text where the anchor has several texts. Keeps one run between batches."""
     held = np.zeros((5, 0), np.int64)  # the first run of the last text so far
     told = False  # it has been yielded
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy() for i in range(5)])
+        *keys, place = (batch.column(i).to_numpy() for i in range(4))
+        rows = np.stack([*keys, *_unpacked(place)])
         repeats = rows[:, rows[4] < 0]
         rows = np.concatenate([held, rows[:, rows[4] > 0]], axis=1)
         if rows.shape[1]:
@@ -390,10 +400,10 @@ def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text", group_
     """(id, lo, length): the stretches of bytes that start earlier elsewhere; they may overlap."""
     spark = df.sparkSession
     texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    schema = "a long, c long, id long, lo long, nw long"
+    schema = "a long, c long, id long, place long"
 
     def resolved(runs: DataFrame) -> DataFrame:
-        return runs.repartition("a").sortWithinPartitions("a", "c", "id", "lo").mapInArrow(_resolve, "a long, id long, lo long, nw long")
+        return runs.repartition("a").sortWithinPartitions("a", "c", "id", "place").mapInArrow(_resolve, "a long, id long, lo long, nw long")
 
     found = written(resolved(texts.mapInArrow(_runs, schema)))
     anchors = written(found.where("a is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n")))

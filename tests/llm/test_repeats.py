@@ -117,3 +117,21 @@ def test_kept_texts_stay_readable(docs_of):
 def test_documents_of_the_small_data_set(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert found(repeats.table(spark, sf, "documents")) == brute(docs)
+
+
+def test_a_run_travels_in_four_numbers():
+    """First byte and windows share one, also for the longest text and run and for a run known to be repeated."""
+    import numpy as np
+    import pyarrow as pa
+
+    lo, nw = np.array([0, 7, 2**31 - 1, 2**31 - 1, 5]), np.array([1, -69, 69, -1, 100])
+    packed = repeats._packed(lo, nw)
+    assert [x.tolist() for x in repeats._unpacked(packed)] == [lo.tolist(), nw.tolist()]
+    assert (np.argsort(packed[:3]) == np.argsort(lo[:3])).all()
+    text = "".join(chr(97 + i * i % 23) + chr(97 + i % 19) for i in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([text, "x" + text])], ["id", "text"])
+    found = next(repeats._runs(iter([batch])))
+    assert found.schema.names == ["a", "c", "id", "place"]
+    first, windows = repeats._unpacked(found.column(3).to_numpy())
+    assert (first >= 0).all() and (abs(windows) <= repeats.WINDOW - repeats.GRAM + 1).all() and (windows < 0).any()
+    assert abs(windows).sum() == 2 * len(text) + 1 - 2 * (repeats.WINDOW - 1)
