@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "callscope") -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
@@ -61,3 +63,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def allow_duplicate_json_keys(spark: SparkSession) -> None:
     """An object with a repeated key keeps the last value instead of failing."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Stateful processors need this state store; a join of streams keeps its rows out of the heap with it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

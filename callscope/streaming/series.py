@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from callscope.config import SERIES_BUCKET, SESSION_GAP
 from callscope.functions.measures import call_count, elapsed_ms, error_rate, is_error
 from callscope.functions.percentile import rank_index
+from callscope.session import use_rocksdb
 from callscope.sources.capture import request_fields, response_fields, rpc_messages
 
 NODE = ("server_name", "tool_name")
 LATE = "10 minutes"
+# Length of the join's spans of time, in limits: a line meets those of its id and span, and one request in so many lies in two.
+SPAN = 4
 
 
 def stream_timeseries(calls: DataFrame, keys: Sequence[str] = NODE, late: str = LATE) -> DataFrame:
@@ -89,11 +92,14 @@ def stream_sessions(calls: DataFrame, connection: str = "server_name", gap: str
 def stream_join_rpc(log: DataFrame, limit: str = "1 hour", late: str = LATE) -> DataFrame:
     """Requests with the responses of at most ``limit`` later, as a join of two streams of the log.
 
-    Everything runs in the JVM, and any number of tasks shares a busy connection, since ids spread it. Lines later than
-    ``late`` are dropped, and a request is forgotten once the watermark is ``limit`` past it, answered or not. Equal to
-    ``pair_rpc_log`` where a connection uses an id once within ``limit``; where it may use one again sooner,
-    ``stream_pair_rpc`` or the carried form pair by order.
+    Everything runs in the JVM, and any number of tasks shares a busy connection or a busy id, since ids and spans of time
+    spread it. State lies in RocksDB: all lines of a micro-batch are in it. Lines later than ``late`` are dropped, and a
+    request is forgotten once the watermark is ``limit`` past it, answered or not. Equal to ``pair_rpc_log`` where a
+    connection uses an id once within ``limit``; where it may use one again sooner, ``stream_pair_rpc`` or the carried form
+    pair by order.
     """
+    use_rocksdb(log.sparkSession)
+
     def side(messages: DataFrame, is_request: bool) -> DataFrame:
         return messages.where(F.col("is_request") == is_request).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
@@ -103,6 +109,17 @@ def stream_join_rpc(log: DataFrame, limit: str = "1 hour", late: str = LATE) ->
     responses = side(rpc_messages(log), False).select(
         F.col("conn").alias("_conn"), F.col("rpc_id").alias("_rpc_id"), F.col("seq").alias("response_seq"), F.col("ts").alias("response_ts"),
         *response_fields(message))
-    in_time = (F.col("response_ts") >= F.col("timestamp")) & (F.col("response_ts") <= F.col("timestamp") + F.expr(f"interval {limit}"))
-    pairs = requests.join(responses, (F.col("conn") == F.col("_conn")) & (F.col("rpc_id") == F.col("_rpc_id")) & in_time)
-    return pairs.drop("_conn", "_rpc_id").withColumn("latency_ms", elapsed_ms("timestamp", "response_ts"))
+    last = F.col("timestamp") + F.expr(f"interval {limit}")
+    in_time = (F.col("response_ts") >= F.col("timestamp")) & (F.col("response_ts") <= last)
+    # A response lies in one span of time; a request goes to the one or two spans in which its responses may lie.
+    requests = requests.withColumn("_span", F.explode(F.array_distinct(F.array(_span(F.col("timestamp"), limit), _span(last, limit)))))
+    responses = responses.withColumn("_response_span", _span(F.col("response_ts"), limit))
+    same = (F.col("conn") == F.col("_conn")) & (F.col("rpc_id") == F.col("_rpc_id")) & (F.col("_span") == F.col("_response_span"))
+    pairs = requests.join(responses, same & in_time)
+    return pairs.drop("_conn", "_rpc_id", "_span", "_response_span").withColumn("latency_ms", elapsed_ms("timestamp", "response_ts"))
+
+
+def _span(at: Column, limit: str) -> Column:
+    """First microsecond of the span of time that ``at`` lies in; a span is ``SPAN`` times the limit."""
+    width = F.greatest(F.expr(f"unix_micros(timestamp_micros(0) + interval {limit})") * F.lit(SPAN), F.lit(1))
+    return F.unix_micros(at) - F.pmod(F.unix_micros(at), width)

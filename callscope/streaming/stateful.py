@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,16 +19,10 @@ from callscope.config import ALERT_BUFFER_DROP, ALERT_BUFFER_MAX, SESSION_GAP, A
 from callscope.functions.measures import elapsed_ms, epoch_ms
 from callscope.operators.alerts import NODE, alert_candidates, alert_rows
 from callscope.operators.sessions import END, RESPONSE, activity_points, milliseconds
+from callscope.session import use_rocksdb
 from callscope.sources.capture import request_fields, response_fields, rpc_messages
 from callscope.streaming.series import LATE
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Stateful processors need this state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
 
 class _RollingState(StatefulProcessor):
     """Buffer of one (server, tool) node; one output row per call."""

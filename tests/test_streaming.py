@@ -374,3 +374,28 @@ def test_joined_pairs_equal_batch_and_forget(spark):
     assert got.count() == whole.count() == 225 and got.exceptAll(whole).isEmpty()
     held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
     assert max(held) <= 250 and held[-1] <= 12  # two files of lines at most, at the end what the watermark has not passed
+
+
+def test_one_id_is_joined_in_many_tasks(spark):
+    """One connection sends one id all day: a few lines within the limit, in several files, some at the edges of spans."""
+    rng, minute = random.Random(4), 60_000_000
+    edges = [n * series.SPAN * minute for n in range(1, 350)]
+    times = [rng.randrange(1440 * minute) for _ in range(600)] + [at + d for at in rng.sample(edges, 150) for d in (-1, 0)]
+    lines = [("c", "agent", i, at, '{"id":1,"method":"m%d"}' % i) for i, at in enumerate(times)]
+    later = [rng.choice((0, 1, minute // 2, minute - 1, minute, minute + 1)) for _ in times]
+    lines += [("c", "server", i, at + d, '{"id":1,"result":%d}' % i) for i, (at, d) in enumerate(zip(times, later))]
+    log = spark.createDataFrame(lines, "conn string, direction string, seq long, us long, line string").withColumn("ts", F.timestamp_micros("us"))
+    folder = new_folder(spark, "one-id")
+    for part in range(4):  # an answer may come a file after its request
+        log.where(F.floor(F.col("us") / (361 * minute)) == part).drop("us").coalesce(1).write.mode("append").parquet(folder)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    arriving = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = new_folder(spark, "joined")
+    query = sinks.to_parquet(series.stream_join_rpc(arriving, limit="1 minute", late="1 hour"), out, new_folder(spark, "state"), available_now=True)
+    query.awaitTermination()
+    got = spark.read.parquet(out)
+    asked, answered = [sorted((at, seq) for _, who, seq, at, _ in lines if who == side) for side in ("agent", "server")]
+    whole = sorted((i, j, r // 1000 - t // 1000) for t, i in asked for r, j in answered if t <= r <= t + minute)
+    assert sorted(map(tuple, got.select("request_seq", "response_seq", "latency_ms").collect())) == whole and len(whole) > 900
+    assert sum(p.numInputRows > 0 for p in query.recentProgress) == 4 and tasks_of(got) > 1
+    assert any("rocksdb" in name for p in query.recentProgress for s in p["stateOperators"] for name in s["customMetrics"])
