@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,7 @@ def _diff_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, first, types, lines = zip(*parts)
             chosen = pa.array(at, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [*(key.take(chosen) for key in keys), pa.array(first, pa.int64()), pa.array(types, _TEXTS), pa.array(lines, _TEXTS)],
+                [*(pc.array_take(key, chosen) for key in keys), pa.array(first, pa.int64()), pa.array(types, _TEXTS), pa.array(lines, _TEXTS)],
                 names=[*batch.schema.names[:-2], *_PART])
 
         for row in range(batch.num_rows):
